@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,7 @@ def local_session(app: str = "heatscape", cores: int | None = None) -> SparkSess
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
@@ -27,19 +29,30 @@ def local_session(app: str = "heatscape", cores: int | None = None) -> SparkSess
     return spark
 
 
+def _set_checkpoint_dir(spark: SparkSession) -> None:
+    sc = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and sc.master.startswith("local"):
+        shared = tempfile.mkdtemp(prefix="heatscape-checkpoint-")
+    if shared is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    sc.setCheckpointDir(shared)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
     Used where a column depends on physical placement (partition number, row
     position) and must not change when a lost executor's work is redone.
     """
-    spark = df.sparkSession
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        _set_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder name next to the checkpoints, which every executor can reach."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and sc.master.startswith("local"):
-            shared = tempfile.mkdtemp(prefix="heatscape-checkpoint-")
-        if shared is None:
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(shared)
-    return df.checkpoint()
+        _set_checkpoint_dir(spark)
+    return f"{sc.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
