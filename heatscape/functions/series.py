@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PAIRWISE_LIMIT = 1024
 
@@ -85,7 +86,10 @@ def _slope_at(v: np.ndarray, place: int) -> float:
             lo = mid
 
 
-@F.pandas_udf("struct<s double, ties double, slope double>")
+STATISTICS = T.StructType([T.StructField(c, T.DoubleType()) for c in ("s", "ties", "slope")])
+
+
+@F.pandas_udf(STATISTICS)
 def long_series(series: pd.Series) -> pd.DataFrame:
     rows = []
     for raw in series:

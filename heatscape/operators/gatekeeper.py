@@ -23,6 +23,9 @@ from heatscape.operators.neighbours import knn
 
 VERDICTS = ("ACCEPT", "REVIEW", "REJECT")
 SMALL_SCALE = 1_000_000
+# Trust takes few distinct values, so a threshold often equals one of them; the
+# last bits of a product of two ranks must not decide such a tie.
+TRUST_DIGITS = 12
 
 
 def conformal_level(m: int, alpha: float) -> float:
@@ -81,7 +84,7 @@ class GatekeeperModel:
         d = rank_score(d, self.key, "ad_distance", self.half_b, "ad_distance", "applicability_score")
         d = rank_score(d, self.key, "sigma", self.half_b, "sigma", "conformal_score")
         half = F.lit(self.q_hat) * (F.col("sigma") + F.lit(self.beta))
-        trust = F.sqrt(F.col("applicability_score") * F.col("conformal_score"))
+        trust = trust_score(F.col("applicability_score"), F.col("conformal_score"))
         d = d.withColumns({"lower": F.col("prediction") - half, "upper": F.col("prediction") + half,
                            "interval_width": half * 2.0, "trust_score": trust})
         d = d.withColumn("verdict", verdict(F.col("trust_score"), self.t_accept, self.t_reject))
@@ -93,6 +96,10 @@ class GatekeeperModel:
             "alpha double, k int, beta double, q_hat double, t_accept double, t_reject double")
 
 
+def trust_score(ad: Column, conf: Column) -> Column:
+    return F.round(F.sqrt(ad * conf), TRUST_DIGITS)
+
+
 def verdict(trust: Column, t_accept: float, t_reject: float) -> Column:
     return F.when(trust >= t_accept, "ACCEPT").when(trust >= t_reject, "REVIEW").otherwise("REJECT")
 
@@ -146,8 +153,9 @@ class Gatekeeper:
         q_hat = quantile_values(scores, "s", [conformal_level(m, self.alpha)], rows=m)[0]
         d = rank_score(b, self.key, "ad_distance", b, "ad_distance", "ad")
         d = rank_score(d, self.key, "sigma", b, "sigma", "conf")
-        trust = d.select(F.sqrt(F.col("ad") * F.col("conf")).alias("t"))
-        t_accept, t_reject = quantile_values(trust, "t", [self.accept_q, self.reject_q], rows=m)
+        trust = d.select(trust_score(F.col("ad"), F.col("conf")).alias("t"))
+        t_accept, t_reject = (round(x, TRUST_DIGITS) for x in
+                              quantile_values(trust, "t", [self.accept_q, self.reject_q], rows=m))
         return GatekeeperModel(self.key, feats, model, stats, self.alpha, self.k, beta, q_hat, t_accept, t_reject,
                                train_z, a, b)
 
