@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ SMALL_REFERENCE = 4096
 TILE_ROWS = 1024
 MAX_TILES = 65_536
 TILE_DIMS = 3
+MAX_TASKS = 20_000
+BLOCKS_PER_TASK = 4
 MATRIX_CELLS = 2_000_000
 FOUND = "qid long, ids array<long>, d2 array<double>, vals array<double>"
 
@@ -75,10 +78,14 @@ def nearest(q, qid, r, rid, k, exclude_self, limit=None):
     return tuple(np.concatenate(a) for a in out)
 
 
-def _grouped(rows, n, *arrays):
-    """Per-query lists from arrays sorted by query row."""
-    cuts = np.searchsorted(rows, np.arange(n + 1))
-    return [[a[cuts[i]:cuts[i + 1]] for i in range(n)] for a in arrays]
+def columns(table: pa.Table, names: list[str]) -> np.ndarray:
+    return np.column_stack([table.column(c).to_numpy() for c in names])
+
+
+def lists(rows: np.ndarray, n: int, *arrays: np.ndarray) -> list[pa.Array]:
+    """Arrow lists, one per query, of arrays sorted by query row."""
+    cuts = pa.array(np.searchsorted(rows, np.arange(n + 1)), pa.int32())
+    return [pa.ListArray.from_arrays(cuts, pa.array(a)) for a in arrays]
 
 
 def points(df: DataFrame, key: str, dims: list[str], value: str | None, key_name: str) -> DataFrame:
@@ -155,28 +162,24 @@ def seed_tiles(blocks: DataFrame, bc, xs: list[str], need: int) -> DataFrame:
     return blocks.mapInPandas(run, "block long, tile long, bound double")
 
 
-def touched_tiles(queries: DataFrame, bc, xs: list[str], schema: str) -> DataFrame:
-    """(query, tile) for each tile but the seed whose box lies within the query's radius."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        b: Boxes = bc.value
-        for p in batches:
-            for _, g in p.groupby("block", sort=False):
-                x = g[xs].to_numpy(float)
-                radius = g["radius2"].to_numpy(float) * SLACK
-                near = np.flatnonzero(b.nearest_corner(x.min(axis=0), x.max(axis=0)) <= radius.max())
-                step = max(1, MATRIX_CELLS // max(1, len(near)))
-                for s in range(0, len(x), step):
-                    d = np.zeros((len(x[s:s + step]), len(near)))
-                    for j in range(x.shape[1]):
-                        c = x[s:s + step, j][:, None]
-                        gap = np.maximum(0.0, np.maximum(b.lo[near, j][None, :] - c, c - b.hi[near, j][None, :]))
-                        d += gap * gap
-                    rows, cols = np.nonzero(d <= radius[s:s + step][:, None])
-                    hit = g.iloc[rows + s].assign(tile=b.tile[near[cols]])
-                    hit = hit[hit["tile"] != hit["seed"]]
-                    if len(hit):
-                        yield hit[["qid", "block", "tile", "radius2", *xs]]
-    return queries.mapInPandas(run, schema)
+def touched_tiles(b: Boxes, x: np.ndarray, radius2: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query row, tile) for each tile but the seed whose box lies within the query's radius."""
+    limit = radius2 * SLACK
+    near = np.flatnonzero((b.nearest_corner(x.min(axis=0), x.max(axis=0)) <= limit.max()) & (b.tile != seed))
+    hits = ([], [])
+    step = max(1, MATRIX_CELLS // max(1, len(near)))
+    for s in range(0, len(x) if len(near) else 0, step):
+        d = np.zeros((len(x[s:s + step]), len(near)))
+        for j in range(x.shape[1]):
+            c = x[s:s + step, j][:, None]
+            gap = np.maximum(0.0, np.maximum(b.lo[near, j][None, :] - c, c - b.hi[near, j][None, :]))
+            d += gap * gap
+        rows, cols = np.nonzero(d <= limit[s:s + step][:, None])
+        hits[0].append(rows + s)
+        hits[1].append(b.tile[near[cols]])
+    if not hits[0]:
+        return np.zeros(0, int), np.zeros(0, np.int64)
+    return np.concatenate(hits[0]), np.concatenate(hits[1])
 
 
 def _small_knn(q: DataFrame, ref_rows: pd.DataFrame, xs, k, exclude_self) -> DataFrame:
@@ -195,58 +198,74 @@ def _small_knn(q: DataFrame, ref_rows: pd.DataFrame, xs, k, exclude_self) -> Dat
     return q.mapInPandas(run, "query_id long, ref_id long, value double, distance double, rank int")
 
 
-def _tiled_knn(q: DataFrame, r: DataFrame, n_ref: int, xs, k, exclude_self, tile_rows) -> DataFrame:
+def _tiled_knn(q: DataFrame, r: DataFrame, n_ref: int, xs, k, exclude_self, tile_rows, same) -> DataFrame:
     sc = q.sparkSession.sparkContext
     spot = W.partitionBy(*xs).orderBy("rid")
     r = r.withColumn("__n", F.row_number().over(spot)).where(F.col("__n") <= k + 1).drop("__n")
     tile_rows = max(tile_rows, power_of_two(n_ref / MAX_TILES))
     tiles = tiled(r, n_ref, xs, "rid", tile_rows, "tile")
-    bc = sc.broadcast(Boxes(boxes(tiles, "tile", xs), xs))
-    n_query = q.count()
-    block_rows = min(tile_rows, max(64, power_of_two(n_query / 64)))
-    blocks = tiled(q, n_query, xs, "qid", block_rows, "block")
+    box = Boxes(boxes(tiles, "tile", xs), xs)
+    bc = sc.broadcast(box)
+    if same and box.n.sum() == n_ref:
+        # every row of the table is in a tile, so the tiles are the query blocks
+        blocks = tiles.select(F.col("rid").alias("qid"), *[F.col(x).alias(x) for x in xs], F.col("tile").alias("block"))
+    else:
+        n_query = q.count()
+        block_rows = min(tile_rows, max(64, power_of_two(n_query / 64)))
+        blocks = tiled(q, n_query, xs, "qid", block_rows, "block")
     seeds = materialise(seed_tiles(boxes(blocks, "block", xs), bc, xs, k + int(exclude_self)))
+    # small in bytes but heavy to compute, so the number of tasks is set here
+    width = max(shuffle_width(q), min(seeds.count() // BLOCKS_PER_TASK, MAX_TASKS))
 
-    def tiles_for(meets: DataFrame):
-        """Tile rows once per block that meets them."""
+    def meeting(queries: DataFrame, meets: DataFrame):
+        """Query rows and tile rows of each (block, tile) that meet, brought together."""
         m = meets.select(F.col("block").alias("rblock"), F.col("tile").alias("rtile"))
-        return tiles.join(m, F.col("tile") == F.col("rtile")).drop("tile").groupBy("rblock", "rtile")
-
-    def found(qp, rp, limit):
-        x, qid = qp[xs].to_numpy(float), qp["qid"].to_numpy()
-        rp = rp.sort_values("rid")
-        rid, val = rp["rid"].to_numpy(), rp["val"].to_numpy(float)
-        rows, cols, d = nearest(x, qid, rp[xs].to_numpy(float), rid, k, exclude_self, limit)
-        return _grouped(rows, len(qp), rid[cols], d, val[cols])
-
-    def first(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        ids, d2, vals = found(qp, rp, None)
-        edge = np.array([d[-1] if len(d) == k else np.inf for d in d2], dtype=float)
-        return qp[["qid", "block", *xs]].assign(
-            seed=qp["tile"], radius2=np.minimum(edge, qp["bound"].to_numpy(float)), ids=ids, d2=d2, vals=vals)
-
-    def more(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        ids, d2, vals = found(qp, rp, qp["radius2"].to_numpy(float) * SLACK)
-        return qp[["qid"]].assign(ids=ids, d2=d2, vals=vals)
+        rows = tiles.join(m, F.col("tile") == F.col("rtile")).drop("tile")
+        return (queries.repartition(width, "block", "tile").groupBy("block", "tile")
+                .cogroup(rows.repartition(width, "rblock", "rtile").groupBy("rblock", "rtile")))
+
+    def found(qt: pa.Table, rt: pa.Table, limit):
+        rt = rt.sort_by("rid")
+        rid, val = rt.column("rid").to_numpy(), rt.column("val").to_numpy()
+        rows, cols, d = nearest(columns(qt, xs), qt.column("qid").to_numpy(), columns(rt, xs), rid, k,
+                                exclude_self, limit)
+        return rows, d, lists(rows, len(qt), rid[cols], d, val[cols])
+
+    def first(qt: pa.Table, rt: pa.Table) -> pa.Table:
+        rows, d, near = found(qt, rt, None)
+        n = len(qt)
+        last = np.searchsorted(rows, np.arange(n), side="right")
+        full = last - np.searchsorted(rows, np.arange(n), side="left") == k
+        edge = np.full(n, np.inf)
+        edge[full] = d[last[full] - 1]
+        radius = np.minimum(edge, qt.column("bound").to_numpy())
+        to, others = touched_tiles(bc.value, columns(qt, xs), radius, qt.column("tile")[0].as_py())
+        return pa.table([qt.column("qid"), qt.column("block"), *[qt.column(x) for x in xs], pa.array(radius),
+                         *lists(to, n, others), *near],
+                        names=["qid", "block", *xs, "radius2", "tiles", "ids", "d2", "vals"])
+
+    def more(qt: pa.Table, rt: pa.Table) -> pa.Table:
+        _, _, near = found(qt, rt, qt.column("radius2").to_numpy() * SLACK)
+        return pa.table([qt.column("qid"), *near], names=["qid", "ids", "d2", "vals"])
 
     coords = ", ".join(f"{x} double" for x in xs)
-    start = (blocks.join(seeds, "block").groupBy("block", "tile")
-             .cogroup(tiles_for(seeds))
-             .applyInPandas(first, f"qid long, block long, {coords}, seed long, radius2 double, "
-                                   "ids array<long>, d2 array<double>, vals array<double>"))
-    start = materialise(start)
-    touched = touched_tiles(start.select("qid", "block", "seed", "radius2", *xs), bc, xs,
-                            f"qid long, block long, tile long, radius2 double, {coords}")
-    meets = touched.select("block", "tile").distinct()
-    rest = (touched.groupBy("block", "tile")
-            .cogroup(tiles_for(meets)).applyInPandas(more, FOUND))
-    cand = start.select("qid", "ids", "d2", "vals").unionByName(rest)
-    cand = cand.select("qid", F.explode(F.arrays_zip("d2", "ids", "vals")).alias("c")).select(
-        F.col("qid").alias("query_id"), F.col("c.ids").alias("ref_id"), F.col("c.vals").alias("value"),
-        F.col("c.d2").alias("__d2"))
-    w = W.partitionBy("query_id").orderBy("__d2", "ref_id")
-    return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select("query_id", "ref_id", "value", F.sqrt("__d2").alias("distance"), "rank"))
+    start = materialise(meeting(blocks.join(seeds, "block"), seeds).applyInArrow(
+        first, f"qid long, block long, {coords}, radius2 double, tiles array<long>, "
+               "ids array<long>, d2 array<double>, vals array<double>"))
+    found_cols = ["qid", "ids", "d2", "vals"]
+    near = F.posexplode(F.arrays_zip("d2", "ids", "vals")).alias("pos", "c")
+    fields = [F.col("qid").alias("query_id"), F.col("c.ids").alias("ref_id"), F.col("c.vals").alias("value")]
+    # most queries are done after their first tile and are not shuffled again
+    done = start.where(F.size("tiles") == 0).select("qid", near).select(
+        *fields, F.sqrt("c.d2").alias("distance"), (F.col("pos") + 1).alias("rank"))
+    going_on = start.where(F.size("tiles") > 0)
+    touched = going_on.select("qid", "block", "radius2", *xs, F.explode("tiles").alias("tile"))
+    rest = meeting(touched, touched.select("block", "tile").distinct()).applyInArrow(more, FOUND)
+    cand = going_on.select(*found_cols).unionByName(rest).select("qid", near).select(*fields, F.col("c.d2").alias("d2"))
+    w = W.partitionBy("query_id").orderBy("d2", "ref_id")
+    ranked = (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+              .select("query_id", "ref_id", "value", F.sqrt("d2").alias("distance"), "rank"))
+    return done.unionByName(ranked)
 
 
 def knn(query: DataFrame, ref: DataFrame, dims: list[str], k: int, query_key: str, ref_key: str | None = None,
@@ -266,4 +285,4 @@ def knn(query: DataFrame, ref: DataFrame, dims: list[str], k: int, query_key: st
     head = r.limit(small_reference + 1).toPandas()
     if len(head) <= small_reference:
         return _small_knn(q, head, xs, k, exclude_self)
-    return _tiled_knn(q, r, r.count(), xs, k, exclude_self, tile_rows)
+    return _tiled_knn(q, r, r.count(), xs, k, exclude_self, tile_rows, same=query is ref and query_key == ref_key)

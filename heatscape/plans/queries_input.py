@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -200,19 +198,10 @@ def scenes(t) -> DataFrame:
         F.col("o_orderstatus").alias("flag"))
 
 
-@lru_cache(maxsize=4)
-def _profile_rows(spark, folder: str):
-    from heatscape.plans.registry import Tables
-
-    t = Tables(spark, folder)
-    rows = []
-    for name, df in (("observations", observations(t)), ("stations", stations(t)), ("scenes", scenes(t))):
-        rows += R.column_profile(df, name).collect()
-    return rows
-
-
 def profile(t) -> DataFrame:
-    return t.spark.createDataFrame(_profile_rows(t.spark, t.folder), R.PROFILE_SCHEMA)
+    return (R.column_profile(observations(t), "observations")
+            .unionByName(R.column_profile(stations(t), "stations"))
+            .unionByName(R.column_profile(scenes(t), "scenes")))
 
 
 def _profile_sql() -> str:

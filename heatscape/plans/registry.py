@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heatscape.session import ship_package
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -30,6 +32,7 @@ def query(name: str, others: str = "", doubles: str = "", sql: str | None = None
 
     def register(fn):
         def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship_package(spark)
             df = fn(Tables(spark, folder))
             return df.select(*plain, *[(F.round(F.col(c).cast("double"), dp) + F.lit(0.0)).alias(c) for c in real])
 

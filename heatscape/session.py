@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -56,3 +57,15 @@ def scratch_folder(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         _set_checkpoint_dir(spark)
     return f"{sc.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, which may not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_heatscape_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="heatscape-code-"), "heatscape"), "zip",
+                                  os.path.dirname(here), os.path.basename(here))
+    sc.addPyFile(archive)
+    sc._heatscape_shipped = True
