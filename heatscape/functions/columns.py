@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 HASH_RANGE = 2147483648
 
@@ -42,9 +43,18 @@ def null_if_nan(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def as_double(name: str) -> Column:
-    """Numeric value of any column; unreadable text and NaN become NULL."""
-    return null_if_nan(F.col(f"`{name}`").try_cast("double"))
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
+def as_double(df: DataFrame, name: str) -> Column:
+    """Numeric value of any column; unreadable text and NaN become NULL.
+
+    Text is matched before it is cast: a failed cast costs an exception per row.
+    """
+    c = F.col(f"`{name}`")
+    if isinstance(df.schema[name].dataType, StringType):
+        return F.when(c.rlike(NUMBER), c.try_cast("double"))
+    return null_if_nan(c.try_cast("double"))
 
 
 # Coefficients of the Chebyshev fit to erfc (relative error below 1.2e-7).

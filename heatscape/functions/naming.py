@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Canonical index names and the patterns that recognise them, in
@@ -74,22 +74,26 @@ def index_order(specific_first: bool = False) -> list[str]:
     return names
 
 
-def classify(name: Column, specific_first: bool = False) -> Column:
-    """Struct of ``role`` and ``canonical`` for a column name."""
-    n = normalised(name)
+def classify(df: DataFrame, column: str, out: str = "named", specific_first: bool = False) -> DataFrame:
+    """Add ``out``, a struct of ``role`` and ``canonical`` for the column name in ``column``.
+
+    The normalised name is a column of its own, so that it is computed once and
+    not for each of the patterns.
+    """
+    n = F.col("__normal")
 
     def struct(role, canonical=None):
         return F.struct(F.lit(role).alias("role"), F.lit(canonical).cast("string").alias("canonical"))
 
-    out = F.when(n.rlike(ID_PATTERN) | F.lower(name).rlike(ID_PATTERN), struct("id"))
-    out = out.when(n.rlike(YEAR_PATTERN), struct("year", "YEAR"))
-    out = out.when(n.rlike(LAT_PATTERN), struct("lat", "LAT"))
-    out = out.when(n.rlike(LON_PATTERN), struct("lon", "LON"))
+    c = F.when(n.rlike(ID_PATTERN) | F.lower(column).rlike(ID_PATTERN), struct("id"))
+    c = c.when(n.rlike(YEAR_PATTERN), struct("year", "YEAR"))
+    c = c.when(n.rlike(LAT_PATTERN), struct("lat", "LAT"))
+    c = c.when(n.rlike(LON_PATTERN), struct("lon", "LON"))
     for canonical in index_order(specific_first):
-        out = out.when(n.rlike(INDEX_PATTERNS[canonical]), struct("index", canonical))
-    out = out.when(n.rlike(LST_PATTERN), struct("lst", "LST"))
-    out = out.when(n.rlike(ZONE_PATTERN), struct("zone", "ZONE"))
-    return out.otherwise(struct("other"))
+        c = c.when(n.rlike(INDEX_PATTERNS[canonical]), struct("index", canonical))
+    c = c.when(n.rlike(LST_PATTERN), struct("lst", "LST"))
+    c = c.when(n.rlike(ZONE_PATTERN), struct("zone", "ZONE")).otherwise(struct("other"))
+    return df.withColumn("__normal", normalised(F.col(column))).withColumn(out, c).drop("__normal")
 
 
 def zone_label(name: Column, rules=ZONE_LABELS, default: str = UNASSIGNED) -> Column:

@@ -1,22 +1,30 @@
 """Exact ranks and quantiles of tables of any size.
 
 A global window sends all rows to one task and the exact ``percentile``
-aggregate holds every distinct value in one buffer.  Both are replaced here by
-a range shuffle: Spark sorts the rows into consecutive partitions, each row's
-place is its place inside the partition plus the sizes of the partitions before
-it, and a quantile is the value found at two neighbouring places.
+aggregate holds every distinct value in one buffer, so both are kept for small
+inputs only.  Ranks of large tables come from a range shuffle: Spark sorts the
+rows into consecutive partitions, and a row's place is its place inside the
+partition plus the sizes of the partitions before it.  Quantiles of large
+tables need no sort: counts per bin show which bin holds the wanted place, and
+the next pass looks into that bin only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from heatscape.session import materialise
 
-# One percentile buffer of this many values is about 32 MB.
+# The percentile aggregate keeps about 100 bytes per distinct value of a group.
 SMALL_ROWS = 1_000_000
+# Bins per pass and the number of values that are fetched as they are.
+BINS = 1024
+FEW_VALUES = 2000
+MAX_GROUPS = 1000
 
 
 def shuffle_width(df: DataFrame) -> int:
@@ -56,21 +64,98 @@ def global_rank(df: DataFrame, order: list[str], keys: list[str] = (), out: str
         (F.col("o.__before") + F.col("l.__inside") - F.col("o.__first")).alias(out))
 
 
+def _at(level: float, n: int) -> tuple[int, int, float]:
+    """Lower place, upper place and weight of the upper one."""
+    spot = (n - 1) * level
+    low = int(np.floor(spot))
+    return low, min(low + 1, n - 1), spot - low
+
+
+def values_at(df: DataFrame, key: str, value: str, places: dict[object, list[int]], stats: dict) -> dict:
+    """Values at 0-based places in each group's order, by narrowing intervals.
+
+    ``stats`` maps a group to its (count, minimum, maximum).  Every pass counts
+    rows per bin of the intervals still open; a pass returns at most ``BINS``
+    rows per interval and the last one at most ``FEW_VALUES``.
+    """
+    spark = df.sparkSession
+    # an interval: group, lowest and highest value, rows below it, rows in it, wanted places
+    todo = [(g, lo, hi, 0, n, sorted(set(places[g]))) for g, (n, lo, hi) in stats.items() if places.get(g)]
+    out: dict = {}
+    schema = StructType([StructField("__i", IntegerType()), StructField("__g", df.schema[key].dataType),
+                         StructField("__lo", DoubleType()), StructField("__hi", DoubleType())])
+
+    def inside(intervals):
+        rows = [(i, g, lo, hi) for i, (g, lo, hi, *_) in enumerate(intervals)]
+        at = (F.col(key).eqNullSafe(F.col("__g"))) & F.col(value).between(F.col("__lo"), F.col("__hi"))
+        return df.join(F.broadcast(spark.createDataFrame(rows, schema)), at)
+
+    while todo:
+        for g, lo, hi, _, _, want in todo:
+            if lo == hi:
+                out.update({(g, p): lo for p in want})
+        todo = [t for t in todo if t[1] != t[2]]
+        few = [t for t in todo if t[4] <= FEW_VALUES]
+        todo = [t for t in todo if t[4] > FEW_VALUES]
+        if few:
+            found: dict[int, list[float]] = {}
+            for r in inside(few).select("__i", F.col(value).alias("v")).collect():
+                found.setdefault(r["__i"], []).append(r["v"])
+            for i, (g, _, _, below, _, want) in enumerate(few):
+                v = sorted(found[i])
+                out.update({(g, p): v[p - below] for p in want})
+        if not todo:
+            break
+        share = (F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))
+        counted = inside(todo).groupBy("__i", F.least(F.floor(share * BINS), F.lit(BINS - 1)).alias("b")).agg(
+            F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")).collect()
+        bins: dict[int, list] = {}
+        for r in counted:
+            bins.setdefault(r["__i"], []).append((r["lo"], r["hi"], r["n"]))
+        narrowed = []
+        for i, (g, _, _, below, _, want) in enumerate(todo):
+            for lo, hi, n in sorted(bins[i]):
+                here = [p for p in want if below <= p < below + n]
+                if here:
+                    narrowed.append((g, lo, hi, below, n, here))
+                below += n
+        todo = narrowed
+    return out
+
+
 def quantiles(df: DataFrame, value: str, levels: list[float], keys: list[str] = (),
-              small_rows: int = SMALL_ROWS, rows: int | None = None) -> DataFrame:
-    """Exact linearly interpolated quantiles: ``keys``, ``n`` and array ``q``."""
+              small_rows: int = SMALL_ROWS, max_groups: int = MAX_GROUPS, rows: int | None = None) -> DataFrame:
+    """Exact linearly interpolated quantiles: ``keys``, ``n`` and array ``q``.
+
+    Small inputs take the built-in aggregate, few groups of any size take bin
+    counts, and many groups take sorted ranks.
+    """
     keys = list(keys)
-    d = df.select(*keys, value).where(F.col(value).isNotNull())
-    n_rows = d.count() if rows is None else rows
-    if n_rows <= small_rows:
+    d = df.select(*keys, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull())
+    if (d.count() if rows is None else rows) <= small_rows:
         return d.groupBy(*keys).agg(
             F.count(value).alias("n"),
             F.expr(f"percentile(`{value}`, array({', '.join(f'{x!r}D' for x in levels)}))").alias("q"))
+    one = F.struct(*keys) if keys else F.lit(0)
+    sizes = d.groupBy(one.alias("__key")).agg(F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    groups = sizes.limit(max_groups + 1).collect()
+    if len(groups) > max_groups:
+        return _sorted_quantiles(d, value, levels, keys)
+    stats = {r["__key"]: (r["n"], r["lo"], r["hi"]) for r in groups}
+    places = {g: [p for x in levels for p in _at(x, n)[:2]] for g, (n, _, _) in stats.items()}
+    got = values_at(d.select(one.alias("__key"), value), "__key", value, places, stats)
+    out = []
+    for g, (n, _, _) in stats.items():
+        spots = [_at(x, n) for x in levels]
+        out.append((*(g if keys else ()), n, [got[g, a] + (got[g, b] - got[g, a]) * w for a, b, w in spots]))
+    schema = StructType([*[d.schema[k] for k in keys], StructField("n", LongType()),
+                         StructField("q", ArrayType(DoubleType()))])
+    return df.sparkSession.createDataFrame(out, schema)
+
+
+def _sorted_quantiles(d: DataFrame, value: str, levels: list[float], keys: list[str]) -> DataFrame:
     ranked = global_rank(d, [value], keys, "__rank")
-    if keys:
-        r = ranked.join(d.groupBy(*keys).agg(F.count(value).alias("n")), keys)
-    else:
-        r = ranked.withColumn("n", F.lit(n_rows).cast("bigint"))
+    r = ranked.join(d.groupBy(*keys).agg(F.count(value).alias("n")), keys)
     spots = []
     for i, level in enumerate(levels):
         at = (F.col("n") - 1) * F.lit(float(level))
@@ -98,10 +183,3 @@ def column_quantiles(df: DataFrame, levels: dict[str, list[float]], **kw) -> dic
     long = df.select(pairs.alias("p")).select("p.i", "p.v")
     got = {r["i"]: r["q"] for r in quantiles(long, "v", want, ["i"], **kw).collect()}
     return {c: [got[i][want.index(x)] if i in got else None for x in levels[c]] for i, c in enumerate(cols)}
-
-
-def average_rank(value: Column, keys: list[Column] = ()) -> Column:
-    """Rank with ties averaged, for groups that are known to be small."""
-    w = W.partitionBy(*keys).orderBy(value)
-    ties = W.partitionBy(*keys, value)
-    return F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0

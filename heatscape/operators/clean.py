@@ -35,7 +35,7 @@ def coerce(df: DataFrame, roles: RoleMap, keep: tuple = ()) -> DataFrame:
     named = [c for c in (roles.lst, roles.lat, roles.lon, roles.year, roles.zone) if c]
     cols = list(dict.fromkeys([*named, *roles.features()]))
     return df.select(*[F.col(f"`{c}`") for c in keep if c not in cols],
-                     *[F.col(f"`{c}`").cast("string").alias(c) if c == roles.zone else as_double(c).alias(c)
+                     *[F.col(f"`{c}`").cast("string").alias(c) if c == roles.zone else as_double(df, c).alias(c)
                        for c in cols])
 
 
@@ -81,7 +81,7 @@ def clean(df: DataFrame, roles: RoleMap, keep: tuple = ()) -> Cleaned:
     gaps = [c for i, c in enumerate(feats) if c not in dead and r[f"c{i}"] < n]
 
     levels = {roles.lst: [0.5, *WINSOR_LEVELS], **{c: [0.5] for c in gaps if c != roles.lst}}
-    q = column_quantiles(known, levels, rows=n * len(levels)) if n else {}
+    q = column_quantiles(known, levels, rows=n) if n else {}
     mid, lo, hi = q.get(roles.lst) or (None, None, None)
     kelvin = mid is not None and mid > KELVIN_MEDIAN
     shift = KELVIN_OFFSET if kelvin else 0.0

@@ -61,13 +61,13 @@ def column_profile(df: DataFrame, table: str = "", medians: bool = True) -> Data
     numeric = set(numeric_columns(df))
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(df.columns):
-        v = as_double(c)
+        v = as_double(df, c)
         aggs += [F.count(v).alias(f"c{i}"), F.min(v).alias(f"lo{i}"),
                  F.max(v).alias(f"hi{i}"), F.max(F.abs(v)).alias(f"am{i}")]
     r = df.agg(*aggs).first()
     mid = {}
     if medians:
-        mid = column_quantiles(df.select(*[as_double(c).alias(c) for c in df.columns if c in numeric]),
+        mid = column_quantiles(df.select(*[as_double(df, c).alias(c) for c in df.columns if c in numeric]),
                                {c: [0.5] for c in df.columns if c in numeric})
     rows = [(table, i, c, c in numeric, r["n"], r[f"c{i}"], r[f"lo{i}"], r[f"hi{i}"], r[f"am{i}"],
              (mid.get(c) or [None])[0]) for i, c in enumerate(df.columns)]
@@ -79,7 +79,7 @@ def assign_roles(profile: DataFrame, specific_first: bool = False) -> DataFrame:
 
     Roles: lst, lat, lon, year, zone, index, extra (other numeric), dropped.
     """
-    d = profile.withColumn("__c", classify(F.col("column"), specific_first))
+    d = classify(profile, "column", "__c", specific_first)
     d = d.select(*profile.columns, F.col("__c.role").alias("named"), F.col("__c.canonical").alias("canonical"))
     first = F.row_number().over(W.partitionBy("table", "named", "canonical").orderBy("position")) == 1
     spare = F.when(F.col("numeric"), "extra").otherwise("dropped")

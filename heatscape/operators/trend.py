@@ -21,22 +21,22 @@ def wide_to_long(df: DataFrame) -> DataFrame:
     years = [c for c in df.columns if re.fullmatch(YEAR_COLUMN, c.strip())]
     others = [c for c in df.columns if c not in years]
     unit = F.col(f"`{others[0]}`").cast("string") if others else F.lit("ALL")
-    d = df.select(unit.alias("unit"), *[as_double(c).alias(c) for c in years])
+    d = df.select(unit.alias("unit"), *[as_double(df, c).alias(c) for c in years])
     return (d.unpivot("unit", years, "year", "value")
             .select("unit", F.trim("year").cast("int").alias("year"), "value").dropna())
 
 
 def by_roles(df: DataFrame, year: str, value: str, zone: str | None = None) -> DataFrame:
     unit = F.col(f"`{zone}`").cast("string") if zone else F.lit("ALL")
-    return df.select(unit.alias("unit"), as_double(year).cast("int").alias("year"),
-                     as_double(value).alias("value")).dropna()
+    return df.select(unit.alias("unit"), as_double(df, year).cast("int").alias("year"),
+                     as_double(df, value).alias("value")).dropna()
 
 
 def detect_year_column(df: DataFrame) -> str | None:
     """First column whose numeric values (more than three) all lie in 1980..2035."""
     aggs = []
     for i, c in enumerate(df.columns):
-        v = as_double(c)
+        v = as_double(df, c)
         aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
     r = df.agg(*aggs).first()
     for i, c in enumerate(df.columns):

@@ -12,7 +12,7 @@ from heatscape.operators import roles as R
 from heatscape.operators.pooling import pool
 from heatscape.plans.bindings import OBSERVATIONS, hash_sql, observations
 from heatscape.plans.registry import query
-from heatscape.session import scratch_folder
+from heatscape.session import scratch_folder, spread
 from heatscape.sources import area_table, sinks, tables
 
 # ---- scans and sinks -------------------------------------------------------
@@ -146,7 +146,7 @@ words AS (
 
 def document_words(t) -> DataFrame:
     """Distinct words of the whole texts with their counts."""
-    return (t.documents.select(F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("name"))
+    return (spread(t.documents).select(F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("name"))
             .where("name <> ''").groupBy("name").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -156,9 +156,9 @@ SELECT role, canonical, count(*) AS n_names, CAST(sum(n) AS BIGINT) AS n_rows FR
   SELECT {role_case('role')} AS role, {role_case('canonical')} AS canonical, n FROM words) AS c
 GROUP BY role, canonical""")
 def b2(t):
-    c = document_words(t).withColumn("c", naming.classify(F.col("name")))
-    return c.groupBy(F.col("c.role").alias("role"), F.col("c.canonical").alias("canonical")).agg(
+    c = naming.classify(document_words(t), "name").groupBy("named").agg(
         F.count(F.lit(1)).alias("n_names"), F.sum("n").alias("n_rows"))
+    return c.select("named.*", "n_names", "n_rows")
 
 
 STATIONS = """

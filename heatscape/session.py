@@ -69,3 +69,12 @@ def ship_package(spark: SparkSession) -> None:
                                   os.path.dirname(here), os.path.basename(here))
     sc.addPyFile(archive)
     sc._heatscape_shipped = True
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of an input that has fewer partitions than there are cores, over all cores.
+
+    A table of many files is left as it is.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
