@@ -32,6 +32,7 @@ class Settings:
     shap_background: int = 25
     keep_target_like: bool = False
     trend_value: str | None = None
+    cluster_counts: tuple = tuple(clusters.K_RANGE)
 
 
 def _add(results: dict, name: str, df: DataFrame | None) -> None:
@@ -105,7 +106,7 @@ def analyse_zone(frame: DataFrame, roles: RoleMap, zone: str, results: dict, s:
     _add(results, "gatekeeper_scores", scored.select("zone", "row_id", F.col(f"`{y}`").alias("y"), "prediction",
                                                      "lower", "upper", "interval_width", "applicability_score",
                                                      "conformal_score", "trust_score", "verdict"))
-    table, _, meta = clusters.discover(d, feats, y)
+    table, _, meta = clusters.discover(d, feats, y, s.cluster_counts)
     _add(results, "local_climate_zones", table.withColumn("Zone", F.lit(zone)).withColumn(
         "silhouette", F.lit(meta["silhouette"])))
 
