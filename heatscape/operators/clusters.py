@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from heatscape.functions.columns import add
 from heatscape.operators.clean import standardise
 from heatscape.operators.spatial import fit_centres, nearest_centre
+from heatscape.session import side_by_side
 
 K_RANGE = range(3, 9)
 
@@ -50,10 +53,12 @@ def choose_k(df: DataFrame, features: list[str], ks=K_RANGE, seed: int = 42) ->
     """k of highest silhouette, with all scores."""
     z = standardise(df, features).select(*[f"z_{c}" for c in features]).persist()
     zs = z.columns
-    scores = {}
-    for k in ks:
+
+    def score(k):
         labelled = z.withColumn("cluster", nearest_centre(zs, fit_centres(z, zs, k, seed)))
-        scores[k] = silhouette(labelled, zs).first()["silhouette"]
+        return silhouette(labelled, zs).first()["silhouette"]
+
+    scores = dict(zip(ks, side_by_side([partial(score, k) for k in ks])))
     z.unpersist()
     return max(scores, key=lambda k: scores[k]), scores
 

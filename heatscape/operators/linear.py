@@ -134,15 +134,17 @@ def loo_errors(df: DataFrame, features: list[str], y: str, m: Moments,
     d = df.select(*[f"`{c}`" for c in (*features, y)]).dropna()
     d = d.select((F.col(f"`{y}`") - F.lit(float(m.mean[p]))).alias("yc"),
                  *[add([z[i] * F.lit(float(vec[i, j])) for i in range(p)]).alias(f"u{j}") for j in range(p)])
-    sums = []
-    for a_i, alpha in enumerate(alphas):
-        shrink = [1.0 / max(float(lam[j]) + alpha, 1e-12) for j in range(p)]
-        fit = add([F.col(f"u{j}") * F.lit(float(g[j]) * shrink[j]) for j in range(p)])
-        lev = add([F.lit(1.0 / m.n), *[F.col(f"u{j}") * F.col(f"u{j}") * F.lit(shrink[j]) for j in range(p)]])
-        e = (F.col("yc") - fit) / (1.0 - lev)
-        sums.append(F.avg(e * e).alias(f"e{a_i}"))
-    r = d.agg(*sums).first()
-    return [r[f"e{i}"] for i in range(len(alphas))]
+    # one small expression over (row, penalty) instead of one large one per penalty
+    shrink = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), *[
+        F.lit(1.0 / max(float(lam[j]) + alpha, 1e-12)).alias(f"s{j}") for j in range(p)])
+        for i, alpha in enumerate(alphas)]))
+    d = d.select("yc", *[f"u{j}" for j in range(p)], shrink.alias("a"))
+    u = [F.col(f"u{j}") * F.col(f"a.s{j}") for j in range(p)]
+    fit = add([u[j] * F.lit(float(g[j])) for j in range(p)])
+    leverage = add([F.lit(1.0 / m.n), *[u[j] * F.col(f"u{j}") for j in range(p)]])
+    e = (F.col("yc") - fit) / (1.0 - leverage)
+    found = {r["i"]: r["mse"] for r in d.groupBy("a.i").agg(F.avg(e * e).alias("mse")).collect()}
+    return [found[i] for i in range(len(alphas))]
 
 
 def fit_ridge(df: DataFrame, features: list[str], y: str, alphas: list[float] = RIDGE_ALPHAS) -> LinearModel:

@@ -68,7 +68,7 @@ def analyse_zone(frame: DataFrame, roles: RoleMap, zone: str, results: dict, s:
     best = bench.orderBy(F.desc("R2")).first()["Model"]
 
     audit_name = s.audit_model if s.audit_model in zoo else list(zoo)[-1]
-    audit = validate.leakage_audit(d, "row_id", feats, y, audit_name, zoo[audit_name])
+    audit = validate.leakage_audit(d, "row_id", feats, y, audit_name, zoo[audit_name], oof=oof)
     audit = audit.withColumns({"zone": F.lit(zone), "design": F.lit(design)})
     if all(xy):
         resid = oof.where(F.col("model") == best).select("row_id", (F.col("y") - F.col("prediction")).alias("resid"))

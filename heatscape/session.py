@@ -6,7 +6,9 @@ import os
 import shutil
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -78,3 +80,9 @@ def spread(df: DataFrame) -> DataFrame:
     """
     n = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
+def side_by_side(calls: list, threads: int = 4) -> list:
+    """Results of independent calls, several of which submit their Spark jobs at a time."""
+    with ThreadPoolExecutor(max_workers=threads) as pool:
+        return list(pool.map(inheritable_thread_target(lambda call: call()), calls))
