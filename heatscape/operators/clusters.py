@@ -58,7 +58,7 @@ def choose_k(df: DataFrame, features: list[str], ks=K_RANGE, seed: int = 42) ->
         labelled = z.withColumn("cluster", nearest_centre(zs, fit_centres(z, zs, k, seed)))
         return silhouette(labelled, zs).first()["silhouette"]
 
-    scores = dict(zip(ks, side_by_side([partial(score, k) for k in ks])))
+    scores = dict(zip(ks, side_by_side(df.sparkSession, [partial(score, k) for k in ks])))
     z.unpersist()
     return max(scores, key=lambda k: scores[k]), scores
 

@@ -82,7 +82,7 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
-def side_by_side(calls: list, threads: int = 4) -> list:
+def side_by_side(spark: SparkSession, calls: list, threads: int = 4) -> list:
     """Results of independent calls, several of which submit their Spark jobs at a time."""
     with ThreadPoolExecutor(max_workers=threads) as pool:
-        return list(pool.map(inheritable_thread_target(lambda call: call()), calls))
+        return list(pool.map(inheritable_thread_target(spark)(lambda call: call()), calls))
