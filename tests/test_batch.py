@@ -83,7 +83,7 @@ def test_area_table(spark, tmp_path, blank):
 def test_whole_run_and_sinks(spark, folder, tmp_path):
     found = tables.discover_inputs(spark, folder)
     found.pop("pixels_south_2")
-    s = Settings(trees=4, rounds=3, depth=3, model_names=("OLS", "Ridge", "LightGBM"), gwr_points=200, n_perm=5, shap_rows=300,
+    s = Settings(trees=4, rounds=3, depth=3, model_names=("OLS", "LightGBM"), gwr_points=200, n_perm=5, shap_rows=300,
                  cluster_counts=(3, 4))
     out = run(found, s)
     bench = out["model_benchmark"].collect()
