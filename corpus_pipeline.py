@@ -6,11 +6,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heatscape.llm import decontaminate, simhash
+from heatscape.llm import decontaminate, lines, simhash, toxicity
 from heatscape.llm.common import kept, unwrapped
 from heatscape.llm.queries import bpe_digest
 
 
+#: Documents with this score and above are rejected.
+TOXIC = 0.3
+
+
+def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model does not reject."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return unwrapped(toxicity.score(docs, model).where(F.col("score") < TOXIC))
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each group of nearly alike lines kept once."""
+    return lines.deduplicate(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that of the smallest doc_id."""
     return simhash.representatives(docs)
@@ -28,6 +43,8 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", toxic_documents),
+    ("line_dedup", repeated_lines),
     ("near_duplicates", near_duplicates),
     ("decontamination", decontamination),
     ("encoding", encoding),

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heatscape.llm import bpe, decontaminate, simhash, tokenfile
+from heatscape.llm import bpe, credentials, decontaminate, licenses, lines, pii, simhash, tokenfile, toxicity, vectors
 from heatscape.llm.common import doc_column
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,5 +49,41 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         decontaminate.is_contaminated().alias("contaminated"))
 
 
-for _query in (op3_byte_bpe, op6_token_files, op8_simhash_groups, op9_decontamination):
+def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.digest_columns(licenses.scan(_table(spark, folder, "documents").select("doc_id", "text")))
+
+
+def op2_vector_graph(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, folder, "embeddings"))
+
+
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, folder, "labels"))
+    rows = toxicity.score(docs, model)
+    return rows.select(doc_column(), F.coalesce(F.crc32(F.col("row.doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"), "score",
+                       (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    gone = lines.decisions(docs).withColumnRenamed("id", "doc_id")
+    whole = docs.select("doc_id", F.size(lines.lines_of(F.coalesce("text", F.lit("")))).cast("bigint").alias("n_lines"))
+    return whole.join(gone, "doc_id", "left").select(
+        "doc_id", "n_lines", (F.col("n_lines") - F.coalesce(F.size("removed"), F.lit(0))).alias("n_kept"), "removed")
+
+
+def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return credentials.digest_columns(credentials.scan(_table(spark, folder, "documents").select("doc_id", "source", "text")))
+
+
+def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digest_columns(pii.scan(_table(spark, folder, "documents").select("doc_id", "text")))
+
+
+for _query in (op1_license_scan, op2_vector_graph, op3_byte_bpe, op4_toxicity, op5_line_dedup, op6_token_files, op7_secret_scan,
+               op8_simhash_groups, op9_decontamination, op10_pii):
     QUERIES[_query.__name__] = _query
+
+SQL["op1_license_scan"] = licenses.sql()
+SQL["op7_secret_scan"] = credentials.sql()

@@ -22,8 +22,8 @@ from heatscape.session import scratch_folder, ship_package
 #: Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 LEVEL = 3
-#: Parts of texts whose ids a task remembers; beyond that it starts anew.
-CACHED = 300_000
+#: Parts of texts whose ids a worker remembers, twice: the latest, and those before them.
+CACHED = 500_000
 NO_ID = -(1 << 63)
 
 
@@ -110,20 +110,38 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.parts = Tokenizer.from_file(path), {}
+        self.tokenizer, self.parts, self.older = Tokenizer.from_file(path), {}, {}
+
+    def _learn(self, new: list[str]) -> None:
+        older, unknown = self.older.get, []
+        for x in new:
+            ids = older(x)
+            if ids is None:
+                unknown.append(x)
+            else:
+                self.parts[x] = ids
+        for k in range(0, len(unknown), 20_000):
+            some = unknown[k : k + 20_000]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            ends = np.cumsum([len(x) for x in ids]) * 4
+            flat = np.array([i for x in ids for i in x], "<u4").tobytes()
+            self.parts.update((x, flat[a:b]) for x, a, b in zip(some, [0, *ends[:-1].tolist()], ends.tolist(), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = [x for x in {x for s in split for x in s} if x not in self.parts]
-        if len(self.parts) + len(new) > CACHED:
-            self.parts.clear()
-            new = list({x for s in split for x in s})
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.parts[x] = np.array(e.ids, "<u4").tobytes()
-        get = self.parts.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        if len(self.parts) > CACHED:  # parts that are met again are taken over from the older half
+            self.parts, self.older = {}, self.parts
+        get, found, missing = self.parts.get, [], set()
+        for t in texts:
+            parts = t.replace("\n", " ").split(" ")
+            ids = list(map(get, parts))
+            if None in ids:
+                missing.update([x for x, y in zip(parts, ids, strict=True) if y is None])
+                found.append((False, parts))
+            else:
+                found.append((True, ids))
+        self._learn(list(missing))
+        known = self.parts.__getitem__
+        return [b"".join(x if whole else map(known, x)) for whole, x in found]
 
 
 _encoders: dict[str, Encoder] = {}
