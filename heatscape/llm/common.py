@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -24,6 +25,15 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """As ``kept``, in buckets of ``key``, so that joins and groups by it shuffle none of these rows."""
+    spark = df.sparkSession
+    name = f"llm_{label}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, key).option("path", f"{scratch_folder(spark)}/{label}").saveAsTable(name)
+    return spark.table(name)
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(f"`{col}`").cast("string"), F.lit(""))
 

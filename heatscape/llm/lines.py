@@ -1,6 +1,6 @@
 """Line deduplication: lines that are nearly alike, by MinHash of character shingles.
 
-Lines are compared without case and with single spaces. A line's shingles are the twelve characters
+Lines are compared without case, with one space for each run of spaces and control characters. A line's shingles are the twelve characters
 from the start of each word, and from every sixth character of a long one. Signatures of minima are
 cut into bands; lines that agree in a band are candidates, the Jaccard index of their shingle sets
 is computed exactly, and links are joined to components, of which the first line stays. All of it is
@@ -9,14 +9,18 @@ DataFrame functions.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heatscape.llm.common import kept
+from heatscape.llm.common import bucketed, kept
 from heatscape.llm.components import components
 
 SHINGLE = r"(?s)(?=(\S.{0,11}))\S{1,6} ?"
 BANDS, ROWS = 6, 3
+#: Further minima for lines that met an unlike one.
+FINER = 5
 SIMILAR = 0.8
 
 
@@ -26,27 +30,33 @@ def lines_of(text: Column) -> Column:
 
 def plain(line: Column) -> Column:
     """A line in lower case, with one space between words and none around them."""
-    return F.trim(F.regexp_replace(F.lower(line), r"(?U)[\s\x00-\x20]+", " "))
+    return F.trim(F.regexp_replace(F.lower(line), r"[\x00-\x20]{2,}|[\x00-\x1F]", " "))
 
 
 def shingles(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1))
 
 
+def _minima(lines: DataFrame, seeds: list[int]) -> DataFrame:
+    """(line, m0, m1, ...): the least hash of a line's shingles for each seed."""
+    each = lines.select("line", F.explode(shingles(F.col("words"))).alias("t")).select("line", F.xxhash64("t").alias("s"))
+    return each.groupBy("line").agg(*[F.min(F.xxhash64("s", F.lit(i))).alias(f"m{k}") for k, i in enumerate(seeds)])
+
+
 def band_keys(lines: DataFrame) -> DataFrame:
     """(line, keys): a key for each band of the signature of each distinct line.
 
     ``lines`` has (line, words), partitioned by line; its shingles stay in the task that has it.
     """
-    each = lines.select("line", F.explode(shingles(F.col("words"))).alias("t")).select("line", F.xxhash64("t").alias("s"))
-    minima = each.groupBy("line").agg(*[F.min(F.xxhash64("s", F.lit(i))).alias(f"m{i}") for i in range(BANDS * ROWS)])
+    minima = _minima(lines, list(range(BANDS * ROWS)))
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
     return minima.select("line", keys.alias("keys"))
 
 
 def similar_pairs(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """(a, b, same) of pairs (a, b), by their exact Jaccard index."""
-    sets = lines.select("line", F.col("words"))
+    ends = pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line"))).distinct()
+    sets = kept(lines.join(ends, "line").select("line", "words"), "compared")
     both = (pairs.join(sets.select(F.col("line").alias("a"), F.col("words").alias("x")), "a")
             .join(sets.select(F.col("line").alias("b"), F.col("words").alias("y")), "b"))
     left, right = F.array_distinct(shingles(F.col("x"))), F.array_distinct(shingles(F.col("y")))
@@ -57,29 +67,41 @@ def similar_pairs(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return both.select("a", "b", F.when(near, shared >= SIMILAR * (F.size("p") + F.size("q") - shared)).otherwise(F.lit(False)).alias("same"))
 
 
+def _compared(rows: DataFrame, distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links of one line of each bucket to the others, and (line, key) of the lines that it is unlike.
+
+    Which line that is depends on the bucket, so that a line meets another one in each of its buckets.
+    """
+    order = F.xxhash64("line", "key")
+    ordered = rows.withColumn("o", order)
+    least = ordered.groupBy("key").agg(F.min("o").alias("least"), F.min_by("line", "o").alias("head"), F.count("*").alias("n")).where("n > 1")
+    members = ordered.join(least.select("key", "head"), "key").where(F.col("line") != F.col("head"))
+    pairs = kept(members.select("key", "line", F.least("line", "head").alias("a"), F.greatest("line", "head").alias("b")), "pairs")
+    judged = kept(similar_pairs(pairs.select("a", "b").distinct(), distinct), "judged")
+    unlike = pairs.join(judged.where("NOT same").select("a", "b"), ["a", "b"]).select("line", "key")
+    return judged.where("same").select("a", "b"), kept(unlike, "unlike")
+
+
 def links(distinct: DataFrame, keys: DataFrame) -> DataFrame:
-    """(a, b): verified links that join lines of each bucket.
+    """(a, b): verified links that join the lines of each bucket.
 
-    In every bucket all lines are compared with one of them; those unlike it are compared with one
-    of themselves, and so on until none is left, so no bucket emits all of its pairs.
+    All lines of a bucket are compared with one of them. Those unlike it meet again in finer
+    buckets, that agree in one of FINER further minima too, and then in two of them: alike lines
+    do so nearly always and others seldom, so a bucket of any size costs a few comparisons a line
+    and never emits its pairs.
     """
     rows = keys.select("line", F.explode("keys").alias("key"))
-    found, turn = None, 0
-    while True:
-        # another order of lines in every turn, and in every bucket
-        order = F.xxhash64("line", "key", F.lit(turn))
-        first = (rows.withColumn("o", order).groupBy("key").agg(F.min("o").alias("o"), F.count("*").alias("n")).where("n > 1"))
-        members = kept(rows.withColumn("o", order).join(first.select("key", F.col("o").alias("least")), "key"), "buckets")
-        heads = members.where(F.col("o") == F.col("least")).select("key", F.col("line").alias("head")).groupBy("key").agg(F.min("head").alias("head"))
-        pairs = members.join(heads, "key").where(F.col("line") != F.col("head")).select("key", "line", "head")
-        pairs = kept(pairs.select("key", "line", F.least("line", "head").alias("a"), F.greatest("line", "head").alias("b")), "pairs")
-        if pairs.isEmpty():
-            return found if found is not None else pairs.select("a", "b")
-        judged = kept(similar_pairs(pairs.select("a", "b").distinct(), distinct), "judged")
-        good = judged.where("same").select("a", "b")
-        found = good if found is None else found.unionByName(good)
-        rows = kept(pairs.join(judged.where("NOT same").select("a", "b"), ["a", "b"]).select("line", "key"), "unlike")
-        turn += 1
+    found, unlike = _compared(rows, distinct)
+    for together in (1, 2):
+        if unlike.isEmpty():
+            break
+        texts = distinct.join(unlike.select("line").distinct(), "line", "left_semi")
+        minima = _minima(texts, [1000 + i for i in range(FINER)])
+        groups = list(combinations(range(FINER), together))
+        finer = F.explode(F.array(*[F.xxhash64("key", F.lit(k), *[F.col(f"m{i}") for i in g]) for k, g in enumerate(groups)]))
+        more, unlike = _compared(unlike.join(minima, "line").select("line", finer.alias("key")), distinct)
+        found = found.unionByName(more)
+    return found
 
 
 def decisions(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -93,16 +115,15 @@ def decisions(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
     each = docs.select(F.col(f"`{id_col}`").alias("id"), F.posexplode(lines_of(F.col(f"`{text_col}`"))).alias("place", "text"))
     each = each.select("id", "place", plain(F.col("text")).alias("words")).where("words <> ''").withColumn("line", F.xxhash64("words"))
     # copies meet before the shuffle; one text for each line remains
-    distinct = kept(each.groupBy("line").agg(F.max("words").alias("words"), F.count("*").alias("n")).drop("n"), "lines")
-    keys = kept(band_keys(distinct.repartition("line")), "bands")
+    distinct = bucketed(each.groupBy("line").agg(F.max("words").alias("words")), "line", "lines")
+    keys = kept(band_keys(distinct), "bands")
     joined = kept(components(links(distinct, keys)), "components")
     at = F.struct(F.col("id").isNull().alias("none"), "id", "place")
-    spots = each.select("id", "place", "line")
+    spots = kept(each.select("id", "place", "line"), "spots")
     once = spots.groupBy("line").agg(F.min(at).alias("first"), F.count("*").alias("n"))
-    named = kept(once.join(joined, once["line"] == joined["node"], "left").select("line", "first", "n", F.coalesce("root", "line").alias("component"),
-                                                                                 F.col("root").isNotNull().alias("near")), "named")
     # only lines with copies or links can go
-    several = named.where("near OR n > 1")
+    several = once.join(joined, once["line"] == joined["node"], "left").where("n > 1 OR root IS NOT NULL")
+    several = kept(several.select("line", "first", F.coalesce("root", "line").alias("component")), "several")
     lowest = several.groupBy("component").agg(F.min("first").alias("lowest"))
     known = several.join(lowest, "component").select("line", "component", "lowest")
     gone = spots.join(known, "line").where(~at.eqNullSafe(F.col("lowest")))
