@@ -208,15 +208,15 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
         return Model(language, {}, math.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)) if len(y) else -3.0)
     lists = found["f"].combine_chunks()
     flat = lists.flatten().to_numpy()
-    row = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
+    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
     df = np.bincount(flat, minlength=BUCKETS)
-    bad = np.bincount(flat, weights=y[row], minlength=BUCKETS)
+    bad = np.bincount(flat[(y > 0)[row]], minlength=BUCKETS)
     expected = df * y.mean()
     with np.errstate(divide="ignore", invalid="ignore"):
         power = np.where(df >= min(LEAST_ROWS, max(2, len(y) // 100)), (bad - expected) ** 2 / (expected + 1), 0)
     top = np.argsort(-power, kind="stable")[:FEATURES]
     top = top[power[top] > 0]
-    place = np.full(BUCKETS, -1)
+    place = np.full(BUCKETS, -1, np.int32)
     place[top] = np.arange(len(top))
     keep = place[flat] >= 0
     x = np.zeros((len(y), len(top)), np.float32)
