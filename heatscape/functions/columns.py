@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, NumericType, StringType
 
 HASH_RANGE = 2147483648
 
@@ -54,6 +54,8 @@ def as_double(df: DataFrame, name: str) -> Column:
     c = F.col(f"`{name}`")
     if isinstance(df.schema[name].dataType, StringType):
         return F.when(c.rlike(NUMBER), c.try_cast("double"))
+    if not isinstance(df.schema[name].dataType, (NumericType, BooleanType)):  # dates, times, bytes, nested values
+        return F.lit(None).cast("double")
     return null_if_nan(c.try_cast("double"))
 
 

@@ -9,6 +9,8 @@ from heatscape.operators.linear import moments
 
 VIF_LIMIT = 10.0
 INFINITE_VIF = 1e6
+#: Share of variance below which a column counts as determined by others.
+SINGULAR = 1e-12
 
 
 def correlation_matrix(df: DataFrame, cols: list[str]) -> np.ndarray:
@@ -22,11 +24,19 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> np.ndarray:
 
 
 def vif_from_correlation(r: np.ndarray) -> np.ndarray:
-    """Diagonal of the inverse correlation matrix; infinite values become 1e6."""
-    try:
+    """1 / (1 - R2) of each column on all others; 1e6 where the others determine it.
+
+    For a regular matrix this is the diagonal of its inverse. A singular one says nothing of the
+    columns outside the dependence, so there every column is regressed by itself.
+    """
+    if np.linalg.cond(r) < 1 / SINGULAR:
         v = np.diag(np.linalg.inv(r)).copy()
-    except np.linalg.LinAlgError:
-        v = np.full(len(r), np.inf)
+    else:
+        v = np.empty(len(r))
+        for j in range(len(r)):
+            rest = np.delete(np.arange(len(r)), j)
+            left = 1.0 - r[j, rest] @ np.linalg.pinv(r[np.ix_(rest, rest)], rcond=SINGULAR, hermitian=True) @ r[rest, j]
+            v[j] = 1.0 / left if left > SINGULAR else np.inf
     v[np.isnan(v)] = 0.0
     return np.where(~np.isfinite(v) | (v < 0), INFINITE_VIF, v)
 
