@@ -71,6 +71,21 @@ def _at(level: float, n: int) -> tuple[int, int, float]:
     return low, min(low + 1, n - 1), spot - low
 
 
+def _between(a: float, b: float, w: float) -> float:
+    """The value at weight ``w`` from ``a`` to ``b``, either of which may be infinite."""
+    if a == b or w == 0:
+        return a
+    return a + (b - a) * w if np.isfinite(a) and np.isfinite(b) else a * (1 - w) + b * w
+
+
+def _infinite_ends(df: DataFrame, key: str, value: str) -> dict:
+    """Group -> (values at minus infinity, at infinity, least and greatest finite value)."""
+    v = F.col(value)
+    finite = F.when(F.abs(v) < float("inf"), v)
+    rows = df.groupBy(key).agg(F.count_if(v == float("-inf")), F.count_if(v == float("inf")), F.min(finite), F.max(finite))
+    return {r[0]: tuple(r)[1:] for r in rows.collect()}
+
+
 def values_at(df: DataFrame, key: str, value: str, places: dict[object, list[int]], stats: dict) -> dict:
     """Values at 0-based places in each group's order, by narrowing intervals.
 
@@ -79,9 +94,18 @@ def values_at(df: DataFrame, key: str, value: str, places: dict[object, list[int
     rows per interval and the last one at most ``FEW_VALUES``.
     """
     spark = df.sparkSession
-    # an interval: group, lowest and highest value, rows below it, rows in it, wanted places
-    todo = [(g, lo, hi, 0, n, sorted(set(places[g]))) for g, (n, lo, hi) in stats.items() if places.get(g)]
     out: dict = {}
+    # an interval: group, lowest and highest value, rows below it, rows in it, wanted places
+    todo = []
+    ends = _infinite_ends(df, key, value) if any(np.isinf([x for _, *x in stats.values()]).ravel()) else {}
+    for g, (n, lo, hi) in stats.items():
+        low, high, first, last = ends.get(g, (0, 0, lo, hi))
+        for p in places.get(g) or []:  # an infinite value is its own interval
+            if p < low or p >= n - high:
+                out[g, p] = -np.inf if p < low else np.inf
+        want = sorted({p for p in places.get(g) or [] if low <= p < n - high})
+        if want:
+            todo.append((g, first, last, low, n - low - high, want))
     schema = StructType([StructField("__i", IntegerType()), StructField("__g", df.schema[key].dataType),
                          StructField("__lo", DoubleType()), StructField("__hi", DoubleType())])
 
@@ -106,7 +130,10 @@ def values_at(df: DataFrame, key: str, value: str, places: dict[object, list[int
                 out.update({(g, p): v[p - below] for p in want})
         if not todo:
             break
-        share = (F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))
+        wide = F.col("__hi") - F.col("__lo")
+        # halves of values whose distance is beyond the largest double
+        share = F.when(wide < float("inf"), (F.col(value) - F.col("__lo")) / wide).otherwise(
+            (F.col(value) / 2 - F.col("__lo") / 2) / (F.col("__hi") / 2 - F.col("__lo") / 2))
         counted = inside(todo).groupBy("__i", F.least(F.floor(share * BINS), F.lit(BINS - 1)).alias("b")).agg(
             F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")).collect()
         bins: dict[int, list] = {}
@@ -128,10 +155,11 @@ def quantiles(df: DataFrame, value: str, levels: list[float], keys: list[str] =
     """Exact linearly interpolated quantiles: ``keys``, ``n`` and array ``q``.
 
     Small inputs take the built-in aggregate, few groups of any size take bin
-    counts, and many groups take sorted ranks.
+    counts, and many groups take sorted ranks.  Nulls and NaN are left out,
+    infinities are values like others.
     """
     keys = list(keys)
-    d = df.select(*keys, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull())
+    d = df.select(*keys, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull() & ~F.isnan(value))
     if (d.count() if rows is None else rows) <= small_rows:
         return d.groupBy(*keys).agg(
             F.count(value).alias("n"),
@@ -147,14 +175,15 @@ def quantiles(df: DataFrame, value: str, levels: list[float], keys: list[str] =
     out = []
     for g, (n, _, _) in stats.items():
         spots = [_at(x, n) for x in levels]
-        out.append((*(g if keys else ()), n, [got[g, a] + (got[g, b] - got[g, a]) * w for a, b, w in spots]))
+        out.append((*(g if keys else ()), n, [_between(got[g, a], got[g, b], w) for a, b, w in spots]))
     schema = StructType([*[d.schema[k] for k in keys], StructField("n", LongType()),
                          StructField("q", ArrayType(DoubleType()))])
     return df.sparkSession.createDataFrame(out, schema)
 
 
 def _sorted_quantiles(d: DataFrame, value: str, levels: list[float], keys: list[str]) -> DataFrame:
-    ranked = global_rank(d, [value], keys, "__rank")
+    # a number for each row, so that equal values can be in several tasks
+    ranked = global_rank(d.withColumn("__tie", F.monotonically_increasing_id()), [value, "__tie"], keys, "__rank")
     r = ranked.join(d.groupBy(*keys).agg(F.count(value).alias("n")), keys)
     spots = []
     for i, level in enumerate(levels):

@@ -34,7 +34,7 @@ def conformal_level(m: int, alpha: float) -> float:
 
 def rank_score(df: DataFrame, key: str, value: str, ref: DataFrame, ref_value: str, out: str,
                small: int = SMALL_SCALE) -> DataFrame:
-    """Add 1 - share of reference values <= ``value``; 0.5 without reference values.
+    """Add 1 - share of reference values <= ``value``, null for null; 0.5 without reference values.
 
     Up to ``small`` reference values are broadcast as one sorted array.  Beyond
     that both tables are sorted together: the place of a row among all, less
@@ -51,14 +51,16 @@ def rank_score(df: DataFrame, key: str, value: str, ref: DataFrame, ref_value: s
         def score(v: pd.Series) -> pd.Series:
             return pd.Series(1.0 - np.searchsorted(bc.value, v.to_numpy(), side="right") / len(bc.value))
 
-        return df.withColumn(out, score(F.col(value)))
+        return df.withColumn(out, F.when(F.col(value).isNotNull(), score(F.col(value))))
     q = df.select(F.col(value).alias("v"), F.lit(1).alias("t"), F.col(key).cast("long").alias("k"))
-    both = q.unionByName(r.select("v", F.lit(0).alias("t"), F.lit(None).cast("long").alias("k")))
+    # reference rows get a number, so that equal values can be in several tasks
+    both = q.unionByName(r.select("v", F.lit(0).alias("t"), F.monotonically_increasing_id().alias("k")))
     everywhere = global_rank(both, ["v", "t", "k"]).where("t = 1").select("k", F.col("rank").alias("a"))
     among = global_rank(q, ["v", "t", "k"]).select("k", F.col("rank").alias("b"))
     below = everywhere.join(among, "k").select(
-        F.col("k").alias(key), (1.0 - (F.col("a") - F.col("b")) / F.lit(float(n))).alias(out))
-    return df.join(below, key)
+        F.col("k").alias(key), (1.0 - (F.col("a") - F.col("b")) / F.lit(float(n))).alias("__below"))
+    scored = df.join(below, key)
+    return scored.withColumn(out, F.when(F.col(value).isNotNull(), F.col("__below"))).drop("__below")
 
 
 @dataclass
@@ -78,9 +80,12 @@ class GatekeeperModel:
     half_b: DataFrame = field(repr=False)
 
     def score(self, df: DataFrame) -> DataFrame:
-        """Input columns plus prediction, interval, both scores, trust and verdict."""
+        """Input columns plus prediction, interval, both scores, trust and verdict.
+
+        A row without a feature has no neighbours: its interval and scores are null and its verdict is REJECT.
+        """
         d = standardise(self.model.transform(df), self.features, self.stats)
-        d = _signals(d, self.key, self.features, self.train, self.half_a, self.k)
+        d = _signals(d, self.key, self.features, self.train, self.half_a, self.k, "left")
         d = rank_score(d, self.key, "ad_distance", self.half_b, "ad_distance", "applicability_score")
         d = rank_score(d, self.key, "sigma", self.half_b, "sigma", "conformal_score")
         half = F.lit(self.q_hat) * (F.col("sigma") + F.lit(self.beta))
@@ -110,11 +115,12 @@ def _mean_near(q: DataFrame, key: str, zs: list[str], ref: DataFrame, k: int, va
     return near.groupBy(F.col("query_id").alias(key)).agg(what.alias(out))
 
 
-def _signals(df: DataFrame, key: str, features: list[str], train: DataFrame, half_a: DataFrame, k: int) -> DataFrame:
+def _signals(df: DataFrame, key: str, features: list[str], train: DataFrame, half_a: DataFrame, k: int,
+             how: str = "inner") -> DataFrame:
     """Add mean distance to the k nearest training rows and mean residual of the k nearest A rows."""
     zs = [f"z_{c}" for c in features]
-    return (df.join(_mean_near(df, key, zs, train, k, None, "ad_distance"), key)
-            .join(_mean_near(df, key, zs, half_a, k, "abs_resid", "sigma"), key))
+    return (df.join(_mean_near(df, key, zs, train, k, None, "ad_distance"), key, how)
+            .join(_mean_near(df, key, zs, half_a, k, "abs_resid", "sigma"), key, how))
 
 
 def split_halves(cal: DataFrame, key: str, seed: int = 0, min_rows: int = 5) -> tuple[DataFrame, DataFrame]:

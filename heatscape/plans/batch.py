@@ -136,9 +136,13 @@ def run(tables: dict[str, DataFrame], settings: Settings = Settings()) -> dict[s
         pooled, roles = pool(cleaned)
         if len(roles.indices) >= 1:
             analyse_zone(keyed(pooled), roles, "Pooled (N+S)", results, settings)
-    named = [(z, c) for z, c in cleaned if z != UNASSIGNED]
+    # the first table of each zone; a zone isn't compared with itself
+    named: dict[str, Cleaned] = {}
+    for z, c in cleaned:
+        if z != UNASSIGNED:
+            named.setdefault(z, c)
     if len(named) >= 2:
-        (za, a), (zb, b) = named[:2]
+        (za, a), (zb, b) = list(named.items())[:2]
         common = sorted(set(a.roles.indices) & set(b.roles.indices))
 
         def renamed(c):

@@ -7,16 +7,20 @@ from pyspark.sql import functions as F
 from heatscape.operators import explain, gatekeeper, linear, models, spatial, validate
 from heatscape.plans.bindings import (FEATURES, PARTED, PIXELS, bucket_sql, distance2_sql, hash_sql, ols2_sql, parted,
                                       pixels)
+from heatscape.plans.queries_space import GROUP_FOLDS, label_blocks
 from heatscape.plans.registry import query
 
 PAIR = ["f2", "f3"]
-FOLDED = f"""{PIXELS},
-folded AS (SELECT *, {bucket_sql('id', 5)} AS fold, {bucket_sql('id', 4, 9)} AS random_fold FROM pixels)"""
+FOLDED = f"""{GROUP_FOLDS},
+folded AS (
+  SELECT p.*, CAST(w.fold AS INTEGER) AS fold, {bucket_sql('p.id', 5, 9)} AS random_fold
+  FROM pixels p JOIN blocked b ON b.id = p.id JOIN walk w ON w.block = b.block AND w.i > 0)"""
 
 
 def folded(t):
-    d = spatial.random_folds(pixels(t), "id")
-    return spatial.random_folds(d, "id", 4, 9, "random_fold")
+    """Pixels with spatial folds, whole blocks of nearest centres, and random ones."""
+    d = spatial.assign_folds(label_blocks(t), "id")
+    return spatial.random_folds(d, "id", 5, 9, "random_fold")
 
 
 def oof_sql(fold: str = "fold", name: str = "oof") -> str:
@@ -126,13 +130,13 @@ def f7(t):
 
 
 @query("f8_out_of_fold", "id fold", "y prediction", f"""
-WITH {FOLDED}, {oof_sql()} SELECT id, fold, y, prediction FROM oof""")
+WITH RECURSIVE {FOLDED}, {oof_sql()} SELECT id, fold, y, prediction FROM oof""")
 def f8_oof(t):
     return validate.out_of_fold(folded(t), "id", PAIR, "y", {"OLS": linear.fit_ols})
 
 
 @query("f8_benchmark", "Zone Model", "R2 RMSE MAE Bias R2_fold_std R2_fold_min MaxAbsErr", f"""
-WITH {FOLDED}, {oof_sql()},
+WITH RECURSIVE {FOLDED}, {oof_sql()},
 folds AS (SELECT {R2_SQL} AS r FROM oof GROUP BY fold)
 SELECT 'Pixels' AS "Zone", 'OLS' AS "Model", {R2_SQL} AS "R2", sqrt(avg(power(y - prediction, 2))) AS "RMSE",
        avg(abs(y - prediction)) AS "MAE", avg(y - prediction) AS "Bias", (SELECT stddev_pop(r) FROM folds) AS "R2_fold_std",
@@ -151,7 +155,7 @@ def f8_zoo(t):
 
 
 AUDIT_SQL = f"""
-WITH {FOLDED}, {oof_sql('fold', 'spat')}, {oof_sql('random_fold', 'rand')},
+WITH RECURSIVE {FOLDED}, {oof_sql('fold', 'spat')}, {oof_sql('random_fold', 'rand')},
 a AS (SELECT {R2_SQL} AS r FROM rand), b AS (SELECT {R2_SQL} AS r FROM spat)"""
 
 

@@ -96,8 +96,7 @@ def e3(t):
     return spatial.spatial_blocks(t.orders, None, None, [], "o_orderkey")[0]
 
 
-@query("e4_group_folds", "block fold n", sql=f"""
-WITH RECURSIVE {BLOCKED},
+GROUP_FOLDS = f"""{BLOCKED},
 sizes AS (SELECT block, n, row_number() OVER (ORDER BY n DESC, block DESC) AS i FROM (
   SELECT block, count(*) AS n FROM blocked GROUP BY block) AS s),
 walk AS (
@@ -110,8 +109,11 @@ walk AS (
   FROM (SELECT s.i, s.block, s.n, w.a, w.b, w.c, w.d, w.e,
                CAST(CASE least(w.a, w.b, w.c, w.d, w.e) WHEN w.a THEN 0 WHEN w.b THEN 1 WHEN w.c THEN 2 WHEN w.d THEN 3
                     ELSE 4 END AS BIGINT) AS fold
-        FROM walk w JOIN sizes s ON s.i = w.i + 1) AS step)
-SELECT block, CAST(fold AS INTEGER) AS fold, n FROM walk WHERE i > 0""")
+        FROM walk w JOIN sizes s ON s.i = w.i + 1) AS step)"""
+
+
+@query("e4_group_folds", "block fold n", sql=f"""
+WITH RECURSIVE {GROUP_FOLDS} SELECT block, CAST(fold AS INTEGER) AS fold, n FROM walk WHERE i > 0""")
 def e4(t):
     d = spatial.assign_folds(label_blocks(t), "id")
     return d.groupBy("block", "fold").agg(F.count(F.lit(1)).alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import os
 import zipfile
@@ -71,7 +72,10 @@ def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 suffix = os.path.splitext(name)[1].lower()
                 if SKIPPED_FOLDER in name or suffix not in SUFFIXES:
                     continue
-                lines = _csv_lines(name.lower(), archive.read(info))
+                try:
+                    lines = _csv_lines(name.lower(), archive.read(info))
+                except (RuntimeError, NotImplementedError, zipfile.BadZipFile):  # encrypted, packed otherwise or damaged
+                    continue
                 for s in range(0, len(lines), 50_000):
                     part = lines[s:s + 50_000]
                     yield pd.DataFrame({"archive": path, "member": name,
@@ -101,7 +105,7 @@ def parse_lines(lines: DataFrame, sep: str = ",") -> DataFrame:
 
 
 def _header_names(header: str, sep: str) -> list[str]:
-    names = [x.strip().strip('"') for x in header.split(sep)]
+    names = [x.strip() for x in next(csv.reader([header], delimiter=sep, skipinitialspace=True), [])]
     return [x or f"Unnamed_{i}" for i, x in enumerate(names)]
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from heatscape.functions.columns import as_double
 from heatscape.operators import roles
 from heatscape.operators.collinearity import INFINITE_VIF, screen, vif_from_correlation
+from heatscape.sources.tables import _header_names
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -34,3 +35,7 @@ def test_roles_of_tables_as_they_are(spark):
     for name in ("orders", "events", "embeddings"):
         table = spark.read.parquet(f"{FOLDER}/{name}.parquet").withColumn("observed", F.current_date())
         assert roles.infer_roles(table, name) is not None
+
+
+def test_quoted_header_names():
+    assert _header_names('"LST, mean",NDVI, "a ""b""",', ",") == ["LST, mean", "NDVI", 'a "b"', "Unnamed_3"]

@@ -42,3 +42,18 @@ def test_global_rank_is_row_number(rows):
 def test_one_value_only(spark):
     d = spark.range(5000).select(F.lit(4.0).alias("v"))
     assert quantiles(d, "v", [0.5], small_rows=0).first()["q"] == [4.0]
+
+
+@pytest.mark.parametrize("kw", [{}, {"small_rows": 0}, {"small_rows": 0, "max_groups": 1}])
+def test_infinities_are_values_and_nan_is_missing(spark, kw):
+    v = F.when(F.col("id") < 3, float("-inf")).when(F.col("id") > 4990, float("inf")).when(F.col("id") == 9, float("nan"))
+    rows = spark.range(5000).select((F.col("id") % 2).alias("g"), v.otherwise(F.col("id") * 1e305).alias("v"))
+    levels = [0.0, 0.25, 0.5, 1.0]
+    got = {r["g"]: r for r in quantiles(rows, "v", levels, ["g"], **kw).collect()}
+    for g, d in rows.where("NOT isnan(v)").toPandas().groupby("g"):
+        s = sorted(d["v"])
+        low, high = int((len(s) - 1) * 0.25), int((len(s) - 1) * 0.5)
+        assert got[g]["n"] == len(s)
+        q = got[g]["q"]
+        assert q[0] == float("-inf") and q[3] == float("inf")
+        assert s[low] <= q[1] <= s[low + 1] and s[high] <= q[2] <= s[high + 1]
