@@ -30,7 +30,8 @@ def lines_of(text: Column) -> Column:
 
 def plain(line: Column) -> Column:
     """A line in lower case, with one space between words and none around them."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[\x00-\x20]{2,}|[\x00-\x1F]", " "))
+    uneven = F.contains(line, F.lit("  ")) | line.rlike(r"[\x00-\x1F]")
+    return F.trim(F.lower(F.when(uneven, F.regexp_replace(line, r"[\x00-\x20]{2,}|[\x00-\x1F]", " ")).otherwise(line)))
 
 
 def shingles(line: Column) -> Column:
@@ -54,32 +55,39 @@ def band_keys(lines: DataFrame) -> DataFrame:
 
 
 def similar_pairs(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(a, b, same) of pairs (a, b), by their exact Jaccard index."""
+    """(a, b, same) of pairs (a, b), by the exact Jaccard index of their shingles, which 64-bit hashes stand for.
+
+    The set of a line is made once, however many pairs it is in.
+    """
     ends = pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line"))).distinct()
-    sets = kept(lines.join(ends, "line").select("line", "words"), "compared")
-    both = (pairs.join(sets.select(F.col("line").alias("a"), F.col("words").alias("x")), "a")
-            .join(sets.select(F.col("line").alias("b"), F.col("words").alias("y")), "b"))
-    left, right = F.array_distinct(shingles(F.col("x"))), F.array_distinct(shingles(F.col("y")))
-    both = both.select("a", "b", left.alias("p"), right.alias("q"))
+    hashes = F.array_distinct(F.transform(shingles(F.col("words")), lambda x: F.xxhash64(x)))
+    sets = bucketed(lines.join(ends, "line").select("line", hashes.alias("hashes")), "line", "compared")
+    both = (pairs.join(sets.select(F.col("line").alias("a"), F.col("hashes").alias("p")), "a")
+            .join(sets.select(F.col("line").alias("b"), F.col("hashes").alias("q")), "b"))
     # sets of too unlike a size can't be similar
     near = F.least(F.size("p"), F.size("q")) >= SIMILAR * F.greatest(F.size("p"), F.size("q"))
     shared = F.size(F.array_intersect("p", "q"))
     return both.select("a", "b", F.when(near, shared >= SIMILAR * (F.size("p") + F.size("q") - shared)).otherwise(F.lit(False)).alias("same"))
 
 
-def _compared(rows: DataFrame, distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links of one line of each bucket to the others, and (line, key) of the lines that it is unlike.
+def _compared(rows: DataFrame, distinct: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links of one line of each bucket to the others, (line, key) of the lines that it is unlike, and all (a, b, same) so far.
 
     Which line that is depends on the bucket, so that a line meets another one in each of its buckets.
+    Pairs that ``known`` has judged are not compared again.
     """
     order = F.xxhash64("line", "key")
     ordered = rows.withColumn("o", order)
     least = ordered.groupBy("key").agg(F.min("o").alias("least"), F.min_by("line", "o").alias("head"), F.count("*").alias("n")).where("n > 1")
     members = ordered.join(least.select("key", "head"), "key").where(F.col("line") != F.col("head"))
     pairs = kept(members.select("key", "line", F.least("line", "head").alias("a"), F.greatest("line", "head").alias("b")), "pairs")
-    judged = kept(similar_pairs(pairs.select("a", "b").distinct(), distinct), "judged")
-    unlike = pairs.join(judged.where("NOT same").select("a", "b"), ["a", "b"]).select("line", "key")
-    return judged.where("same").select("a", "b"), kept(unlike, "unlike")
+    new = pairs.select("a", "b").distinct()
+    if known is not None:
+        new = new.join(known, ["a", "b"], "left_anti")
+    judged = kept(similar_pairs(new, distinct), "judged")
+    known = judged if known is None else known.unionByName(judged)
+    unlike = pairs.join(known.where("NOT same").select("a", "b"), ["a", "b"]).select("line", "key")
+    return judged.where("same").select("a", "b"), kept(unlike, "unlike"), known
 
 
 def links(distinct: DataFrame, keys: DataFrame) -> DataFrame:
@@ -91,15 +99,17 @@ def links(distinct: DataFrame, keys: DataFrame) -> DataFrame:
     and never emits its pairs.
     """
     rows = keys.select("line", F.explode("keys").alias("key"))
-    found, unlike = _compared(rows, distinct)
+    found, unlike, known = _compared(rows, distinct)
+    minima = None
     for together in (1, 2):
         if unlike.isEmpty():
             break
-        texts = distinct.join(unlike.select("line").distinct(), "line", "left_semi")
-        minima = _minima(texts, [1000 + i for i in range(FINER)])
+        if minima is None:  # later rounds have some of these lines and no others
+            texts = distinct.join(unlike.select("line").distinct(), "line", "left_semi")
+            minima = kept(_minima(texts, [1000 + i for i in range(FINER)]), "minima")
         groups = list(combinations(range(FINER), together))
         finer = F.explode(F.array(*[F.xxhash64("key", F.lit(k), *[F.col(f"m{i}") for i in g]) for k, g in enumerate(groups)]))
-        more, unlike = _compared(unlike.join(minima, "line").select("line", finer.alias("key")), distinct)
+        more, unlike, known = _compared(unlike.join(minima, "line").select("line", finer.alias("key")), distinct, known)
         found = found.unionByName(more)
     return found
 
@@ -113,7 +123,9 @@ def decisions(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
     same line at the same place all copies stay or all go.
     """
     each = docs.select(F.col(f"`{id_col}`").alias("id"), F.posexplode(lines_of(F.col(f"`{text_col}`"))).alias("place", "text"))
-    each = each.select("id", "place", plain(F.col("text")).alias("words")).where("words <> ''").withColumn("line", F.xxhash64("words"))
+    # a look at the raw line tells an empty one and keeps the filter from making every plain line twice
+    each = each.where(F.col("text").rlike(r"[^\x00-\x20]")).select("id", "place", plain(F.col("text")).alias("words"))
+    each = each.withColumn("line", F.xxhash64("words"))
     # copies meet before the shuffle; one text for each line remains
     distinct = bucketed(each.groupBy("line").agg(F.max("words").alias("words")), "line", "lines")
     keys = kept(band_keys(distinct), "bands")
