@@ -26,7 +26,7 @@ class Settings:
     depth: int | None = None
     model_names: tuple | None = None
     audit_model: str = "LightGBM"
-    gwr_points: int = gwr.MAX_POINTS
+    gwr_points: int | None = None
     n_perm: int = gwr.PERMUTATIONS
     shap_rows: int = 4000
     shap_background: int = 25

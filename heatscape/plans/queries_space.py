@@ -233,7 +233,7 @@ fits AS (
 
 
 def _local(t, bandwidth: int = BANDWIDTH):
-    focal, sample = gwr.take_sample(pixels(t), "id", "lon", "lat", ["f2"], "y", gwr.MAX_REGRESSION_ROWS)
+    focal, sample = gwr.take_points(pixels(t), "id", "lon", "lat", ["f2"], "y")
     return focal, sample, gwr.local_coefficients(focal, sample, ["f2"], bandwidth)
 
 
@@ -247,7 +247,7 @@ def g1(t):
 
 @query("g2_bandwidth_search", "bandwidth n")
 def g2(t):
-    focal, sample = gwr.take_sample(pixels(t), "id", "lon", "lat", ["f2", "f3"], "y")
+    focal, sample = gwr.take_points(pixels(t), "id", "lon", "lat", ["f2", "f3"], "y")
     bw = gwr.select_bandwidth(focal, sample, ["f2", "f3"])
     return focal.agg(F.count(F.lit(1)).alias("n")).withColumn("bandwidth", F.lit(bw))
 
@@ -279,14 +279,14 @@ scores AS (
 SELECT aicc_local, aicc_global, aicc_global - aicc_local AS delta, aicc_global - aicc_local > 3.0 AS justified
 FROM scores""", dp=3)
 def g4(t):
-    out = gwr.gwr(pixels(t), "id", "lon", "lat", ["f2"], "y", gwr.MAX_REGRESSION_ROWS, 0, BANDWIDTH)
+    out = gwr.gwr(pixels(t), "id", "lon", "lat", ["f2"], "y", n_perm=0, bandwidth=BANDWIDTH)
     return out["meta"].select(F.col("aicc").alias("aicc_local"), F.col("aicc_ols").alias("aicc_global"),
                               F.col("delta_aicc").alias("delta"), F.col("gwr_justified").alias("justified"))
 
 
 @query("g5_permutation_spread", "perm feature", "iqr")
 def g5(t):
-    focal, sample = gwr.take_sample(pixels(t), "id", "lon", "lat", ["f2", "f3"], "y")
+    focal, sample = gwr.take_points(pixels(t), "id", "lon", "lat", ["f2", "f3"], "y")
     return gwr.permuted_spreads(focal, sample, ["f2", "f3"], BANDWIDTH)
 
 

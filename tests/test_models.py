@@ -109,6 +109,25 @@ def test_clusters_find_blobs(spark):
     assert table.first()["Mean_LST_C"] == pytest.approx(26, abs=0.2) and "high p" in table.first()["Signature"]
 
 
+def test_tiled_gwr_equals_broadcast(spark):
+    rng = np.random.default_rng(3)
+    n = 700
+    rows = [(i, float(a), float(b), float(x), float(x * a + e)) for i, (a, b, x, e) in enumerate(
+        zip(rng.normal(size=n), rng.normal(size=n), rng.normal(size=n), rng.normal(size=n)))]
+    d = spark.createDataFrame(rows, "id long, lon double, lat double, x double, y double")
+    whole = gwr.take_points(d, "id", "lon", "lat", ["x"], "y")
+    tiles = gwr.take_points(d, "id", "lon", "lat", ["x"], "y", small_rows=100, tile_rows=64)
+    assert isinstance(tiles[1], gwr.Tiles) and tiles[1].n == n
+    for bandwidth in (50, 200, n):
+        a, b = (gwr.local_coefficients(*p, ["x"], bandwidth).toPandas().sort_values("focal_id") for p in (whole, tiles))
+        assert len(b) == n
+        np.testing.assert_allclose(np.stack(b["coef"]), np.stack(a["coef"]), rtol=1e-7, atol=1e-9)
+        np.testing.assert_allclose(b["leverage"], a["leverage"], rtol=1e-7)
+    assert gwr.near_tiles(tiles[1], 50).count() < gwr.near_tiles(tiles[1], n).count()
+    spread = gwr.permuted_spreads(*tiles, ["x"], 100, n_perm=3).toPandas()
+    assert sorted(spread["perm"]) == [0, 1, 2] and (spread["iqr"] > 0).all()
+
+
 def test_gwr_against_numpy_and_gate(spark):
     rng = np.random.default_rng(6)
     n = 300
