@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from heatscape.llm.common import bucketed, kept
 from heatscape.llm.components import components
 
-SHINGLE = r"(?s)(?=(\S.{0,11}))\S{1,6} ?"
+SHINGLE = r"(?s)(?=(.{1,12}))\S{1,6} ?"
 BANDS, ROWS = 6, 3
 #: Further minima for lines that met an unlike one.
 FINER = 5
@@ -41,7 +41,9 @@ def shingles(line: Column) -> Column:
 def _minima(lines: DataFrame, seeds: list[int]) -> DataFrame:
     """(line, m0, m1, ...): the least hash of a line's shingles for each seed."""
     each = lines.select("line", F.explode(shingles(F.col("words"))).alias("t")).select("line", F.xxhash64("t").alias("s"))
-    return each.groupBy("line").agg(*[F.min(F.xxhash64("s", F.lit(i))).alias(f"m{k}") for k, i in enumerate(seeds)])
+    # an odd constant's multiples stand for the seeds, so that one 64-bit word is hashed and no pair
+    mixed = [F.col("s").bitwiseXOR(F.lit((i + 1) * 0x9E3779B97F4A7C15 % (1 << 63))) for i in seeds]
+    return each.groupBy("line").agg(*[F.min(F.xxhash64(x)).alias(f"m{k}") for k, x in enumerate(mixed)])
 
 
 def band_keys(lines: DataFrame) -> DataFrame:
