@@ -1,10 +1,9 @@
-"""Near-duplicate vectors by a robust-pruned flat graph.
+"""Near-duplicate vectors, all pairs of them, by shards that vectors visit.
 
-Vectors of a label are cut into overlapping shards, each vector in those of its nearest centres.
-Every shard builds a graph: a vector's neighbours are pruned robustly, so that no kept neighbour is
-much nearer to another one, and some far links stay. The lists of a vector from all its shards are
-united, and in each shard every vector is searched from the shard's medoid: greedily to where it
-belongs, then outward as long as the range holds more. What is found is verified by its cosine.
+The shard of a vector is that of its nearest centre. A vector also visits every shard that can hold
+one it links with: two unit vectors of cosine t are at most sqrt(2 - 2t) apart, so a vector farther
+than that beyond the plane between two centres links with none on the other side. Vectors of a shard
+are compared with each other and with the visitors, so no link is lost, and each pair meets once.
 """
 
 from __future__ import annotations
@@ -19,14 +18,12 @@ from heatscape.llm.components import components
 from heatscape.session import ship_package
 
 THRESHOLD = 0.98
-#: Vectors of a shard, of a block of a shard that is too large, and shards of a vector.
-SHARD, BLOCK, OVERLAP = 1500, 1500, 2
+#: Vectors of a shard, of a block of a shard that is too large, and visitors of a task.
+SHARD, BLOCK, VISITORS = 1500, 1500, 3000
+#: Planes tried for a vector and a shard: between that shard's centre and each of the vector's nearest ones.
+PLANES = 8
 #: Vectors that centres are chosen from at most, a label; their distribution sets shards only, no result is limited to them.
 FIT_ROWS = 4_000
-DEGREE, FAR, POOL, ALPHA = 20, 4, 40, 1.2
-BEAM = 8
-#: How far below the threshold a vector may be and still be searched from.
-SLACK = 0.03
 FLOOR = 1e-9
 
 
@@ -54,7 +51,7 @@ def _centres(classes: DataFrame) -> dict:
         rows = (classes.where((F.col("label") == label) & (F.col("size") == size)).orderBy(F.xxhash64("class"), "class").limit(FIT_ROWS)
                 .select("v").toArrow())
         x = _unit(_matrix(rows["v"]))
-        k = min(len(x), -(-2 * n // SHARD), 1024)
+        k = min(len(x), -(-n // SHARD), 1024)
         c = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
         for _ in range(6):
             near = np.argmax(x @ c.T, axis=1)
@@ -67,158 +64,119 @@ def _centres(classes: DataFrame) -> dict:
     return out
 
 
-def _placed(classes: DataFrame, centres: dict) -> DataFrame:
-    """Each class once for each of its shards: (label, size, shard, class, copies, v)."""
+def _visits(x: np.ndarray, c: np.ndarray, threshold: float) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The shard of each unit row, and the later shards that can hold rows within the threshold of it."""
+    sims = x @ c.T
+    reach = np.sqrt(max(2 - 2 * threshold, 0)) + FLOOR
+    first = np.argmax(sims, axis=1)
+    near = np.argsort(-sims, axis=1, kind="stable")[:, :PLANES]
+    may = np.arange(len(c))[None] > first[:, None]
+    apart = np.sqrt(np.maximum(((c[:, None] - c[None]) ** 2).sum(axis=2), 0)) if len(c) <= 128 else np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0))
+    for k in range(near.shape[1]):
+        may &= np.take_along_axis(sims, near[:, k : k + 1], axis=1) - sims <= reach * apart[near[:, k]] + 1e-7
+    return first, [np.flatnonzero(m) for m in may]
+
+
+def _placed(classes: DataFrame, centres: dict, threshold: float) -> DataFrame:
+    """Each class with its shard and those it visits: (label, size, shard, visits, class, copies, v)."""
     given = classes.sparkSession.sparkContext.broadcast(centres)
 
     def run(batches):
         for batch in batches:
-            label, size = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            take, shard = [], []
-            keys = list(zip(label, size, strict=True))
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            shard, visits = np.zeros(len(keys), np.int32), [np.zeros(0, int)] * len(keys)
             for key in dict.fromkeys(keys):
-                rows = np.flatnonzero([k == key for k in keys])
                 c = given.value.get(key)
                 if c is None:
-                    take.append(rows)
-                    shard.append(np.zeros(len(rows), int))
                     continue
-                x = _unit(_matrix(batch.column(4).take(pa.array(rows))))
-                near = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :OVERLAP]
-                take.append(np.repeat(rows, near.shape[1]))
-                shard.append(near.ravel())
-            if take:
-                t = pa.array(np.concatenate(take))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(t), batch.column(1).take(t), pa.array(np.concatenate(shard).astype(np.int32)),
-                                                  batch.column(2).take(t), batch.column(3).take(t), batch.column(4).take(t)],
-                                                 names=["label", "size", "shard", "class", "copies", "v"])
+                rows = np.flatnonzero([k == key for k in keys])
+                for part in np.array_split(rows, -(-len(rows) // 1024)):
+                    first, later = _visits(_unit(_matrix(batch.column(4).take(pa.array(part)))), c, threshold)
+                    shard[part] = first
+                    for r, to in zip(part, later, strict=True):
+                        visits[r] = to
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shard), pa.array(visits, pa.list_(pa.int32())),
+                                              batch.column(2), batch.column(3), batch.column(4)],
+                                             names=["label", "size", "shard", "visits", "class", "copies", "v"])
 
     return classes.select("label", "size", "class", "copies", "v").mapInArrow(
-        run, "label int, size int, shard int, class bigint, copies bigint, v array<double>")
-
-
-def build_graph(x: np.ndarray, seed: int) -> list[np.ndarray]:
-    """Neighbours of each unit row: pruned robustly out of its nearest rows, with some far ones and back links."""
-    n = len(x)
-    sims = x @ x.T
-    rng = np.random.default_rng(seed)
-    pool = min(POOL, n - 1)
-    out: list[set] = [set() for _ in range(n)]
-    for i in range(n):
-        s = sims[i].copy()
-        s[i] = -2
-        cand = np.argpartition(-s, pool - 1)[:pool] if pool < n - 1 else np.delete(np.arange(n), i)
-        cand = cand[np.lexsort((cand, -s[cand]))]
-        # distances of unit rows grow as 1 - cosine
-        far = np.sqrt(np.maximum(2 - 2 * s[cand], 0))
-        alive = np.ones(len(cand), bool)
-        for k in range(len(cand)):
-            if not alive[k]:
-                continue
-            out[i].add(int(cand[k]))
-            if len(out[i]) >= DEGREE:
-                break
-            alive &= ~(ALPHA * np.sqrt(np.maximum(2 - 2 * sims[cand[k], cand], 0)) <= far)
-        out[i].update(int(j) for j in rng.integers(0, n, FAR) if j != i)
-    links = [set(o) for o in out]
-    for i, o in enumerate(out):
-        for j in o:
-            if len(links[j]) < 2 * DEGREE:
-                links[j].add(i)
-    return [np.array(sorted(s), np.int32) for s in links]
-
-
-def search(x: np.ndarray, graph: list[np.ndarray], q: np.ndarray, starts: list[int], threshold: float) -> np.ndarray:
-    """Rows within the threshold of ``q``: greedy from ``starts``, then outward through all rows near the range."""
-    seen = np.zeros(len(x), bool)
-    ids = np.unique(starts)
-    seen[ids] = True
-    sims = x[ids] @ q
-    done: set[int] = set()
-    all_ids, all_sims = [ids], [sims]
-    while True:
-        flat_ids, flat_sims = np.concatenate(all_ids), np.concatenate(all_sims)
-        order = np.argsort(-flat_sims, kind="stable")
-        best = [int(k) for k in flat_ids[order[:BEAM]] if int(k) not in done]
-        near = [int(k) for k in flat_ids[flat_sims >= threshold - SLACK] if int(k) not in done]
-        todo = list(dict.fromkeys([*best, *near]))
-        if not todo:
-            return flat_ids[flat_sims >= threshold - FLOOR]
-        done.update(todo)
-        more = np.unique(np.concatenate([graph[k] for k in todo])) if todo else np.zeros(0, int)
-        more = more[~seen[more]]
-        if len(more):
-            seen[more] = True
-            all_ids.append(more)
-            all_sims.append(x[more] @ q)
+        run, "label int, size int, shard int, visits array<int>, class bigint, copies bigint, v array<double>")
 
 
 GROUP = ["label", "size", "shard"]
 
 
-def _graphs(placed: DataFrame) -> DataFrame:
-    """(label, size, class, near): each class's neighbours, the lists of all its shards united."""
-
-    def run(key, table):
-        table = table.sort_by("class")
-        x, names = _unit(_matrix(table["v"])), table["class"].to_numpy()
-        graph = build_graph(x, int(key[2].as_py())) if len(x) > 1 else [np.zeros(0, int)]
-        return pa.table({"label": table["label"], "size": table["size"], "class": table["class"], "near": pa.array([names[g] for g in graph], pa.list_(pa.int64()))})
+def _meetings(placed: DataFrame) -> DataFrame:
+    """(label, size, shard, block, chunk, home, class, copies, v): who is compared in each task.
 
-    lists = placed.groupBy(*GROUP, "block").applyInArrow(run, "label int, size int, class bigint, near array<bigint>")
-    return lists.groupBy("label", "size", "class").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    The rows of a shard that is too large are cut into blocks, and a block is visited by those of
+    earlier blocks too; many visitors are cut into chunks, each of which meets the whole block.
+    """
+    rows = ["class", "copies", "v"]
+    came = placed.select("label", "size", F.explode("visits").alias("shard"), *rows)
+    sizes = placed.groupBy(*GROUP).agg(F.count("*").alias("n")).join(came.groupBy(*GROUP).agg(F.count("*").alias("m")), GROUP, "left")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    guests = F.coalesce("m", F.lit(0)) + F.when(blocks > 1, F.col("n")).otherwise(0)
+    plan = kept(sizes.select(*GROUP, blocks.alias("blocks"), F.greatest(F.lit(1), F.ceil(guests / VISITORS)).cast("int").alias("chunks")), "plan")
+    chunk = F.pmod(F.xxhash64("class", F.lit(1)), F.col("chunks")).cast("int").alias("chunk")
+    own = placed.select(*GROUP, *rows).join(plan, GROUP).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    home = own.select(*GROUP, "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("home"), *rows)
+    beside = own.where("block < blocks - 1").select(
+        *GROUP, F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)).alias("block"), chunk, F.lit(False).alias("home"), *rows)
+    others = came.join(plan, GROUP).select(
+        *GROUP, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), chunk, F.lit(False).alias("home"), *rows)
+    return home.unionByName(beside).unionByName(others)
+
+
+def linked(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether each unit row of ``x`` is within the threshold of each of ``y``."""
+    out = np.zeros((len(x), len(y)), bool)
+    for at in range(0, len(x), 512):
+        sims = x[at : at + 512] @ y.T
+        out[at : at + 512] = sims >= threshold
+        i, j = np.nonzero(np.abs(sims - threshold) <= FLOOR)
+        for s in range(0, len(i), 4096):
+            # sums in a fixed order where the last digits decide
+            p, q = i[s : s + 4096], j[s : s + 4096]
+            out[at + p, q] = (x[at + p] * y[q]).sum(axis=1) >= threshold
+    return out
 
 
-def _found(placed: DataFrame, threshold: float) -> DataFrame:
-    """(a, links, joined): for each shard and pair of its blocks, what searching every vector of both finds.
+def _found(meetings: DataFrame, threshold: float) -> DataFrame:
+    """(a, links, joined) of what each task compares.
 
     ``links`` are numbers of linked vectors, ``joined`` the links that hold the found components together.
     """
 
     def run(table):
-        table = table.sort_by("class")
-        names = table["class"].to_numpy()
-        empty = pa.table({"a": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "joined": pa.array([], pa.list_(pa.int64()))})
-        if len(names) < 2:
-            return empty
-        x, copies, block = _unit(_matrix(table["v"])), table["copies"].to_numpy(), table["block"].to_numpy()
-        left, right = int(table["left_block"][0].as_py()), int(table["right_block"][0].as_py())
-        place = {int(c): k for k, c in enumerate(names)}
-        lists = table["near"].to_pylist()
-        graph = [np.array(sorted({place[c] for c in near or [] if c in place}), np.int64) for near in lists]
-        medoid = int(np.argmax(x @ x.mean(axis=0)))
-        shards = table["shards"].to_pylist()
-        pairs = set()
-        for i in range(len(x)):
-            for j in search(x, graph, x[i], [medoid, i], threshold).tolist():
-                if i != j:
-                    pairs.add((min(i, j), max(i, j)))
-        links, joined = np.zeros(len(x), np.int64), [[] for _ in names]
-        parent = list(range(len(x)))
-
-        def root(k):
-            while parent[k] != k:
-                parent[k] = parent[parent[k]]
-                k = parent[k]
-            return k
-
-        here = int(table["shard"][0].as_py())
-        for i, j in sorted(pairs):
-            # exact: sums in a fixed order, in double precision
-            if float(x[i] @ x[j]) < threshold:
+        table = table.sort_by([("home", "descending"), ("class", "ascending")])
+        names, x, copies = table["class"].to_numpy(), _unit(_matrix(table["v"])), table["copies"].to_numpy().astype(float)
+        n = int(table["home"].to_numpy(zero_copy_only=False).sum())
+        both = np.zeros((len(x), len(x)), bool)
+        if not int(table["chunk"][0].as_py()):  # rows at home meet each other in one of their tasks
+            both[:n, :n] = linked(x[:n], x[:n], threshold)
+            np.fill_diagonal(both, False)
+            both[:n, :n] |= both[:n, :n].T
+        both[n:, :n] = linked(x[n:], x[:n], threshold)
+        both[:n, n:] = both[n:, :n].T
+        links = np.concatenate([np.zeros(0), *[both[at : at + 512].astype(float) @ copies for at in range(0, len(x), 512)]]).astype(np.int64)
+        joined: list[list[int]] = [[] for _ in names]
+        new = np.ones(len(x), bool)
+        for i in np.flatnonzero(links):
+            if not new[i]:
                 continue
-            if left != right and block[i] == block[j]:
-                continue  # that block's own task has this pair
-            if root(i) != root(j):
-                parent[root(i)] = root(j)
-                joined[i].append(int(names[j]))
-            if here == min(set(shards[i]) & set(shards[j])):  # the pair counts in the first shard that both are in
-                links[i] += copies[j]
-                links[j] += copies[i]
-        some = [k for k in range(len(names)) if links[k] or joined[k]]
-        return pa.table({"a": pa.array(names[some]), "links": pa.array(links[some]), "joined": pa.array([joined[k] for k in some], pa.list_(pa.int64()))})
+            new[i], todo = False, [i]
+            while todo:
+                k = todo.pop()
+                more = np.flatnonzero(both[k] & new)
+                new[more] = False
+                joined[k] += names[more].tolist()
+                todo += more.tolist()
+        some = np.flatnonzero(links)
+        return pa.table({"a": pa.array(names[some], pa.int64()), "links": pa.array(links[some], pa.int64()),
+                         "joined": pa.array([joined[k] for k in some], pa.list_(pa.int64()))})
 
-    return placed.groupBy(*GROUP, "left_block", "right_block").applyInArrow(run, "a bigint, links bigint, joined array<bigint>")
+    return meetings.groupBy(*GROUP, "block", "chunk").applyInArrow(run, "a bigint, links bigint, joined array<bigint>")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
@@ -242,17 +200,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     classes = rows.where("fit").groupBy("code").agg(F.min("uid").alias("class"), F.count("*").alias("copies"), F.min("vec_id").alias("low"),
                                                     F.min("label").alias("label"), F.min_by("v", "uid").alias("v"))
     classes = kept(classes.withColumn("size", F.size("v")), "classes")
-    placed = kept(_placed(classes, _centres(classes)), "placed")
-    # a shard that is too large is cut into blocks, and each pair of blocks is searched
-    sizes = placed.groupBy(*GROUP).agg(F.count("*").alias("n"))
-    blocks = sizes.select(*GROUP, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    placed = placed.join(blocks, GROUP).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    near = _graphs(placed)
-    shards = placed.groupBy("class").agg(F.sort_array(F.collect_set("shard")).alias("shards"))
-    ready = kept(placed.join(near.select("class", "near"), "class").join(shards, "class"), "graph")
-    paired = (ready.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-              .withColumn("left_block", F.least("block", "other")).withColumn("right_block", F.greatest("block", "other")))
-    found = kept(_found(paired, threshold), "found")
+    placed = kept(_placed(classes, _centres(classes), threshold), "placed")
+    found = kept(_found(_meetings(placed), threshold), "found")
     counts = found.groupBy("a").agg(F.sum("links").alias("links"))
     joined = kept(components(found.select("a", F.explode("joined").alias("b"))), "components")
     named = classes.join(counts, classes["class"] == counts["a"], "left").join(joined, classes["class"] == joined["node"], "left").select(

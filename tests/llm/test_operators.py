@@ -231,6 +231,25 @@ def test_vectors(spark):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_of_a_hot_group(spark, monkeypatch):
+    """A third of a label's distinct vectors link with each other and hold many centres."""
+    from heatscape.llm import vectors
+
+    rng = np.random.default_rng(4)
+    hot = rng.normal(size=64)
+    x = np.vstack([hot + rng.normal(size=(2_000, 64)) * 0.135, rng.normal(size=(4_000, 64))])
+    x[4_000:4_300] = x[2_000:2_300] + rng.normal(size=(300, 64)) * 0.1
+    u = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    true = (u @ u.T >= 0.98).sum(axis=1) - 1
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    for size in (vectors.SHARD, 100):  # smaller: blocks and chunks
+        monkeypatch.setattr(vectors, "SHARD", 2 * size)
+        monkeypatch.setattr(vectors, "BLOCK", size)
+        monkeypatch.setattr(vectors, "VISITORS", size, raising=False)
+        got = {r["vec_id"]: r["n_links"] for r in vectors.near_duplicates(df).collect()}
+        assert [got[k] for k in range(len(x))] == true.tolist()
+
+
 def spans_of(pattern, text, good=lambda m: True):
     return [(m.start(), m.end()) for m in re.finditer(pattern, text) if good(m)]
 
