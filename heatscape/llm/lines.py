@@ -3,14 +3,12 @@
 Lines are compared without case, with one space for each run of spaces and control characters. A line's shingles are the twelve characters
 from the start of each word, and from every sixth character of a long one. Signatures of minima are
 cut into bands; lines that agree in a band are candidates, the Jaccard index of their shingle sets
-is computed exactly, and links are joined to components, of which the first line stays. All of it is
+is computed exactly for all that can be alike, and links are joined to components, of which the first line stays. All of it is
 DataFrame functions.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +17,6 @@ from heatscape.llm.components import components
 
 SHINGLE = r"(?s)(?=(.{1,12}))\S{1,6} ?"
 BANDS, ROWS = 6, 3
-#: Further minima for lines that met an unlike one.
-FINER = 5
 SIMILAR = 0.8
 
 
@@ -57,7 +53,7 @@ def band_keys(lines: DataFrame) -> DataFrame:
 
 
 def similar_pairs(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(a, b, same) of pairs (a, b), by the exact Jaccard index of their shingles, which 64-bit hashes stand for.
+    """(a, b, index, same) of pairs (a, b): the exact Jaccard index of their shingles, which 64-bit hashes stand for.
 
     The set of a line is made once, however many pairs it is in.
     """
@@ -66,54 +62,35 @@ def similar_pairs(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     sets = bucketed(lines.join(ends, "line").select("line", hashes.alias("hashes")), "line", "compared")
     both = (pairs.join(sets.select(F.col("line").alias("a"), F.col("hashes").alias("p")), "a")
             .join(sets.select(F.col("line").alias("b"), F.col("hashes").alias("q")), "b"))
-    # sets of too unlike a size can't be similar
-    near = F.least(F.size("p"), F.size("q")) >= SIMILAR * F.greatest(F.size("p"), F.size("q"))
     shared = F.size(F.array_intersect("p", "q"))
-    return both.select("a", "b", F.when(near, shared >= SIMILAR * (F.size("p") + F.size("q") - shared)).otherwise(F.lit(False)).alias("same"))
-
-
-def _compared(rows: DataFrame, distinct: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Links of one line of each bucket to the others, (line, key) of the lines that it is unlike, and all (a, b, same) so far.
-
-    Which line that is depends on the bucket, so that a line meets another one in each of its buckets.
-    Pairs that ``known`` has judged are not compared again.
-    """
-    order = F.xxhash64("line", "key")
-    ordered = rows.withColumn("o", order)
-    least = ordered.groupBy("key").agg(F.min("o").alias("least"), F.min_by("line", "o").alias("head"), F.count("*").alias("n")).where("n > 1")
-    members = ordered.join(least.select("key", "head"), "key").where(F.col("line") != F.col("head"))
-    pairs = kept(members.select("key", "line", F.least("line", "head").alias("a"), F.greatest("line", "head").alias("b")), "pairs")
-    new = pairs.select("a", "b").distinct()
-    if known is not None:
-        new = new.join(known, ["a", "b"], "left_anti")
-    judged = kept(similar_pairs(new, distinct), "judged")
-    known = judged if known is None else known.unionByName(judged)
-    unlike = pairs.join(known.where("NOT same").select("a", "b"), ["a", "b"]).select("line", "key")
-    return judged.where("same").select("a", "b"), kept(unlike, "unlike"), known
+    both = both.select("a", "b", shared.alias("shared"), (F.size("p") + F.size("q") - shared).alias("all"))
+    return both.select("a", "b", (F.col("shared") / F.greatest(F.col("all"), F.lit(1))).alias("index"), (F.col("shared") >= SIMILAR * F.col("all")).alias("same"))
 
 
 def links(distinct: DataFrame, keys: DataFrame) -> DataFrame:
-    """(a, b): verified links that join the lines of each bucket.
+    """(a, b): verified links that join all alike lines of each bucket.
 
-    All lines of a bucket are compared with one of them. Those unlike it meet again in finer
-    buckets, that agree in one of FINER further minima too, and then in two of them: alike lines
-    do so nearly always and others seldom, so a bucket of any size costs a few comparisons a line
-    and never emits its pairs.
+    All lines of a bucket are compared with one of them, its head. Lines alike their head are
+    joined by it. Those unlike it are compared with all lines of the bucket that they can be alike:
+    one less the Jaccard index is a metric, so that alike lines have indices with the head that
+    differ by no more than one less the threshold. That is exact; rows grow with the number of a
+    bucket's lines times that of those unlike its head.
     """
-    rows = keys.select("line", F.explode("keys").alias("key"))
-    found, unlike, known = _compared(rows, distinct)
-    minima = None
-    for together in (1, 2):
-        if unlike.isEmpty():
-            break
-        if minima is None:  # later rounds have some of these lines and no others
-            texts = distinct.join(unlike.select("line").distinct(), "line", "left_semi")
-            minima = kept(_minima(texts, [1000 + i for i in range(FINER)]), "minima")
-        groups = list(combinations(range(FINER), together))
-        finer = F.explode(F.array(*[F.xxhash64("key", F.lit(k), *[F.col(f"m{i}") for i in g]) for k, g in enumerate(groups)]))
-        more, unlike, known = _compared(unlike.join(minima, "line").select("line", finer.alias("key")), distinct, known)
-        found = found.unionByName(more)
-    return found
+    order = F.xxhash64("line", "key")
+    ordered = keys.select("line", F.explode("keys").alias("key")).withColumn("o", order)
+    heads = ordered.groupBy("key").agg(F.min_by("line", "o").alias("head"), F.count("*").alias("n")).where("n > 1")
+    members = ordered.join(heads.select("key", "head"), "key").where(F.col("line") != F.col("head"))
+    members = kept(members.select("key", "line", F.least("line", "head").alias("a"), F.greatest("line", "head").alias("b")), "pairs")
+    judged = kept(similar_pairs(members.select("a", "b").distinct(), distinct), "judged")
+    found = judged.where("same").select("a", "b")
+    told = members.join(judged, ["a", "b"]).select("key", "line", "index", "same")
+    unlike = told.where("NOT same").select("key", F.col("line").alias("x"), F.col("index").alias("i"))
+    close = F.abs(F.col("i") - F.col("index")) <= 1 - SIMILAR + 1e-9
+    # two lines that are unlike the head meet once
+    rest = unlike.join(told, "key").where(close & (F.col("same") | (F.col("x") < F.col("line"))))
+    rest = rest.select(F.least("x", "line").alias("a"), F.greatest("x", "line").alias("b")).distinct()
+    rest = kept(rest.join(judged.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+    return found.unionByName(similar_pairs(rest, distinct).where("same").select("a", "b"))
 
 
 def decisions(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

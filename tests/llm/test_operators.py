@@ -209,6 +209,22 @@ def test_lines(rows, docs, empty):
     assert lines.deduplicate(empty).count() == 0
 
 
+def test_lines_of_one_bucket_all_meet(spark):
+    """Alike lines find each other among many that are unlike the bucket's head and not far from it."""
+    from heatscape.llm import lines
+    from heatscape.llm.components import components
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    common, given = " ".join(word() for _ in range(20)), []
+    for k in range(300):
+        one = f"{common} {word()} {word()} {word()} {word()}"
+        given += [(2 * k, one), (2 * k + 1, f"{one} {word()}")]
+    distinct = spark.createDataFrame(given, "line long, words string")
+    root = {r["node"]: r["root"] for r in components(lines.links(distinct, distinct.select("line", F.array(F.lit(1)).cast("array<bigint>").alias("keys")))).collect()}
+    assert all(root.get(2 * k) == 2 * k == root.get(2 * k + 1) for k in range(300))
+
+
 def test_vectors(spark):
     from heatscape.llm import vectors
 
