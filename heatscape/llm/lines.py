@@ -1,8 +1,7 @@
 """Line deduplication: lines that are nearly alike, by MinHash of character shingles.
 
-Lines are compared without case, with one space for each run of spaces and control characters. A line's shingles are the twelve characters
-from the start of each word, and from every sixth character of a long one. Signatures of minima are
-cut into bands; lines that agree in a band are candidates, the Jaccard index of their shingle sets
+Lines are compared without case, with one space for each run of spaces and control characters. A line's shingles are the five characters
+from every position, whatever words are; a shorter line is its own. Signatures of minima are into bands; lines that agree in a band are candidates, the Jaccard index of their shingle sets
 is computed exactly for all that can be alike, and links are joined to components, of which the first line stays. All of it is
 DataFrame functions.
 """
@@ -15,8 +14,10 @@ from pyspark.sql import functions as F
 from heatscape.llm.common import bucketed, kept
 from heatscape.llm.components import components
 
-SHINGLE = r"(?s)(?=(.{1,12}))\S{1,6} ?"
-BANDS, ROWS = 6, 3
+WIDTH = 5
+SHINGLE = rf"(?s)(?=(.{{{WIDTH}}}))."
+#: Short shingles are shared by more lines than long ones, so a band has four minima.
+BANDS, ROWS = 9, 4
 SIMILAR = 0.8
 
 
@@ -31,7 +32,7 @@ def plain(line: Column) -> Column:
 
 
 def shingles(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1))
+    return F.when(F.length(line) < WIDTH, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1)))
 
 
 def _minima(lines: DataFrame, seeds: list[int]) -> DataFrame:

@@ -209,6 +209,26 @@ def test_lines(rows, docs, empty):
     assert lines.deduplicate(empty).count() == 0
 
 
+def test_lines_by_shingles_of_every_position(spark):
+    """Copies that a sparse choice of shingles loses: moved by a character, with a typing error, with another word."""
+    from heatscape.llm import lines
+
+    rng = random.Random(9)
+    some = lambda n, letters="abcdefghijklmnopqrstuvwxyz": "".join(rng.choice(letters) for _ in range(n))
+    pairs = []
+    for _ in range(10):
+        a = some(300, "日本語文字列漢語学校天気電車東京大阪")
+        pairs += [(a, "x" + a)]
+        a = [some(6) for _ in range(20)]
+        pairs += [(" ".join(a), " ".join([*a[:9], some(6), *a[10:]]))]
+        b = " ".join(a[:15])
+        pairs += [(b[::-1], b[::-1][:50] + "#" + b[::-1][51:])]
+    sets = [[{t[i : i + 5] for i in range(len(t) - 4)} for t in p] for p in pairs]
+    assert all(len(a & b) >= 0.8 * len(a | b) for a, b in sets)
+    docs = spark.createDataFrame([(2 * k + e, t, "en", "s", 0) for k, p in enumerate(pairs) for e, t in enumerate(p)], SCHEMA)
+    assert {r["id"] for r in lines.decisions(docs).collect()} == {2 * k + 1 for k in range(len(pairs))}
+
+
 def test_lines_of_one_bucket_all_meet(spark):
     """Alike lines find each other among many that are unlike the bucket's head and not far from it."""
     from heatscape.llm import lines
