@@ -26,10 +26,12 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 SUBSTITUTED, DROPPED, REPEATED = math.log(0.05), math.log(0.1), math.log(0.2)
 #: Letters of the language model: a-z, any other letter, and the end of a word.
 OTHER, EDGE, SYMBOLS = 27, 0, 28
-#: Characters of a token that may be obfuscated; a longer one is no word and stays as it is.
-LONGEST = 40
+#: Characters of a window that is restored at once, and of the longest word: windows of a longer token share as many.
+LONGEST, SHARED = 40, 20
 TRIM = "!?.,;:*#%&$\"'()[]{}<>|-_~=+/\\^`"
 SUSPECT = re.compile(r"[^\W\d_][^\w\s]+[^\W\d_]|[^\W\d_]+[\d_]|[\d_@$][^\W\d_]|([^\W\d_])\1\1")
+STRETCHED = re.compile(r"(.)\1{2,}", re.S)
+SIGNS = re.compile(r"[^\w@$!|+€£¡]+|_+")
 SPELLED = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S)){2,}")
 PIECE = 5
 BUCKETS = 1 << 20
@@ -104,6 +106,11 @@ def restore(token: str, model: list) -> str:
     return best[1] or token
 
 
+def windows(text: str | list) -> list:
+    """Overlapping parts of at most LONGEST characters, so that any word of up to SHARED ones is whole in one of them."""
+    return [text[k : k + LONGEST] for k in range(0, max(1, len(text) - SHARED), LONGEST - SHARED)]
+
+
 class Restorer:
     """Words of tokens under a language model; remembers the latest tokens, and those before them."""
 
@@ -111,8 +118,13 @@ class Restorer:
         self.model, self.limit, self.known, self.older = language.tolist(), kept_tokens, {}, {}
 
     def word(self, token: str) -> str:
+        """The words of a token, with spaces between those of one that is longer than any word."""
         core = token.strip(TRIM).lower()
-        return restore(core, self.model) if core and len(core) <= LONGEST and SUSPECT.search(core) else core
+        if len(core) <= LONGEST:
+            return restore(core, self.model) if core and SUSPECT.search(core) else core
+        core = STRETCHED.sub(r"\1\1\1", core)  # three of a letter count as any more of them
+        parts = [core] if len(core) <= LONGEST else [p for p in SIGNS.split(core) if p]
+        return " ".join(dict.fromkeys(restore(w, self.model) if SUSPECT.search(w) else w for p in parts for w in windows(p)))
 
     def words(self, text: str) -> set[str]:
         """Distinct words of the restored text, with those that were spelled out letter by letter."""
@@ -131,19 +143,19 @@ class Restorer:
         for m in SPELLED.finditer(text):
             # words may follow each other letter by letter
             single = [c for c in m.group(0).split() if c.isalpha() or c in LEET]
-            out.update(restore("".join(single[k : k + LONGEST]), self.model) for k in range(0, len(single), LONGEST))
+            out.update(restore("".join(part), self.model) for part in windows(single))
+        long = [w for w in out if " " in w]
+        out.difference_update(long)
+        out.update(p for w in long for p in w.split(" "))
         out.discard("")
         return out
 
 
 def pieces(word: str) -> list[int]:
-    """Numbers of a word and of its parts of five bytes; a longer token than any word counts as a whole."""
+    """Numbers of a word and of its parts of five bytes."""
     edged = f"<{word}>".encode()
     crc = zlib.crc32
-    own = [crc(edged) % BUCKETS]
-    if len(word) <= LONGEST:
-        own += [crc(edged[k : k + PIECE]) % BUCKETS for k in range(len(edged) - PIECE + 1)]
-    return own
+    return [crc(edged) % BUCKETS, *[crc(edged[k : k + PIECE]) % BUCKETS for k in range(len(edged) - PIECE + 1)]]
 
 
 def _fit(x: np.ndarray, y: np.ndarray, l2: float = 3.0, rounds: int = 30) -> tuple[np.ndarray, float]:

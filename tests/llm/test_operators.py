@@ -367,6 +367,22 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(empty, toxicity.fit(empty, labels)).count() == 0
 
 
+def test_toxicity_of_long_tokens():
+    """Words stretched, joined by signs, without spaces and spelled out across a cut are found in tokens of any length."""
+    from heatscape.llm import toxicity
+
+    restorer = toxicity.Restorer(toxicity.log_model(np.zeros(toxicity.SYMBOLS**3, np.int64)))
+    # the model knows no language, so that only the words' letters count
+    assert any(len(w) < 9 and w.startswith("stu") and w.endswith("pid") for w in restorer.words("st" + "u" * 60 + "pid"))
+    for sign in ",.-_":
+        assert {"idiot", "moron", "stupid"} <= restorer.words(sign.join(["idiot", "moron", "stupid"] * 5)), sign
+    assert any("idiot" in w for w in restorer.words("x".join("abcdefg" * 9) + "idiot" + "qrs" * 20))
+    assert any("笨蛋" in w for w in restorer.words("天" * 2 + "地玄黄宇宙洪荒" * 9 + "笨蛋" + "日月盈昃" * 12))
+    for before in range(30, 45):
+        assert any("idiot" in w for w in restorer.words(" ".join("bcdfghjklm" * 5)[: 2 * before] + "i d i o t")), before
+    assert len(toxicity.pieces("a" * 30 + "bcdefghijklmn")) > 1
+
+
 def test_pipeline_keeps_rows_apart(spark):
     import corpus_pipeline
 
