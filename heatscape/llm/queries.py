@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heatscape.llm import bpe, credentials, decontaminate, licenses, lines, pii, simhash, tokenfile, toxicity, vectors
+from heatscape.llm import bpe, credentials, decontaminate, licenses, lines, periodic, phrases, pii, simhash, tokenfile, toxicity, vectors
 from heatscape.llm.common import doc_column
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,8 +81,17 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digest_columns(pii.scan(_table(spark, folder, "documents").select("doc_id", "text")))
 
 
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return periodic.digest_columns(periodic.find_runs(periodic.with_planted_runs(docs)))
+
+
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(_table(spark, folder, "documents"))
+
+
 for _query in (op1_license_scan, op2_vector_graph, op3_byte_bpe, op4_toxicity, op5_line_dedup, op6_token_files, op7_secret_scan,
-               op8_simhash_groups, op9_decontamination, op10_pii):
+               op8_simhash_groups, op9_decontamination, op10_pii, op12_periodic_runs, op13_collocations):
     QUERIES[_query.__name__] = _query
 
 SQL["op1_license_scan"] = licenses.sql()
