@@ -48,12 +48,12 @@ def _word_hashes(words: list[bytes], seed: int) -> np.ndarray:
     return np.fromiter((digest(w, seed) for w in words), np.uint64, len(words))
 
 
-def _slot(hashes: list[np.ndarray]) -> np.ndarray:
+def _slot(hashes: list[np.ndarray], slots: int) -> np.ndarray:
     """Slots of phrases, given the hashes of their first words, second words and so on."""
     h = hashes[0]
     for more in hashes[1:]:
         h = (h ^ (h >> np.uint64(31))) * MULTIPLIER + more
-    return ((h ^ (h >> np.uint64(29))) * MULTIPLIER >> np.uint64(43)).astype(np.int64) % SLOTS
+    return ((h ^ (h >> np.uint64(29))) * MULTIPLIER >> np.uint64(32)).astype(np.int64) % slots
 
 
 class Bounds:
@@ -63,8 +63,8 @@ class Bounds:
         self.lo, self.hi, self.wanted = lo, hi, wanted
 
     @classmethod
-    def of(cls, table: DataFrame, wanted: Column) -> Bounds:
-        """Of all rows (lang, phrase, f), phrases of one length; at most SLOTS rows come to the driver."""
+    def of(cls, table: DataFrame, wanted: Column, slots: int) -> Bounds:
+        """Of all rows (lang, phrase, f), phrases of one length; at most ``slots`` rows come to the driver."""
         def run(batches):
             for batch in batches:
                 langs, phrases = batch.column(0).to_pylist(), [p.encode().split(b" ") for p in batch.column(1).to_pylist()]
@@ -74,12 +74,12 @@ class Bounds:
                 digest = xxhash.xxh64_intdigest
                 columns = [np.fromiter((digest(p[k], seeds[x]) for x, p in zip(langs, phrases, strict=True)), np.uint64, len(langs))
                            for k in range(len(phrases[0]))]
-                yield pa.RecordBatch.from_arrays([pa.array(_slot(columns), pa.int64()), batch.column(2), batch.column(3)], names=["slot", "f", "wanted"])
+                yield pa.RecordBatch.from_arrays([pa.array(_slot(columns, slots), pa.int64()), batch.column(2), batch.column(3)], names=["slot", "f", "wanted"])
 
         rows = (table.select("lang", "phrase", "f", wanted.cast("boolean").alias("wanted"))
                 .mapInArrow(run, "slot bigint, f bigint, wanted boolean").groupBy("slot")
                 .agg(F.min("f").alias("lo"), F.max("f").alias("hi"), F.max("wanted").alias("wanted")).toArrow())
-        lo, hi, marked = np.zeros(SLOTS, np.float32), np.zeros(SLOTS, np.float32), np.zeros(SLOTS, bool)
+        lo, hi, marked = np.zeros(slots, np.float32), np.zeros(slots, np.float32), np.zeros(slots, bool)
         at = rows["slot"].to_numpy()
         # rounded outwards, so that they stay bounds
         lo[at] = np.nextafter(rows["lo"].to_numpy().astype(np.float32), np.float32(0))
@@ -133,14 +133,14 @@ class Growth:
         if threshold >= CLOSED or size <= 0:
             return np.zeros(0, np.int64)
         h, words = text.hashes(), self.levels[0]
-        slot = _slot([h])
+        slot = _slot([h], len(words.hi))
         slot[0] = -1
         usual = words.hi[slot] >= self.least
         usual[0] = False
         known = [np.where(usual, slot, -1)[text.ids]]  # by length, the slot of the phrase that starts at each place, or -1
         for m in range(2, self.length):
             both = np.flatnonzero((known[-1][:-1] >= 0) & (known[-1][1:] >= 0))
-            at = _slot([h[text.ids[both + k]] for k in range(m)])
+            at = _slot([h[text.ids[both + k]] for k in range(m)], len(words.hi))
             at[self.levels[m - 1].hi[at] < self.least] = -1
             row = np.full(len(known[-1]) - 1, -1, np.int64)
             row[both] = at
@@ -258,7 +258,7 @@ def _survivors(levels: list[DataFrame], thresholds: DataFrame, share: tuple[int,
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", top: int = 2000, least: int = 30,
-                 longest: int = 4, share: tuple[int, int] = (80, 100)) -> DataFrame:
+                 longest: int = 4, share: tuple[int, int] = (80, 100), slots: int = SLOTS, first_reach: int = REACH) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the ``top`` phrases of 2 to ``longest`` (at most 4) words of each language.
 
     A-Z count as a-z. Pieces end at ``. , ; : ! ?`` and line ends, words at spaces and tabs. Candidates have
@@ -275,7 +275,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     everything = _counts(base, _words_and_total, least, "words")
     words, totals = everything.where("phrase <> ''"), everything.where("phrase = ''").select("lang", F.col("f").alias("n"))
     none = F.lit(False)
-    word_bounds, everywhere = Bounds.of(words, none), np.zeros(LANGUAGE_SLOTS, np.int64)
+    word_bounds, everywhere = Bounds.of(words, none, slots), np.zeros(LANGUAGE_SLOTS, np.int64)
 
     def grow(length: int, bounds: list[Bounds], thresholds: np.ndarray) -> DataFrame:
         given = spark.sparkContext.broadcast(Growth(length, longest, least, share[0] / share[1], bounds, thresholds))
@@ -283,16 +283,16 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
 
     pairs = _scored(grow(2, [word_bounds], everywhere), 2, [words], "pairs")
     counts = ["lang", "phrase", "f"]
-    settled, reach = None, REACH * top
+    settled, reach = None, first_reach * top
     open_langs = pairs.select("lang").distinct()
     while True:
         limits = kept(_thresholds(pairs.join(open_langs, "lang", "left_semi"), reach), "thresholds")
-        slots = _threshold_slots(limits)
+        thresholds = _threshold_slots(limits)
         levels, parts, bounds = [pairs], [words, pairs.select(*counts)], [word_bounds]
         for length in range(3, longest + 1):
             marked = levels[-1].join(limits, "lang", "left").select(*counts, F.coalesce(F.col("score") >= F.col("threshold"), none).alias("wanted"))
-            bounds.append(Bounds.of(marked, F.col("wanted")))
-            levels.append(_scored(grow(length, bounds, slots), length, parts, f"scored_{length}"))
+            bounds.append(Bounds.of(marked, F.col("wanted"), slots))
+            levels.append(_scored(grow(length, bounds, thresholds), length, parts, f"scored_{length}"))
             parts.append(levels[-1].select(*counts))
         found = kept(_survivors(levels, limits, share), "survivors")
         done = kept(limits.join(found.groupBy("lang").count(), "lang", "left")
@@ -306,3 +306,32 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("f"), "phrase")
     ranked = settled.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", F.col("f").alias("a"), "l", "r", "n", "score")
+
+
+def sql(top: int = 2000, least: int = 30) -> str:
+    """The query's rows by counting everything."""
+    return f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+grams AS (SELECT lang, unnest([w[i : i + m - 1] for i in range(1, len(w) - m + 2)]) AS g
+          FROM worded, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m),
+counted AS (SELECT lang, g, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counted WHERE len(g) = 1 GROUP BY lang),
+candidates AS (SELECT * FROM counted WHERE len(g) >= 2 AND f >= {least}),
+cuts AS (SELECT c.lang, c.g, c.f AS a, k, l.f AS l, r.f AS r, CAST(CAST({SCALE} AS HUGEINT) * c.f // (l.f + r.f) AS BIGINT) AS score
+         FROM candidates c, (SELECT unnest([1, 2, 3]) AS k)
+         JOIN counted l ON l.lang = c.lang AND l.g = c.g[1 : k]
+         JOIN counted r ON r.lang = c.lang AND r.g = c.g[k + 1 :]
+         WHERE k < len(c.g)),
+worst AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inside AS (SELECT lang, sub, max(f) AS most
+           FROM (SELECT lang, f, unnest([g[i : i + m - 1] for i in range(1, len(g) - m + 2)]) AS sub
+                 FROM candidates, (SELECT unnest([2, 3]) AS m) WHERE m < len(g)) GROUP BY ALL),
+ranked AS (SELECT w.*, array_to_string(w.g, ' ') AS phrase FROM worst w LEFT JOIN inside i ON i.lang = w.lang AND i.sub = w.g
+           WHERE 100 * CAST(coalesce(i.most, 0) AS HUGEINT) < 80 * CAST(w.a AS HUGEINT))
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM ranked) JOIN totals USING (lang)
+WHERE rank <= {top}"""

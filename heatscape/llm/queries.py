@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heatscape.llm import bpe, credentials, decontaminate, licenses, lines, periodic, phrases, pii, simhash, tokenfile, toxicity, vectors
+from heatscape.llm import bpe, credentials, decontaminate, licenses, lines, pages, periodic, phrases, pii, simhash, tokenfile, toxicity, vectors
 from heatscape.llm.common import doc_column
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,6 +81,12 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digest_columns(pii.scan(_table(spark, folder, "documents").select("doc_id", "text")))
 
 
+def op11_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    table = _table(spark, folder, "pages")
+    found = pages.extract(table.select("page_id", "url", "html"), pages.fit(table))
+    return found.select(doc_column("page_id"), doc_column("url"), "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     return periodic.digest_columns(periodic.find_runs(periodic.with_planted_runs(docs)))
@@ -91,8 +97,9 @@ def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 for _query in (op1_license_scan, op2_vector_graph, op3_byte_bpe, op4_toxicity, op5_line_dedup, op6_token_files, op7_secret_scan,
-               op8_simhash_groups, op9_decontamination, op10_pii, op12_periodic_runs, op13_collocations):
+               op8_simhash_groups, op9_decontamination, op10_pii, op11_main_text, op12_periodic_runs, op13_collocations):
     QUERIES[_query.__name__] = _query
 
 SQL["op1_license_scan"] = licenses.sql()
 SQL["op7_secret_scan"] = credentials.sql()
+SQL["op13_collocations"] = phrases.sql()
