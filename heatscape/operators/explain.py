@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from heatscape.functions.columns import add, r2, split_hash
+from heatscape.functions.columns import add, r2
+from heatscape.functions.permutation import permuted
 from heatscape.functions.ranking import column_quantiles, global_rank
 from heatscape.operators.clean import hash_sample
 from heatscape.operators.linear import LinearModel
@@ -126,24 +127,31 @@ def local_explanations(df: DataFrame, key: str, y: str, features: list[str], bas
                     F.col("shap").alias("SHAP_contribution_C")))
 
 
-def permute_column(df: DataFrame, key: str, column: str, seed: int = 0) -> DataFrame:
-    """Values of ``column`` moved to other rows: the row placed r-th by key gets the value placed r-th by hash."""
-    d = df.select(F.col(key).alias("__k"), F.col(f"`{column}`").alias("__v"), split_hash(key, seed).alias("__h"))
-    by_key = global_rank(d.select("__k"), ["__k"], out="__r")
-    by_hash = global_rank(d, ["__h", "__k"], out="__r").select("__r", "__v")
-    moved = by_key.join(by_hash, "__r").select(F.col("__k").alias(key), "__v")
-    return df.join(moved, key).withColumn(column, F.col("__v")).drop("__v")
+def permuted_columns(df: DataFrame, key: str, columns: list[str], seed: int = 0) -> DataFrame:
+    """``key`` and ``moved_<i>``: the values of each column moved to other rows, by a permutation of its own.
+
+    Places are those by key; value number p of column i goes to place ``permuted(p)`` with seed + i.  One rank
+    and one shuffle serve all columns.
+    """
+    d = df.select(F.col(key).alias("__k"), *[F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate(columns)])
+    n = d.count()
+    placed = global_rank(d, ["__k"], out="place")
+    moves = F.array(*[F.struct(F.lit(i).alias("i"), permuted(F.col("place"), n, seed + i).alias("to"), F.col(f"v{i}").cast("double").alias("v"))
+                      for i in range(len(columns))])
+    arrived = placed.select(F.explode(moves).alias("m")).groupBy(F.col("m.to").alias("place")).agg(
+        *[F.max(F.when(F.col("m.i") == i, F.col("m.v"))).alias(f"moved_{i}") for i in range(len(columns))])
+    return placed.join(arrived, "place").select(F.col("__k").alias(key), *[f"moved_{i}" for i in range(len(columns))])
 
 
 def permutation_importance(df: DataFrame, key: str, model, features: list[str], y: str, seed: int = 0) -> DataFrame:
-    """Loss of R2 when one feature is permuted."""
-    base = model.transform(df).agg(r2(y, "prediction").alias("r")).first()["r"]
-    out = None
+    """Loss of R2 when one feature is permuted; all features are scored in one pass."""
+    d = model.transform(df.join(permuted_columns(df, key, features, seed), key)).withColumnRenamed("prediction", "__whole")
     for i, f in enumerate(features):
-        one = model.transform(permute_column(df, key, f, seed + i)).agg(
-            (F.lit(base) - r2(y, "prediction")).alias("r2_drop")).select(F.lit(f).alias("feature"), "r2_drop")
-        out = one if out is None else out.unionByName(one)
-    return out
+        swapped = d.withColumns({"__own": F.col(f"`{f}`"), f: F.col(f"moved_{i}")})
+        d = model.transform(swapped).withColumnRenamed("prediction", f"__without_{i}").withColumn(f, F.col("__own")).drop("__own")
+    scores = d.agg(r2(y, "__whole").alias("whole"), *[r2(y, f"__without_{i}").alias(f"r{i}") for i in range(len(features))])
+    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), (F.col("whole") - F.col(f"r{i}")).alias("r2_drop")) for i, f in enumerate(features)]))
+    return scores.select(cells.alias("c")).select("c.*")
 
 
 def partial_dependence(df: DataFrame, model, feature: str, levels: list[float] | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from heatscape.functions.permutation import permuted_sql
 from heatscape.operators import explain, gatekeeper, linear, models, spatial, validate
 from heatscape.plans.bindings import (FEATURES, PARTED, PIXELS, bucket_sql, distance2_sql, hash_sql, ols2_sql, parted,
                                       pixels)
@@ -282,11 +283,11 @@ def h4(t):
 
 @query("h5_permutation_importance", "feature", "r2_drop", f"""
 WITH {PIXELS}, {ols2_sql('pixels')},
-k AS (SELECT *, row_number() OVER (ORDER BY id) AS r, row_number() OVER (ORDER BY {hash_sql('id', 0)}, id) AS h0,
-             row_number() OVER (ORDER BY {hash_sql('id', 1)}, id) AS h1 FROM pixels),
+k AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS place FROM pixels),
+{permuted_sql('k', 'place', 0, 2)},
 p AS (SELECT 'all' AS feature, y, b0 + b1 * f2 + b2 * f3 AS prediction FROM pixels, model
-      UNION ALL SELECT 'f2', a.y, b0 + b1 * b.f2 + b2 * a.f3 FROM k a JOIN k b ON a.r = b.h0, model
-      UNION ALL SELECT 'f3', a.y, b0 + b1 * a.f2 + b2 * b.f3 FROM k a JOIN k b ON a.r = b.h1, model),
+      UNION ALL SELECT 'f2', a.y, b0 + b1 * b.f2 + b2 * a.f3 FROM k a JOIN moved m ON m.x = a.place AND m.perm = 0 JOIN k b ON b.place = m.place, model
+      UNION ALL SELECT 'f3', a.y, b0 + b1 * a.f2 + b2 * b.f3 FROM k a JOIN moved m ON m.x = a.place AND m.perm = 1 JOIN k b ON b.place = m.place, model),
 s AS (SELECT feature, {R2_SQL} AS r FROM p GROUP BY feature)
 SELECT feature, (SELECT r FROM s WHERE feature = 'all') - r AS r2_drop FROM s WHERE feature <> 'all'""")
 def h5(t):

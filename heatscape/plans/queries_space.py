@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from heatscape.functions.columns import hash_bucket
+from heatscape.functions.permutation import permuted_sql
 from heatscape.operators import collinearity, gwr, linear, neighbours, spatial
 from heatscape.operators.clean import standardise
 from heatscape.plans.bindings import (FEATURES, PIXELS, READINGS, bucket_sql, distance2_sql, hash_sql, ols2_sql,
@@ -245,13 +246,55 @@ def g1(t):
                                "fitted", "leverage")
 
 
-@query("g2_bandwidth_search", "bandwidth n")
+# one predictor: sums over the rows nearer than each row give the fits at every bandwidth at once
+EVERY_FIT = f"""{JITTERED},
+pairs AS (
+  SELECT a.id, a.x AS fx, a.y AS fy, b.x, b.y, {distance2_sql('a', 'b', ['lon', 'lat'])} AS q FROM jittered a CROSS JOIN jittered b),
+nearer AS (
+  SELECT id, fx, fy, q AS hh, row_number() OVER w AS bw,
+         {', '.join(f"sum({v} * power(q, {p})) OVER w - {v} * power(q, {p}) AS s{k}{p}"
+                    for k, v in enumerate(['1.0', 'x', 'x * x', 'y', 'x * y']) for p in range(3))}
+  FROM pairs WINDOW w AS (PARTITION BY id ORDER BY q ROWS UNBOUNDED PRECEDING)),
+weighted AS (
+  SELECT id, fx, fy, bw, {', '.join(f"s{k}0 - 2.0 * s{k}1 / hh + s{k}2 / (hh * hh) AS w{k}" for k in range(5))} FROM nearer WHERE bw >= 40),
+every_fit AS (
+  SELECT bw, fx, fy, (g11 * w3 - w1 * w4) / det AS a, (g00 * w4 - w1 * w3) / det AS b, (g11 - 2.0 * w1 * fx + g00 * fx * fx) / det AS leverage
+  FROM (SELECT *, g00 * g11 - w1 * w1 AS det FROM (
+    SELECT *, w0 + 1e-8 * (w0 + w2) / 2.0 AS g00, w2 + 1e-8 * (w0 + w2) / 2.0 AS g11 FROM weighted) AS s) AS t),
+aiccs AS MATERIALIZED (
+  SELECT bw, n, k, rss, n * ln(rss / n) + n * (1.0 + ln(2.0 * pi())) + 2.0 * n * (k + 1.0) / greatest(n - k - 2.0, 1.0) AS aicc
+  FROM (SELECT bw, count(*) AS n, sum(power(fy - a - b * fx, 2)) AS rss, sum(leverage) AS k FROM every_fit GROUP BY bw) AS f)"""
+# the same golden section, step by step
+GOLDEN_SEARCH = f"""{EVERY_FIT},
+ends AS (SELECT least(max(n), 44) * 1.0::DOUBLE AS lo, max(n) * 1.0::DOUBLE AS hi FROM aiccs),
+search AS (
+  SELECT lo AS a, lo + {gwr.GOLDEN}::DOUBLE * (hi - lo) AS b, hi AS c, hi - {gwr.GOLDEN}::DOUBLE * (hi - lo) AS d FROM ends
+  UNION ALL
+  SELECT CASE WHEN lower THEN a ELSE b END, CASE WHEN lower THEN a + {gwr.GOLDEN}::DOUBLE * (d - a) ELSE d END,
+         CASE WHEN lower THEN d ELSE c END, CASE WHEN lower THEN b ELSE c - {gwr.GOLDEN}::DOUBLE * (c - b) END
+  FROM (SELECT s.*, p.aicc <= q.aicc AS lower FROM search s JOIN aiccs p ON p.bw = round_even(s.b, 0) JOIN aiccs q ON q.bw = round_even(s.d, 0)
+        WHERE round_even(s.b, 0) <> round_even(s.d, 0)) AS t),
+probed AS (SELECT round_even(b, 0) AS bw FROM search UNION SELECT round_even(d, 0) FROM search UNION SELECT lo FROM ends UNION SELECT hi FROM ends),
+best AS (SELECT * FROM aiccs WHERE bw IN (SELECT bw FROM probed) ORDER BY aicc, bw LIMIT 1)"""
+
+
+@query("g2_bandwidth_search", "bandwidth n", sql=f"""
+WITH RECURSIVE {GOLDEN_SEARCH} SELECT CAST(bw AS INTEGER) AS bandwidth, n FROM best""")
 def g2(t):
-    focal, sample = gwr.take_points(pixels(t), "id", "lon", "lat", ["f2", "f3"], "y")
-    bw = gwr.select_bandwidth(focal, sample, ["f2", "f3"])
+    focal, sample = gwr.take_points(pixels(t), "id", "lon", "lat", ["f2"], "y")
+    bw = gwr.select_bandwidth(focal, sample, ["f2"])
     return focal.agg(F.count(F.lit(1)).alias("n")).withColumn("bandwidth", F.lit(bw))
 
 
+@query("g2_bandwidth_scores", "bandwidth", "k aicc", f"""
+WITH {EVERY_FIT}
+SELECT CAST(bw AS INTEGER) AS bandwidth, k, aicc FROM aiccs WHERE bw IN (n // 8, n // 4, n // 2, n - 1, n)""", dp=4)
+def g2_scores(t):
+    focal, sample = gwr.take_points(pixels(t), "id", "lon", "lat", ["f2"], "y")
+    n = sample.n
+    return gwr.bandwidth_scores(focal, sample, ["f2"], [n // 8, n // 4, n // 2, n - 1, n])
+
+
 @query("g3_global_ols", "n", "intercept slope se r2 aicc", f"""
 WITH {JITTERED},
 m AS (SELECT count(*) AS n, regr_intercept(y, x) AS a, regr_slope(y, x) AS b, regr_r2(y, x) AS r2, regr_syy(y, x) AS syy,
@@ -284,10 +327,23 @@ def g4(t):
                               F.col("delta_aicc").alias("delta"), F.col("gwr_justified").alias("justified"))
 
 
-@query("g5_permutation_spread", "perm feature", "iqr")
+@query("g5_permutation_spread", "perm feature", "iqr", f"""
+WITH {JITTERED},
+placed AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS place FROM jittered),
+{permuted_sql('placed', 'place', 42, gwr.PERMUTATIONS)},
+arrived AS (SELECT m.perm, b.id, a.x, a.y FROM moved m JOIN placed a ON a.place = m.place JOIN placed b ON b.place = m.x),
+pairs AS (SELECT a.id, b.id AS other, sqrt({distance2_sql('a', 'b', ['lon', 'lat'])}) AS d FROM jittered a CROSS JOIN jittered b),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d) AS nth FROM pairs),
+near AS (SELECT r.id, r.other, power(1.0 - (r.d / e.d) * (r.d / e.d), 2) AS w
+         FROM ranked r JOIN ranked e ON e.id = r.id AND e.nth = {BANDWIDTH} WHERE r.nth < {BANDWIDTH}),
+sums AS (SELECT perm, n.id, sum(w) AS w0, sum(w * x) AS wx, sum(w * x * x) AS wxx, sum(w * y) AS wy, sum(w * x * y) AS wxy
+         FROM near n JOIN arrived v ON v.id = n.other GROUP BY perm, n.id),
+slopes AS (SELECT perm, (g00 * wxy - wx * wy) / (g00 * g11 - wx * wx) AS b FROM (
+  SELECT *, w0 + 1e-8 * (w0 + wxx) / 2.0 AS g00, wxx + 1e-8 * (w0 + wxx) / 2.0 AS g11 FROM sums) AS s)
+SELECT CAST(perm AS INTEGER) AS perm, 'f2' AS feature, quantile_cont(b, 0.75) - quantile_cont(b, 0.25) AS iqr FROM slopes GROUP BY perm""", dp=5)
 def g5(t):
-    focal, sample = gwr.take_points(pixels(t), "id", "lon", "lat", ["f2", "f3"], "y")
-    return gwr.permuted_spreads(focal, sample, ["f2", "f3"], BANDWIDTH)
+    focal, sample = gwr.take_points(pixels(t), "id", "lon", "lat", ["f2"], "y")
+    return gwr.permuted_spreads(focal, sample, ["f2"], BANDWIDTH)
 
 
 @query("g6_driver_summary", "Feature",
@@ -306,8 +362,18 @@ def g6(t):
     return gwr.coefficient_summary(local, ols)
 
 
-@query("g7_gwr_run", "bandwidth n_points gwr_justified n_perm", "gwr_R2 ols_R2 aicc aicc_ols delta_aicc")
+@query("g7_gwr_run", "bandwidth n_points gwr_justified n_perm", "gwr_R2 ols_R2 aicc aicc_ols delta_aicc", f"""
+WITH RECURSIVE {GOLDEN_SEARCH},
+overall AS (SELECT (1.0 - regr_r2(y, x)) * regr_syy(y, x) AS orss, regr_syy(y, x) AS tss, regr_r2(y, x) AS r2 FROM jittered),
+scores AS (SELECT *, n * ln(orss / n) + n * (1.0 + ln(2.0 * pi())) + 2.0 * n * 3.0 / (n - 4.0) AS aicc_ols FROM best, overall)
+SELECT CAST(bw AS INTEGER) AS bandwidth, n AS n_points, aicc_ols - aicc > 3.0 AS gwr_justified, CAST({gwr.PERMUTATIONS} AS INTEGER) AS n_perm,
+       1.0 - rss / tss AS "gwr_R2", r2 AS "ols_R2", aicc, aicc_ols, aicc_ols - aicc AS delta_aicc FROM scores""", dp=4)
 def g7(t):
+    return gwr.gwr(pixels(t), "id", "lon", "lat", ["f2"], "y")["meta"]
+
+
+@query("g7_gwr_run_features", "bandwidth n_points gwr_justified n_perm", "gwr_R2 ols_R2 aicc aicc_ols delta_aicc")
+def g7_features(t):
     return gwr.gwr(pixels(t), "id", "lon", "lat", ["f2", "f3", "f4"], "y")["meta"]
 
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from heatscape.operators import clusters, explain, gwr, linear, models, spatial, validate
+from heatscape.operators import clusters, explain, gwr, linear, models, spatial, tiles, validate
 from heatscape.operators.gatekeeper import Gatekeeper, spearman, validate_coverage, verdict_errors
 
 
@@ -116,16 +116,60 @@ def test_tiled_gwr_equals_broadcast(spark):
         zip(rng.normal(size=n), rng.normal(size=n), rng.normal(size=n), rng.normal(size=n)))]
     d = spark.createDataFrame(rows, "id long, lon double, lat double, x double, y double")
     whole = gwr.take_points(d, "id", "lon", "lat", ["x"], "y")
-    tiles = gwr.take_points(d, "id", "lon", "lat", ["x"], "y", small_rows=100, tile_rows=64)
-    assert isinstance(tiles[1], gwr.Tiles) and tiles[1].n == n
+    cut = gwr.take_points(d, "id", "lon", "lat", ["x"], "y", small_rows=100, tile_rows=64)
+    assert isinstance(cut[1], gwr.Tiles) and cut[1].n == n
     for bandwidth in (50, 200, n):
-        a, b = (gwr.local_coefficients(*p, ["x"], bandwidth).toPandas().sort_values("focal_id") for p in (whole, tiles))
+        a, b = (gwr.local_coefficients(*p, ["x"], bandwidth).toPandas().sort_values("focal_id") for p in (whole, cut))
         assert len(b) == n
         np.testing.assert_allclose(np.stack(b["coef"]), np.stack(a["coef"]), rtol=1e-7, atol=1e-9)
         np.testing.assert_allclose(b["leverage"], a["leverage"], rtol=1e-7)
-    assert gwr.near_tiles(tiles[1], 50).count() < gwr.near_tiles(tiles[1], n).count()
-    spread = gwr.permuted_spreads(*tiles, ["x"], 100, n_perm=3).toPandas()
-    assert sorted(spread["perm"]) == [0, 1, 2] and (spread["iqr"] > 0).all()
+    # the same rows move to the same places in both forms, and some tiles are met as moments
+    a, b = (gwr.permuted_spreads(*p, ["x"], 100, n_perm=3).orderBy("perm").toPandas() for p in (whole, cut))
+    assert a["perm"].tolist() == [0, 1, 2] and (a["iqr"] > 0).all()
+    np.testing.assert_allclose(b["iqr"], a["iqr"], rtol=1e-7)
+
+
+@pytest.mark.parametrize("fanout", [4, 64])
+def test_wide_bandwidths_meet_tiles_as_moments(spark, monkeypatch, fanout):
+    """Every bandwidth up to all rows gives the fits of plain weights, whether the tree has one level or several."""
+    rng = np.random.default_rng(8)
+    n = 1500
+    xy, x = rng.random((n, 2)) * [30, 1], rng.normal(size=(n, 2))
+    xy[:300] = xy[0]  # a fifth of all rows in one place
+    y = x[:, 0] * xy[:, 1] + x[:, 1] + rng.normal(size=n)
+    d = spark.createDataFrame([(i, *map(float, (*xy[i], *x[i], y[i]))) for i in range(n)], "id long, lon double, lat double, `a.b` double, c double, y double")
+    monkeypatch.setattr(gwr, "tree", lambda b, xs: tiles.tree(b, xs, fanout))
+    features = ["a.b", "c"]
+    whole = gwr.take_points(d, "id", "lon", "lat", features, "y")
+    cut = gwr.take_points(d, "id", "lon", "lat", features, "y", small_rows=100, tile_rows=24)
+    assert len(cut[1].levels) > (2 if fanout == 4 else 0)
+    for bandwidth in (60, 700, n):
+        a, b = (gwr.local_coefficients(*p, features, bandwidth).toPandas().sort_values("focal_id") for p in (whole, cut))
+        np.testing.assert_allclose(np.stack(b["coef"]), np.stack(a["coef"]), rtol=1e-6, atol=1e-8)
+        np.testing.assert_allclose(b["leverage"], a["leverage"], rtol=1e-6)
+    blocks = cut[1].levels[0].selectExpr("node AS block", "lo_lon", "hi_lon", "lo_lat", "hi_lat")
+    cover = tiles.covering(blocks, cut[1].levels, ["lon", "lat"], 700).cache()
+    inside = cover.where("inside").agg(F.sum("n")).first()[0]
+    assert inside > 0.2 * 700 * blocks.count()  # rows that are not met one by one
+    assert fanout == 64 or cover.where("inside AND level > 0").count() > 0  # and some of them by boxes of tiles
+
+
+def test_permutations_are_bijections(spark):
+    import duckdb
+
+    from heatscape.functions.permutation import permuted, permuted_places, permuted_sql
+
+    for n in (0, 1, 2, 3, 10, 97, 1000):
+        for seed in (0, 1, 42):
+            moved = permuted_places(n, seed)
+            assert sorted(moved) == list(range(n))
+            assert [r[0] for r in spark.range(n).select(permuted(F.col("id"), n, seed)).collect()] == moved.tolist()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t AS SELECT range AS place FROM range(97)")
+    rows = con.execute(f"WITH {permuted_sql('t', 'place', 42, 2)} SELECT perm, place, x FROM moved ORDER BY ALL").fetchall()
+    assert rows == [(i, p, int(x)) for i in range(2) for p, x in enumerate(permuted_places(97, 42 + i))]
+    far = permuted_places(5000, 7)
+    assert abs(np.corrcoef(np.arange(5000), far)[0, 1]) < 0.05 and 0.3 < np.abs(np.diff(far)).mean() / 5000 < 0.37
 
 
 def test_gwr_against_numpy_and_gate(spark):
