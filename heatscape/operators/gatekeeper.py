@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from heatscape.functions.columns import hash_bucket
 from heatscape.functions.ranking import global_rank, quantile_values, quantiles
 from heatscape.operators.clean import scaling_stats, standardise
-from heatscape.operators.neighbours import knn
+from heatscape.operators.neighbours import knn_mean
 
 VERDICTS = ("ACCEPT", "REVIEW", "REJECT")
 SMALL_SCALE = 1_000_000
@@ -110,9 +110,7 @@ def verdict(trust: Column, t_accept: float, t_reject: float) -> Column:
 
 
 def _mean_near(q: DataFrame, key: str, zs: list[str], ref: DataFrame, k: int, value: str | None, out: str):
-    near = knn(q, ref, zs, k, key, value=value)
-    what = F.avg("distance") if value is None else F.avg("value")
-    return near.groupBy(F.col("query_id").alias(key)).agg(what.alias(out))
+    return knn_mean(q, ref, zs, k, key, value=value).select(F.col("query_id").alias(key), F.col("mean").alias(out))
 
 
 def _signals(df: DataFrame, key: str, features: list[str], train: DataFrame, half_a: DataFrame, k: int,

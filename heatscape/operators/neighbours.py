@@ -2,19 +2,23 @@
 
 A reference table of at most ``SMALL_REFERENCE`` rows is broadcast and every
 batch of queries meets it in place, without a shuffle.  A larger one is cut
-into tiles of at most ``TILE_ROWS`` rows by range shuffles on one coordinate
-after the other, so a dense spot simply gets more tiles.  Queries are cut into
+into tiles, with a tree of boxes over them (``tiles.py``).  Queries are cut into
 blocks the same way.
 
 1. Each block meets the tile nearest to it; that gives every query a radius
    within which its k neighbours must lie.
-2. Each query goes to every other tile whose bounding box the radius touches.
-3. The candidates of both steps are ranked per query.
-
-A task holds one block and one tile.  Only bounding boxes are broadcast, at
-most about ``MAX_TILES`` of them: beyond that tiles grow instead.  A spot
-shared by many reference rows keeps its k+1 lowest ids, which is all that any
-query can use under the (distance, id) order.
+2. Each block walks down the tree to the tiles its queries' radii may touch,
+   and each query goes to those whose box its own radius touches.
+3. The candidates of both steps are merged per query.
+
+A task holds one block and one tile, or one block and the boxes near it.
+Nothing that grows with the table is broadcast.  In many dimensions boxes overlap
+a lot; tiles then also keep their range of distances from a few pivots, and a
+query skips a tile whose range is farther from its own distance than its radius.
+A spot shared by many reference rows keeps its k+1 lowest ids, which is all that
+any query can use under the (distance, id) order.
+
+``knn`` returns a row for each neighbour, ``knn_mean`` one number for each query.
 """
 
 from __future__ import annotations
@@ -24,25 +28,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from heatscape.functions.columns import squared_distance
 from heatscape.functions.ranking import shuffle_width
+from heatscape.operators.tiles import FANOUT, SLACK, TILE_ROWS, boxes, first_tiles, tiled, touching, tree
 from heatscape.session import materialise
 
 SMALL_REFERENCE = 4096
-TILE_ROWS = 1024
-MAX_TILES = 65_536
-TILE_DIMS = 3
 MAX_TASKS = 20_000
 BLOCKS_PER_TASK = 4
 MATRIX_CELLS = 2_000_000
-FOUND = "qid long, ids array<long>, d2 array<double>, vals array<double>"
-
-
-def power_of_two(n: float) -> int:
-    return 1 << max(0, int(np.ceil(np.log2(max(n, 1)))))
+#: From this many dimensions on, tiles keep distances from pivots.
+PIVOT_DIMS = 4
+PIVOTS = 8
+FOUND = "ids array<long>, d2 array<double>, vals array<double>"
 
 
 def squared_distances(q: np.ndarray, r: np.ndarray) -> np.ndarray:
@@ -96,141 +98,108 @@ def points(df: DataFrame, key: str, dims: list[str], value: str | None, key_name
     return df.select(*cols).dropna(subset=[f"x{i}" for i in range(len(dims))])
 
 
-def tiled(df: DataFrame, n_rows: int, xs: list[str], key: str, tile_rows: int, name: str) -> DataFrame:
-    """Add a tile number such that a tile holds neighbouring rows, at most ``tile_rows``."""
-    n_tiles = max(1, n_rows // tile_rows)
-    cut_dims = xs[:TILE_DIMS]
-    strip: list[str] = []
-    for j, x in enumerate(cut_dims[:-1]):
-        parts = max(1, int(round(n_tiles ** ((j + 1) / len(cut_dims)))))
-        rest = [c for c in xs if c != x]
-        df = df.repartitionByRange(parts, *strip, x, *rest, key).withColumn("__strip", F.spark_partition_id())
-        strip = ["__strip"]
-    order = [*strip, cut_dims[-1], key]
-    width = min(n_tiles, max(shuffle_width(df), n_rows // 1_000_000))
-    df = df.repartitionByRange(width, *order).sortWithinPartitions(*order)
-    # a place is (partition << 33) + position, so blocks never cross partitions
-    block = F.floor(F.monotonically_increasing_id() / F.lit(tile_rows)).cast("long")
-    tile = F.shiftleft(block, 20) + (F.col("__strip") if strip else F.lit(0))
-    return materialise(df.withColumn(name, tile.cast("long")).drop("__strip"))
-
-
-def boxes(df: DataFrame, tile: str, xs: list[str]) -> DataFrame:
-    return df.groupBy(tile).agg(F.count(F.lit(1)).alias("n"),
-                                *[F.min(x).alias(f"lo_{x}") for x in xs],
-                                *[F.max(x).alias(f"hi_{x}") for x in xs])
-
-
-class Boxes:
-    """Bounding boxes of all tiles as arrays (a broadcast value of bounded size)."""
-
-    def __init__(self, frame: DataFrame, xs: list[str]):
-        p = frame.toPandas()
-        self.tile = p["tile"].to_numpy()
-        self.n = p["n"].to_numpy()
-        self.lo = p[[f"lo_{x}" for x in xs]].to_numpy(float)
-        self.hi = p[[f"hi_{x}" for x in xs]].to_numpy(float)
-
-    def nearest_corner(self, lo, hi):
-        gap = np.maximum(0.0, np.maximum(self.lo - hi, lo - self.hi))
-        return (gap * gap).sum(axis=1)
-
-    def farthest_corner(self, lo, hi):
-        far = np.maximum(np.abs(hi - self.lo), np.abs(self.hi - lo))
-        return (far * far).sum(axis=1)
-
-
-# Bounds are compared after rounding in another order than the distances
-# themselves, so boxes are kept a little too long rather than too short.
-SLACK = 1.0 + 1e-9
-
-
-def seed_tiles(blocks: DataFrame, bc, xs: list[str], need: int) -> DataFrame:
-    """Per block: the tile to look at first and a radius sure to hold ``need`` rows."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        b: Boxes = bc.value
-        for p in batches:
-            rows = []
-            lo, hi = p[[f"lo_{x}" for x in xs]].to_numpy(float), p[[f"hi_{x}" for x in xs]].to_numpy(float)
-            for i, block in enumerate(p["block"]):
-                far = b.farthest_corner(lo[i], hi[i])
-                order = np.argsort(far, kind="stable")
-                enough = np.searchsorted(np.cumsum(b.n[order]), need)
-                bound = far[order[enough]] * SLACK if enough < len(order) else np.inf
-                rows.append((block, b.tile[order[0]], bound))
-            yield pd.DataFrame(rows, columns=["block", "tile", "bound"])
-    return blocks.mapInPandas(run, "block long, tile long, bound double")
-
-
-def touched_tiles(b: Boxes, x: np.ndarray, radius2: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query row, tile) for each tile but the seed whose box lies within the query's radius."""
+def pivot_points(levels: list[DataFrame], xs: list[str]) -> np.ndarray:
+    """At most PIVOTS of the middles of the topmost boxes, each far from those before; the topmost level has FANOUT boxes at most."""
+    top = levels[-1].orderBy("node").toPandas()
+    mid = (top[[f"lo_{x}" for x in xs]].to_numpy(float) + top[[f"hi_{x}" for x in xs]].to_numpy(float)) / 2
+    out = [int(np.argmax(((mid - mid.mean(axis=0)) ** 2).sum(axis=1)))]
+    while len(out) < min(PIVOTS, len(mid)):
+        out.append(int(np.argmax(squared_distances(mid, mid[out]).min(axis=1))))
+    return mid[out]
+
+
+def _with_pivots(df: DataFrame, xs: list[str], pivots: np.ndarray) -> DataFrame:
+    """Add the distance from each pivot as ``p<i>``."""
+    own = [F.col(x) for x in xs]
+    return df.withColumns({f"p{i}": F.sqrt(squared_distance(own, [F.lit(float(v)) for v in at])) for i, at in enumerate(pivots)})
+
+
+def touched(x: np.ndarray, own: np.ndarray, node: np.ndarray, lo: np.ndarray, hi: np.ndarray, radius2: np.ndarray,
+            dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query row, box row) wherever the query's radius touches a box of another tile than its ``own``.
+
+    The first ``dims`` columns are coordinates, the others distances from pivots: no point of the box is
+    nearer than the greatest difference of the latter.
+    """
     limit = radius2 * SLACK
-    near = np.flatnonzero((b.nearest_corner(x.min(axis=0), x.max(axis=0)) <= limit.max()) & (b.tile != seed))
     hits = ([], [])
-    step = max(1, MATRIX_CELLS // max(1, len(near)))
-    for s in range(0, len(x) if len(near) else 0, step):
-        d = np.zeros((len(x[s:s + step]), len(near)))
+    step = max(1, MATRIX_CELLS // max(1, len(node)))
+    for s in range(0, len(x) if len(node) else 0, step):
+        part = x[s:s + step]
+        near = np.zeros((len(part), len(node)))
         for j in range(x.shape[1]):
-            c = x[s:s + step, j][:, None]
-            gap = np.maximum(0.0, np.maximum(b.lo[near, j][None, :] - c, c - b.hi[near, j][None, :]))
-            d += gap * gap
-        rows, cols = np.nonzero(d <= limit[s:s + step][:, None])
+            gap = np.maximum(0.0, np.maximum(lo[:, j][None, :] - part[:, j][:, None], part[:, j][:, None] - hi[:, j][None, :]))
+            near = near + gap * gap if j < dims else np.maximum(near, gap * gap / SLACK)
+        rows, cols = np.nonzero((near <= limit[s:s + step][:, None]) & (node[None, :] != own[s:s + step][:, None]))
         hits[0].append(rows + s)
-        hits[1].append(b.tile[near[cols]])
+        hits[1].append(cols)
     if not hits[0]:
-        return np.zeros(0, int), np.zeros(0, np.int64)
+        return np.zeros(0, int), np.zeros(0, int)
     return np.concatenate(hits[0]), np.concatenate(hits[1])
 
 
-def _small_knn(q: DataFrame, ref_rows: pd.DataFrame, xs, k, exclude_self) -> DataFrame:
+def _small_lists(q: DataFrame, ref_rows: pd.DataFrame, xs, k, exclude_self) -> DataFrame:
+    """(qid, own, ids, d2, vals) against a reference of bounded size."""
     ref_rows = ref_rows.sort_values("rid")
     bc = q.sparkSession.sparkContext.broadcast(
         (ref_rows[xs].to_numpy(float), ref_rows["rid"].to_numpy(), ref_rows["val"].to_numpy(float)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r, rid, val = bc.value
-        for p in batches:
-            qid = p["qid"].to_numpy()
-            rows, cols, d = nearest(p[xs].to_numpy(float), qid, r, rid, k, exclude_self)
-            place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") + 1
-            yield pd.DataFrame({"query_id": qid[rows], "ref_id": rid[cols], "value": val[cols],
-                                "distance": np.sqrt(d), "rank": place.astype("int32")})
-    return q.mapInPandas(run, "query_id long, ref_id long, value double, distance double, rank int")
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            rows, cols, d = nearest(columns(t, xs), t.column("qid").to_numpy(), r, rid, k, exclude_self)
+            out = pa.table([t.column("qid"), t.column("own"), *lists(rows, len(t), rid[cols], d, val[cols])],
+                           names=["qid", "own", "ids", "d2", "vals"])
+            yield from out.combine_chunks().to_batches()
+    return q.select("qid", "own", *xs).mapInArrow(run, f"qid long, own double, {FOUND}")
 
 
-def _tiled_knn(q: DataFrame, r: DataFrame, n_ref: int, xs, k, exclude_self, tile_rows, same) -> DataFrame:
-    sc = q.sparkSession.sparkContext
+def _tiled_lists(q: DataFrame, r: DataFrame, n_ref: int, xs, k, exclude_self, tile_rows, same, fanout) -> tuple[DataFrame, DataFrame]:
+    """(qid, own, ids, d2, vals) of queries that end with their first tile, and all found for the others with their ``tiles``."""
     spot = W.partitionBy(*xs).orderBy("rid")
     r = r.withColumn("__n", F.row_number().over(spot)).where(F.col("__n") <= k + 1).drop("__n")
-    tile_rows = max(tile_rows, power_of_two(n_ref / MAX_TILES))
     tiles = tiled(r, n_ref, xs, "rid", tile_rows, "tile")
-    box = Boxes(boxes(tiles, "tile", xs), xs)
-    bc = sc.broadcast(box)
-    if same and box.n.sum() == n_ref:
-        # every row of the table is in a tile, so the tiles are the query blocks
-        blocks = tiles.select(F.col("rid").alias("qid"), *[F.col(x).alias(x) for x in xs], F.col("tile").alias("block"))
+    levels = tree(boxes(tiles, "tile", xs), xs, fanout)
+    pivots = []
+    if len(xs) >= PIVOT_DIMS:
+        at = pivot_points(levels, xs)
+        pivots = [f"p{i}" for i in range(len(at))]
+        tiles, q = _with_pivots(tiles, xs, at), _with_pivots(q, xs, at)
+        levels = tree(boxes(tiles, "tile", [*xs, *pivots]), xs, fanout, pivots)
+    every = [*xs, *pivots]
+    far = F.lit(float("inf"))
+    if same and levels[-1].agg(F.sum("n")).first()[0] == n_ref:
+        # every row of the table is in a tile, so the tiles are the query blocks and meet themselves first
+        blocks = tiles.select(F.col("rid").alias("qid"), F.col("val").alias("own"), *every, F.col("tile").alias("block"))
+        small = levels[0].where(F.col("n") <= k).withColumnRenamed("node", "block")
+        seeds = levels[0].select(F.col("node").alias("block"), F.col("node").alias("tile"), far.alias("bound"))
+        if not small.isEmpty():
+            bounds = first_tiles(small, levels, xs, k + 1).select("block", F.col("bound").alias("least"))
+            seeds = seeds.join(bounds, "block", "left").select("block", "tile", F.least("bound", F.coalesce("least", far)).alias("bound"))
     else:
         n_query = q.count()
-        block_rows = min(tile_rows, max(64, power_of_two(n_query / 64)))
-        blocks = tiled(q, n_query, xs, "qid", block_rows, "block")
-    seeds = materialise(seed_tiles(boxes(blocks, "block", xs), bc, xs, k + int(exclude_self)))
+        blocks = tiled(q, n_query, xs, "qid", min(tile_rows, max(64, n_query // 64)), "block")
+        seeds = first_tiles(boxes(blocks, "block", xs).drop("n"), levels, xs, k + int(exclude_self))
+    seeds = materialise(seeds)
     # small in bytes but heavy to compute, so the number of tasks is set here
     width = max(shuffle_width(q), min(seeds.count() // BLOCKS_PER_TASK, MAX_TASKS))
 
     def meeting(queries: DataFrame, meets: DataFrame):
         """Query rows and tile rows of each (block, tile) that meet, brought together."""
         m = meets.select(F.col("block").alias("rblock"), F.col("tile").alias("rtile"))
-        rows = tiles.join(m, F.col("tile") == F.col("rtile")).drop("tile")
+        rows = tiles.drop(*pivots).join(m, F.col("tile") == F.col("rtile")).drop("tile")
         return (queries.repartition(width, "block", "tile").groupBy("block", "tile")
                 .cogroup(rows.repartition(width, "rblock", "rtile").groupBy("rblock", "rtile")))
 
     def found(qt: pa.Table, rt: pa.Table, limit):
         rt = rt.sort_by("rid")
         rid, val = rt.column("rid").to_numpy(), rt.column("val").to_numpy()
-        rows, cols, d = nearest(columns(qt, xs), qt.column("qid").to_numpy(), columns(rt, xs), rid, k,
-                                exclude_self, limit)
+        rows, cols, d = nearest(columns(qt, xs), qt.column("qid").to_numpy(), columns(rt, xs), rid, k, exclude_self, limit)
         return rows, d, lists(rows, len(qt), rid[cols], d, val[cols])
 
+    head = ["qid", "own", "block", "tile", *every]
+
     def first(qt: pa.Table, rt: pa.Table) -> pa.Table:
         rows, d, near = found(qt, rt, None)
         n = len(qt)
@@ -239,50 +208,105 @@ def _tiled_knn(q: DataFrame, r: DataFrame, n_ref: int, xs, k, exclude_self, tile
         edge = np.full(n, np.inf)
         edge[full] = d[last[full] - 1]
         radius = np.minimum(edge, qt.column("bound").to_numpy())
-        to, others = touched_tiles(bc.value, columns(qt, xs), radius, qt.column("tile")[0].as_py())
-        return pa.table([qt.column("qid"), qt.column("block"), *[qt.column(x) for x in xs], pa.array(radius),
-                         *lists(to, n, others), *near],
-                        names=["qid", "block", *xs, "radius2", "tiles", "ids", "d2", "vals"])
+        return pa.table([*[qt.column(c) for c in head], pa.array(radius), *near], names=[*head, "radius2", "ids", "d2", "vals"])
+
+    coords = ", ".join(f"{x} double" for x in every)
+    schema = f"qid long, own double, block long, tile long, {coords}, radius2 double, {FOUND}"
+    start = materialise(meeting(blocks.join(seeds, "block"), seeds).applyInArrow(first, schema))
+
+    # the tiles that the queries of a block may touch, then those that each of them touches
+    limits = F.max("radius2").alias("limit2")
+    reach = boxes(start, "block", every).join(start.groupBy("block").agg(limits), "block")
+    corners = [f"{c}_{x}" for x in every for c in ("lo", "hi")]
+    around = touching(reach, levels, xs, pivots).select(F.col("block").alias("near_block"), "node", *corners)
+
+    def spread(qt: pa.Table, bt: pa.Table) -> pa.Table:
+        bt = bt.sort_by("node")
+        node = bt.column("node").to_numpy()
+        rows, cols = touched(columns(qt, every), qt.column("tile").to_numpy(), node, columns(bt, [f"lo_{x}" for x in every]),
+                             columns(bt, [f"hi_{x}" for x in every]), qt.column("radius2").to_numpy(), len(xs))
+        return qt.append_column("tiles", lists(rows, len(qt), node[cols])[0]).drop_columns(["tile"])
+
+    start = materialise(start.repartition(width, "block").groupBy("block").cogroup(
+        around.repartition(width, "near_block").groupBy("near_block")).applyInArrow(
+            spread, f"qid long, own double, block long, {coords}, radius2 double, {FOUND}, tiles array<long>"))
 
     def more(qt: pa.Table, rt: pa.Table) -> pa.Table:
         _, _, near = found(qt, rt, qt.column("radius2").to_numpy() * SLACK)
         return pa.table([qt.column("qid"), *near], names=["qid", "ids", "d2", "vals"])
 
-    coords = ", ".join(f"{x} double" for x in xs)
-    start = materialise(meeting(blocks.join(seeds, "block"), seeds).applyInArrow(
-        first, f"qid long, block long, {coords}, radius2 double, tiles array<long>, "
-               "ids array<long>, d2 array<double>, vals array<double>"))
-    found_cols = ["qid", "ids", "d2", "vals"]
-    near = F.posexplode(F.arrays_zip("d2", "ids", "vals")).alias("pos", "c")
-    fields = [F.col("qid").alias("query_id"), F.col("c.ids").alias("ref_id"), F.col("c.vals").alias("value")]
+    answer = ["qid", "own", "ids", "d2", "vals", "tiles"]
     # most queries are done after their first tile and are not shuffled again
-    done = start.where(F.size("tiles") == 0).select("qid", near).select(
-        *fields, F.sqrt("c.d2").alias("distance"), (F.col("pos") + 1).alias("rank"))
-    going_on = start.where(F.size("tiles") > 0)
-    touched = going_on.select("qid", "block", "radius2", *xs, F.explode("tiles").alias("tile"))
-    rest = meeting(touched, touched.select("block", "tile").distinct()).applyInArrow(more, FOUND)
-    cand = going_on.select(*found_cols).unionByName(rest).select("qid", near).select(*fields, F.col("c.d2").alias("d2"))
-    w = W.partitionBy("query_id").orderBy("d2", "ref_id")
-    ranked = (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-              .select("query_id", "ref_id", "value", F.sqrt("d2").alias("distance"), "rank"))
-    return done.unionByName(ranked)
+    done, going_on = start.where(F.size("tiles") == 0), start.where(F.size("tiles") > 0)
+    to = going_on.select("qid", "block", "radius2", *xs, F.explode("tiles").alias("tile"))
+    rest = meeting(to, to.select("block", "tile").distinct()).applyInArrow(more, f"qid long, {FOUND}")
+    both = going_on.select(*answer).unionByName(rest.withColumns({"own": F.lit(None).cast("double"), "tiles": F.lit(None).cast("array<long>")}))
+    return done.select(*answer), both
 
 
-def knn(query: DataFrame, ref: DataFrame, dims: list[str], k: int, query_key: str, ref_key: str | None = None,
-        value: str | None = None, exclude_self: bool = False, small_reference: int = SMALL_REFERENCE,
-        tile_rows: int = TILE_ROWS) -> DataFrame:
-    """``query_id, ref_id, value, distance, rank`` of the k nearest reference rows.
+def _merged(both: DataFrame, k: int) -> DataFrame:
+    """The k nearest of all that was found for each query."""
+    nearest_first = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("d2", "ids", "vals"))))
+    c = both.groupBy("qid").agg(F.max("own").alias("own"), F.slice(nearest_first, 1, k).alias("c"))
+    return c.select("qid", "own", F.col("c.ids").alias("ids"), F.col("c.d2").alias("d2"), F.col("c.vals").alias("vals"))
 
-    ``value`` is a numeric reference column handed along; ties in distance go
-    to the lower id.  Keys must be unique integers.
-    """
+
+def neighbour_lists(query: DataFrame, ref: DataFrame, dims: list[str], k: int, query_key: str, ref_key: str | None = None,
+                    value: str | None = None, exclude_self: bool = False, small_reference: int = SMALL_REFERENCE,
+                    tile_rows: int = TILE_ROWS, own: str | None = None, fanout: int = FANOUT) -> DataFrame:
+    """``qid, own, ids, d2, vals`` per query: its column ``own`` and ids, squared distances and values of its k nearest."""
     ref_key = ref_key or query_key
     xs = [f"x{i}" for i in range(len(dims))]
-    q = points(query, query_key, dims, None, "qid")
+    q = points(query, query_key, dims, own, "qid")
+    q = q.withColumnRenamed("val", "own") if own is not None else q.withColumn("own", F.lit(None).cast("double"))
     r = points(ref, ref_key, dims, value, "rid")
     if value is None:
         r = r.withColumn("val", F.lit(0.0))
     head = r.limit(small_reference + 1).toPandas()
     if len(head) <= small_reference:
-        return _small_knn(q, head, xs, k, exclude_self)
-    return _tiled_knn(q, r, r.count(), xs, k, exclude_self, tile_rows, same=query is ref and query_key == ref_key)
+        return _small_lists(q, head, xs, k, exclude_self)
+    same = query is ref and query_key == ref_key and (own is None or own == value)
+    done, both = _tiled_lists(q, r, r.count(), xs, k, exclude_self, tile_rows, same, fanout)
+    return done.drop("tiles").unionByName(_merged(both.drop("tiles"), k))
+
+
+def tiles_touched(df: DataFrame, dims: list[str], k: int, key: str, tile_rows: int = TILE_ROWS, fanout: int = FANOUT) -> DataFrame:
+    """``queries, tiles, mean_tiles, most_tiles`` that queries of a self-join go to besides their own; a flat mean makes the join scale."""
+    xs = [f"x{i}" for i in range(len(dims))]
+    q = points(df, key, dims, None, "qid").withColumn("own", F.lit(None).cast("double"))
+    r = points(df, key, dims, None, "rid").withColumn("val", F.lit(0.0))
+    n = r.count()
+    done, both = _tiled_lists(q, r, n, xs, k, True, tile_rows, True, fanout)
+    sizes = F.size("tiles")
+    return done.select("tiles").unionByName(both.where("tiles IS NOT NULL").select("tiles")).agg(
+        F.count(F.lit(1)).alias("queries"), F.lit(max(1, n // tile_rows)).alias("tiles"), F.avg(sizes).alias("mean_tiles"), F.max(sizes).alias("most_tiles"))
+
+
+def knn(query: DataFrame, ref: DataFrame, dims: list[str], k: int, query_key: str, ref_key: str | None = None,
+        value: str | None = None, exclude_self: bool = False, **kw) -> DataFrame:
+    """``query_id, ref_id, value, distance, rank`` of the k nearest reference rows.
+
+    ``value`` is a numeric reference column handed along; ties in distance go
+    to the lower id.  Keys must be unique integers.
+    """
+    found = neighbour_lists(query, ref, dims, k, query_key, ref_key, value, exclude_self, **kw)
+    near = F.posexplode(F.arrays_zip("d2", "ids", "vals")).alias("pos", "c")
+    return found.select("qid", near).select(
+        F.col("qid").alias("query_id"), F.col("c.ids").alias("ref_id"), F.col("c.vals").alias("value"),
+        F.sqrt("c.d2").alias("distance"), (F.col("pos") + 1).alias("rank"))
+
+
+def list_mean(values: Column) -> Column:
+    """Mean of an array of numbers, null for an empty one."""
+    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.when(F.size(values) > 0, F.size(values))
+
+
+def knn_mean(query: DataFrame, ref: DataFrame, dims: list[str], k: int, query_key: str, ref_key: str | None = None,
+             value: str | None = None, exclude_self: bool = False, own: str | None = None, **kw) -> DataFrame:
+    """``query_id, own, near, mean``: how many of the k nearest rows there are, and the mean of their ``value``, else of their distance.
+
+    One row a query; no row for a neighbour is ever made.  ``own`` is a numeric query column handed along.
+    """
+    found = neighbour_lists(query, ref, dims, k, query_key, ref_key, value, exclude_self, own=own, **kw)
+    what = F.col("vals") if value is not None else F.transform("d2", F.sqrt)
+    return found.select(F.col("qid").alias("query_id"), "own", F.size("ids").alias("near"), list_mean(what).alias("mean"))

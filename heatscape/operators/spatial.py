@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from heatscape.functions.columns import hash_bucket, squared_distance
 from heatscape.operators.clean import hash_sample, scaling_stats, standardise
-from heatscape.operators.neighbours import knn
+from heatscape.operators.neighbours import knn_mean
 
 # Fixed values of the validation design.
 N_BLOCKS = 10
@@ -99,11 +99,9 @@ def morans_i(df: DataFrame, value: str, lon: str, lat: str, key: str, k: int = M
     if n < MORAN_MIN_ROWS or not s["v"]:
         return base.createDataFrame([(n, kk, None)], "n bigint, k int, morans_i double")
     z = d.select(key, lon, lat, (F.col(value) - F.lit(s["m"])).alias("z"))
-    near = knn(z, z, [lon, lat], kk, key, value="z", exclude_self=True, **kw)
-    lag = near.groupBy(F.col("query_id").alias(key)).agg(F.sum("value").alias("lag"))
-    return z.join(lag, key).agg(
-        F.lit(n).cast("bigint").alias("n"), F.lit(kk).alias("k"),
-        (F.sum(F.col("z") * F.col("lag")) / F.lit(float(kk)) / F.sum(F.col("z") * F.col("z"))).alias("morans_i"))
+    near = knn_mean(z, z, [lon, lat], kk, key, value="z", exclude_self=True, own="z", **kw)
+    return near.agg(F.lit(n).cast("bigint").alias("n"), F.lit(kk).alias("k"),
+                    (F.sum(F.col("own") * F.col("mean") * F.col("near")) / F.lit(float(kk)) / F.sum(F.col("own") * F.col("own"))).alias("morans_i"))
 
 
 def residual_verdict(moran: Column) -> Column:

@@ -8,7 +8,6 @@ equi-join a level and goes on only below boxes it may need, so no task and no dr
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,25 +49,13 @@ def boxes(df: DataFrame, tile: str, xs: list[str]) -> DataFrame:
                                 *[F.max(x).alias(f"hi_{x}") for x in xs])
 
 
-class Boxes:
-    """Bounding boxes as arrays, for a number of tiles that has been checked."""
+def tree(tile_boxes: DataFrame, xs: list[str], fanout: int = FANOUT, more: list[str] = ()) -> list[DataFrame]:
+    """Levels of (node, parent, n, lo_*, hi_*), the tiles first; the last has at most ``fanout`` nodes with parent 0.
 
-    def __init__(self, frame: DataFrame, xs: list[str]):
-        p = frame.toPandas()
-        self.tile = p["tile"].to_numpy()
-        self.n = p["n"].to_numpy()
-        self.lo = p[[f"lo_{x}" for x in xs]].to_numpy(float)
-        self.hi = p[[f"hi_{x}" for x in xs]].to_numpy(float)
-
-    def nearest_corner(self, lo, hi):
-        gap = np.maximum(0.0, np.maximum(self.lo - hi, lo - self.hi))
-        return (gap * gap).sum(axis=1)
-
-
-def tree(tile_boxes: DataFrame, xs: list[str], fanout: int = FANOUT) -> list[DataFrame]:
-    """Levels of (node, parent, n, lo_*, hi_*), the tiles first; the last has at most ``fanout`` nodes with parent 0."""
-    corners = [f"{c}_{x}" for x in xs for c in ("lo", "hi")]
-    nodes = tile_boxes.select(F.col("tile").alias("node"), "n", *corners)
+    Boxes that are near in ``xs`` go together; the ranges of ``more`` are kept as well.
+    """
+    corners = [f"{c}_{x}" for x in [*xs, *more] for c in ("lo", "hi")]
+    nodes = materialise(tile_boxes.select(F.col("tile").alias("node"), "n", *corners))
     levels = []
     while (count := nodes.count()) > fanout:
         middles = nodes.withColumns({f"mid_{x}": (F.col(f"lo_{x}") + F.col(f"hi_{x}")) / 2 for x in xs})
@@ -101,13 +88,19 @@ def _meeting(frontier: DataFrame, level: DataFrame, xs: list[str]) -> DataFrame:
     return rows.withColumns({"near2": near2(xs), "far2": far2(xs)})
 
 
-def touching(blocks: DataFrame, levels: list[DataFrame], xs: list[str]) -> DataFrame:
-    """(block, node, n, lo_*, hi_*): every tile whose box is within ``limit2`` of a block's box."""
-    corners = [f"{c}_{x}" for x in xs for c in ("lo", "hi")]
-    here = as_blocks(blocks, xs, "limit2")
+def touching(blocks: DataFrame, levels: list[DataFrame], xs: list[str], pivots: list[str] = ()) -> DataFrame:
+    """(block, node, n, lo_*, hi_*): every tile whose box is within ``limit2`` of a block's box.
+
+    ``pivots`` are distances from fixed points: two points are no nearer than their difference.
+    """
+    corners = [f"{c}_{x}" for x in [*xs, *pivots] for c in ("lo", "hi")]
+    here = as_blocks(blocks, [*xs, *pivots], "limit2")
     frontier = here.withColumn("at", F.lit(0).cast("long"))
+    within = F.col("near2") <= F.col("limit2") * SLACK
+    for p in pivots:
+        within = within & (near2([p]) <= F.col("limit2") * SLACK * SLACK)
     for depth, level in enumerate(reversed(levels)):
-        met = _meeting(frontier, level, xs).where(F.col("near2") <= F.col("limit2") * SLACK)
+        met = _meeting(frontier, level, xs).where(within)
         if depth == len(levels) - 1:
             return met.select("block", "node", "n", *corners)
         frontier = met.withColumnRenamed("node", "at").select(*here.columns, "at")
