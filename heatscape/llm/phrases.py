@@ -31,6 +31,8 @@ PIECE_BYTES = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r
 #: Slots of a table of bounds, and of the thresholds by language.
 SLOTS, LANGUAGE_SLOTS = 1 << 21, 1 << 12
 SCALE = 2_000_000
+#: Characters that are numbered and counted at once.
+TEXT_LIMIT = 4_000_000
 #: Score steps in which thresholds are chosen; a threshold that no score reaches.
 STEP, CLOSED = 1_000, SCALE + 1
 #: The first threshold leaves this many times ``top`` pairs above it; each further one, so many times more.
@@ -168,7 +170,7 @@ class Growth:
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[Text]:
     for batch in batches:
         langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for a, b in slices(texts):
+        for a, b in slices(texts, TEXT_LIMIT):
             by: dict[str, list] = {}
             for lang, t in zip(langs[a:b], texts[a:b], strict=True):
                 by.setdefault(lang, []).append(t)
@@ -303,6 +305,9 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         if open_langs.isEmpty():
             break
         reach *= WIDER
+    # only the steps of scores that hold the first ``top`` are sorted
+    enough = _thresholds(settled, top).withColumnRenamed("threshold", "enough")
+    settled = settled.join(enough, "lang").where(F.col("score") >= F.col("enough")).drop("enough")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("f"), "phrase")
     ranked = settled.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", F.col("f").alias("a"), "l", "r", "n", "score")
