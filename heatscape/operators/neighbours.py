@@ -168,13 +168,14 @@ def _tiled_lists(q: DataFrame, r: DataFrame, n_ref: int, xs, k, exclude_self, ti
         tiles, q = _with_pivots(tiles, xs, at), _with_pivots(q, xs, at)
         levels = tree(boxes(tiles, "tile", [*xs, *pivots]), xs, fanout, pivots)
     every = [*xs, *pivots]
-    far = F.lit(float("inf"))
-    if same and levels[-1].agg(F.sum("n")).first()[0] == n_ref:
+    far, sc = F.lit(float("inf")), q.sparkSession.sparkContext
+    sizes = levels[0].agg(F.sum("n").alias("n"), F.min("n").alias("least")).first()
+    if same and sizes["n"] == n_ref:
         # every row of the table is in a tile, so the tiles are the query blocks and meet themselves first
-        blocks = tiles.select(F.col("rid").alias("qid"), F.col("val").alias("own"), *every, F.col("tile").alias("block"))
-        small = levels[0].where(F.col("n") <= k).withColumnRenamed("node", "block")
+        blocks = tiles.select(F.col("rid").alias("qid"), F.col("val").alias("own"), *[F.col(x).alias(x) for x in every], F.col("tile").alias("block"))
         seeds = levels[0].select(F.col("node").alias("block"), F.col("node").alias("tile"), far.alias("bound"))
-        if not small.isEmpty():
+        if sizes["least"] <= k:
+            small = levels[0].where(F.col("n") <= k).withColumnRenamed("node", "block")
             bounds = first_tiles(small, levels, xs, k + 1).select("block", F.col("bound").alias("least"))
             seeds = seeds.join(bounds, "block", "left").select("block", "tile", F.least("bound", F.coalesce("least", far)).alias("bound"))
     else:
@@ -199,6 +200,17 @@ def _tiled_lists(q: DataFrame, r: DataFrame, n_ref: int, xs, k, exclude_self, ti
         return rows, d, lists(rows, len(qt), rid[cols], d, val[cols])
 
     head = ["qid", "own", "block", "tile", *every]
+    corners = [f"{c}_{x}" for x in every for c in ("lo", "hi")]
+
+    def spread(qt: pa.Table, bt: pa.Table) -> pa.Table:
+        """``qt`` with the tiles besides its own that each query touches, of the boxes ``bt``."""
+        node = bt.column("node").to_numpy()
+        rows, cols = touched(columns(qt, every), qt.column("tile").to_numpy(), node, columns(bt, [f"lo_{x}" for x in every]),
+                             columns(bt, [f"hi_{x}" for x in every]), qt.column("radius2").to_numpy(), len(xs))
+        return qt.append_column("tiles", lists(rows, len(qt), node[cols])[0]).drop_columns(["tile"])
+
+    # a tree of one level has TOP boxes at most, which every task may hold
+    few = sc.broadcast(levels[0].select("node", *corners).toArrow()) if len(levels) == 1 else None
 
     def first(qt: pa.Table, rt: pa.Table) -> pa.Table:
         rows, d, near = found(qt, rt, None)
@@ -208,28 +220,19 @@ def _tiled_lists(q: DataFrame, r: DataFrame, n_ref: int, xs, k, exclude_self, ti
         edge = np.full(n, np.inf)
         edge[full] = d[last[full] - 1]
         radius = np.minimum(edge, qt.column("bound").to_numpy())
-        return pa.table([*[qt.column(c) for c in head], pa.array(radius), *near], names=[*head, "radius2", "ids", "d2", "vals"])
+        out = pa.table([*[qt.column(c) for c in head], pa.array(radius), *near], names=[*head, "radius2", "ids", "d2", "vals"])
+        return out if few is None else spread(out, few.value)
 
     coords = ", ".join(f"{x} double" for x in every)
-    schema = f"qid long, own double, block long, tile long, {coords}, radius2 double, {FOUND}"
-    start = materialise(meeting(blocks.join(seeds, "block"), seeds).applyInArrow(first, schema))
-
-    # the tiles that the queries of a block may touch, then those that each of them touches
-    limits = F.max("radius2").alias("limit2")
-    reach = boxes(start, "block", every).join(start.groupBy("block").agg(limits), "block")
-    corners = [f"{c}_{x}" for x in every for c in ("lo", "hi")]
-    around = touching(reach, levels, xs, pivots).select(F.col("block").alias("near_block"), "node", *corners)
-
-    def spread(qt: pa.Table, bt: pa.Table) -> pa.Table:
-        bt = bt.sort_by("node")
-        node = bt.column("node").to_numpy()
-        rows, cols = touched(columns(qt, every), qt.column("tile").to_numpy(), node, columns(bt, [f"lo_{x}" for x in every]),
-                             columns(bt, [f"hi_{x}" for x in every]), qt.column("radius2").to_numpy(), len(xs))
-        return qt.append_column("tiles", lists(rows, len(qt), node[cols])[0]).drop_columns(["tile"])
-
-    start = materialise(start.repartition(width, "block").groupBy("block").cogroup(
-        around.repartition(width, "near_block").groupBy("near_block")).applyInArrow(
-            spread, f"qid long, own double, block long, {coords}, radius2 double, {FOUND}, tiles array<long>"))
+    schema = f"qid long, own double, block long, {coords}, radius2 double, {FOUND}"
+    begun = meeting(blocks.join(seeds, "block"), seeds)
+    if few is None:
+        begun = materialise(begun.applyInArrow(first, schema.replace("block long,", "block long, tile long,")))
+        # the tiles that the queries of a block may touch, then those that each of them touches
+        reach = boxes(begun, "block", every).join(begun.groupBy("block").agg(F.max("radius2").alias("limit2")), "block")
+        around = touching(reach, levels, xs, pivots).select(F.col("block").alias("near_block"), "node", *corners)
+        begun = begun.repartition(width, "block").groupBy("block").cogroup(around.repartition(width, "near_block").groupBy("near_block"))
+    start = materialise(begun.applyInArrow(spread if few is None else first, f"{schema}, tiles array<long>"))
 
     def more(qt: pa.Table, rt: pa.Table) -> pa.Table:
         _, _, near = found(qt, rt, qt.column("radius2").to_numpy() * SLACK)

@@ -19,6 +19,8 @@ from heatscape.session import materialise
 TILE_ROWS = 1024
 TILE_DIMS = 3
 FANOUT = 64
+#: Boxes that all blocks meet; a tree of no more tiles has one level.
+TOP = 256
 # Bounds are compared after rounding in another order than the distances
 # themselves, so boxes are kept a little too long rather than too short.
 SLACK = 1.0 + 1e-9
@@ -50,14 +52,14 @@ def boxes(df: DataFrame, tile: str, xs: list[str]) -> DataFrame:
 
 
 def tree(tile_boxes: DataFrame, xs: list[str], fanout: int = FANOUT, more: list[str] = ()) -> list[DataFrame]:
-    """Levels of (node, parent, n, lo_*, hi_*), the tiles first; the last has at most ``fanout`` nodes with parent 0.
+    """Levels of (node, parent, n, lo_*, hi_*), the tiles first; the last has at most ``TOP`` nodes, or ``fanout``, with parent 0.
 
     Boxes that are near in ``xs`` go together; the ranges of ``more`` are kept as well.
     """
     corners = [f"{c}_{x}" for x in [*xs, *more] for c in ("lo", "hi")]
     nodes = materialise(tile_boxes.select(F.col("tile").alias("node"), "n", *corners))
     levels = []
-    while (count := nodes.count()) > fanout:
+    while (count := nodes.count()) > (TOP if fanout == FANOUT else fanout):
         middles = nodes.withColumns({f"mid_{x}": (F.col(f"lo_{x}") + F.col(f"hi_{x}")) / 2 for x in xs})
         level = tiled(middles, count, [f"mid_{x}" for x in xs], "node", fanout, "parent").select("node", "parent", "n", *corners)
         levels.append(level)

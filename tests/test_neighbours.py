@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from heatscape.operators.neighbours import knn
+from heatscape.operators.neighbours import knn, knn_mean, tiles_touched
 
 
 def brute(q, qid, r, rid, k, exclude):
@@ -49,3 +49,48 @@ def test_query_against_other_table(spark, nq, nr):
     rd, _ = frame(spark, r, np.arange(nr))
     out = knn(qd, rd, cols, 7, "id", small_reference=0, tile_rows=16)
     assert got(out) == brute(q, np.arange(nq), r, np.arange(nr), 7, False)
+
+
+@pytest.mark.parametrize(("dims", "fanout"), [(2, 4), (2, 64), (6, 4)])
+def test_walk_down_a_tree_of_boxes(spark, dims, fanout):
+    """Distinct rows, a few far away, in a tree of one level and of several; many dimensions use pivots."""
+    rng = np.random.default_rng(dims * fanout)
+    x = rng.normal(size=(900, dims))
+    x[:5] += 40
+    ids = rng.permutation(900)
+    df, cols = frame(spark, x, ids)
+    want = brute(x, ids, x, ids, 6, True)
+    assert got(knn(df, df, cols, 6, "id", value="v", exclude_self=True, small_reference=0, tile_rows=16, fanout=fanout)) == want
+    other, _ = frame(spark, x[::3] + 0.1, np.arange(300))
+    assert got(knn(other, df, cols, 6, "id", small_reference=0, tile_rows=16, fanout=fanout)) == brute(x[::3] + 0.1, np.arange(300), x, ids, 6, False)
+    # a tile with fewer rows than neighbours, and a table with fewer
+    assert got(knn(df, df, cols, 20, "id", exclude_self=True, small_reference=0, tile_rows=16, fanout=fanout)) == brute(x, ids, x, ids, 20, True)
+    few, _ = frame(spark, x[:9], ids[:9])
+    assert got(knn(few, few, cols, 20, "id", exclude_self=True, small_reference=0, tile_rows=4, fanout=fanout)) == brute(x[:9], ids[:9], x[:9], ids[:9], 8, True)
+
+
+@pytest.mark.parametrize("small", [0, 10_000])
+def test_means_equal_those_of_neighbours(spark, small):
+    rng = np.random.default_rng(2)
+    x, ids = rng.normal(size=(400, 2)), rng.permutation(400)
+    df, cols = frame(spark, x, ids)
+    kw = {"exclude_self": True, "small_reference": small, "tile_rows": 32}
+    edges = knn(df, df, cols, 7, "id", value="v", **kw).groupBy("query_id").agg({"value": "avg", "distance": "avg"}).collect()
+    values = {r.query_id: r for r in knn_mean(df, df, cols, 7, "id", value="v", own="v", **kw).collect()}
+    distances = {r.query_id: r["mean"] for r in knn_mean(df, df, cols, 7, "id", **kw).collect()}
+    assert len(values) == len(distances) == len(edges) == 400
+    for r in edges:
+        v = values[r.query_id]
+        assert v["near"] == 7 and v["own"] == 2 * r.query_id and v["mean"] == pytest.approx(r["avg(value)"])
+        assert distances[r.query_id] == pytest.approx(r["avg(distance)"])
+
+
+def test_tiles_touched_do_not_grow_with_the_table(spark):
+    rng = np.random.default_rng(9)
+    means = []
+    for n in (2_000, 16_000):
+        df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(rng.random((n, 2)))], "id long, a double, b double")
+        r = tiles_touched(df, ["a", "b"], 8, "id", tile_rows=64).first()
+        assert r["queries"] == n and r["tiles"] == n // 64
+        means.append(r["mean_tiles"])
+    assert means[1] < 1.25 * means[0] + 0.1
