@@ -306,7 +306,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
             break
         reach *= WIDER
     # only the steps of scores that hold the first ``top`` are sorted
-    enough = _thresholds(settled, top).withColumnRenamed("threshold", "enough")
+    enough = kept(_thresholds(settled, top).withColumnRenamed("threshold", "enough"), "enough")
     settled = settled.join(enough, "lang").where(F.col("score") >= F.col("enough")).drop("enough")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("f"), "phrase")
     ranked = settled.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
