@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heatscape.functions.naming import UNASSIGNED, zone_label
-from heatscape.operators import change, clusters, explain, gwr, models, spatial, trend, validate
+from heatscape.operators import change, clusters, explain, gwr, models, spatial, trees, trend, validate
 from heatscape.operators.clean import Cleaned, clean, has_structure
 from heatscape.operators.collinearity import vif_screen
 from heatscape.operators.gatekeeper import Gatekeeper, validate_coverage
@@ -28,8 +28,7 @@ class Settings:
     audit_model: str = "LightGBM"
     gwr_points: int | None = None
     n_perm: int = gwr.PERMUTATIONS
-    shap_rows: int = 4000
-    shap_background: int = 25
+    shap_rows: int | None = None
     keep_target_like: bool = False
     trend_value: str | None = None
     cluster_counts: tuple = tuple(clusters.K_RANGE)
@@ -51,6 +50,14 @@ def keyed(df: DataFrame) -> DataFrame:
     return materialise(df.withColumn("row_id", F.monotonically_increasing_id()))
 
 
+def attributions(d: DataFrame, model, tree_rows: int | None) -> tuple[DataFrame, float]:
+    """Exact attributions of all rows, or of a sample of ``tree_rows`` if the model consists of trees and a number is given."""
+    if isinstance(model, LinearModel):
+        return explain.shap_columns(d, model)
+    rows = d if tree_rows is None else explain.explain_sample(d, "row_id", tree_rows)
+    return trees.tree_shap(rows, model if isinstance(model, trees.Trees) else model.as_trees())
+
+
 def analyse_zone(frame: DataFrame, roles: RoleMap, zone: str, results: dict, s: Settings = Settings()) -> None:
     """Screening, validation, local regression, attribution, gate and clusters of one zone."""
     feats, history = vif_screen(frame, roles.features(s.keep_target_like))
@@ -85,12 +92,7 @@ def analyse_zone(frame: DataFrame, roles: RoleMap, zone: str, results: dict, s:
     parts = validate.refit_split(d, "row_id").persist()
     fit_rows, cal, test = (parts.where(F.col("part") == p) for p in ("fit", "calibrate", "test"))
     model = zoo[best](fit_rows, feats, y)
-    rows = explain.explain_sample(fit_rows, "row_id", s.shap_rows)
-    if isinstance(model, LinearModel):
-        shap, base = explain.shap_columns(rows, model)
-    else:
-        background = explain.explain_sample(fit_rows, "row_id", s.shap_background, seed=1)
-        shap, base = explain.sampled_shap(rows, "row_id", model, feats, background, s.shap_background)
+    shap, base = attributions(d, model, s.shap_rows)
     shap = shap.persist()
     tag = F.lit(zone).alias("Zone")
     imp = explain.importance(explain.shap_long(shap, "row_id", feats))

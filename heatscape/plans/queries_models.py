@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
+from heatscape.functions.columns import r2
 from heatscape.functions.permutation import permuted_sql
-from heatscape.operators import explain, gatekeeper, linear, models, spatial, validate
+from heatscape.operators import boosting, explain, gatekeeper, linear, models, random_trees, spatial, trees, validate
 from heatscape.plans.bindings import (FEATURES, PARTED, PIXELS, bucket_sql, distance2_sql, hash_sql, ols2_sql, parted,
                                       pixels)
 from heatscape.plans.queries_space import GROUP_FOLDS, label_blocks
@@ -87,36 +90,97 @@ def _quality(t, fit):
 METRICS = "R2 RMSE MAE Bias MaxAbsErr"
 
 
-@query("f2_ridge_fit", "", METRICS)
+# closed form of two standardised features: least squares with alpha added to both diagonal entries; alpha by leave-one-out error
+RIDGE_SQL = f"""{PIXELS}, {ols2_sql('pixels')},
+scaled AS (SELECT p.id, p.y, p.y - my AS c, (f2 - m1) / sqrt(s11) AS z1, (f3 - m2) / sqrt(s22) AS z2, n * 1.0 AS n FROM pixels p, model),
+g AS (SELECT max(n) AS n, sum(z1 * z2) AS r, sum(z1 * c) AS u, sum(z2 * c) AS v FROM scaled),
+alphas AS (SELECT power(10.0::DOUBLE, -3.0 + 6.0 * i / 24.0) AS alpha FROM range(25) AS t(i)),
+solved AS (
+  SELECT alpha, n, (n + alpha) AS d, r, (n + alpha) * (n + alpha) - r * r AS det, ((n + alpha) * u - r * v) / ((n + alpha) * (n + alpha) - r * r) AS b1,
+         ((n + alpha) * v - r * u) / ((n + alpha) * (n + alpha) - r * r) AS b2 FROM g, alphas),
+errors AS (
+  SELECT alpha, avg(power((c - b1 * z1 - b2 * z2) / (1.0 - 1.0 / s.n - (d * z1 * z1 - 2.0 * r * z1 * z2 + d * z2 * z2) / det), 2)) AS loo
+  FROM scaled s, solved GROUP BY alpha),
+chosen AS (SELECT * FROM solved WHERE alpha = (SELECT alpha FROM errors ORDER BY loo, alpha LIMIT 1)),
+p AS (SELECT s.y, m.my + c.b1 * z1 + c.b2 * z2 AS prediction FROM scaled s, chosen c, model m)"""
+METRICS_SQL = f"""SELECT {R2_SQL} AS "R2", sqrt(avg(power(y - prediction, 2))) AS "RMSE", avg(abs(y - prediction)) AS "MAE",
+       avg(y - prediction) AS "Bias", max(abs(y - prediction)) AS "MaxAbsErr" FROM"""
+
+
+@query("f2_ridge_fit", "", METRICS, f"WITH {RIDGE_SQL} {METRICS_SQL} p")
 def f2_fit(t):
-    return _quality(t, linear.fit_ridge)
+    d = pixels(t)
+    return validate.error_metrics(linear.fit_ridge(d, PAIR, "y").transform(d))
+
+
+def sound(t, fit, name: str):
+    """What must hold for any good model: a finite prediction for every row, nearer to the target than its mean is, and within its range."""
+    d = pixels(t).select("id", *FEATURES, "y")
+    p = fit(d, FEATURES, "y").transform(d)
+    m = p.agg(F.count("prediction").alias("n"), r2("y", "prediction").alias("r"), F.min("prediction").alias("lo"), F.max("prediction").alias("hi"),
+              F.min("y").alias("least"), F.max("y").alias("greatest"))
+    wide = (F.col("greatest") - F.col("least")) / 20
+    return m.select(F.lit(name).alias("model"), "n", (F.col("r") > 0.8).alias("beats_the_mean"),
+                    ((F.col("lo") >= F.col("least") - wide) & (F.col("hi") <= F.col("greatest") + wide)).alias("in_range"))
+
 
+SOUND = "model n beats_the_mean in_range"
 
-@query("f3_random_forest", "", METRICS)
+
+def sound_sql(*names: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{x}' AS model, count(*) AS n, true AS beats_the_mean, true AS in_range FROM embeddings" for x in names)
+
+
+@query("f3_random_forest", SOUND, sql=sound_sql("RandomForest"))
 def f3(t):
-    return _quality(t, models.random_forest(trees=20, depth=8))
+    return sound(t, models.random_forest(), "RandomForest")
 
 
-@query("f4_no_bootstrap_forest", "", METRICS)
+@query("f4_no_bootstrap_forest", SOUND, sql=sound_sql("ExtraTrees"))
 def f4(t):
-    return _quality(t, models.no_bootstrap_forest(trees=20, depth=8))
+    return sound(t, models.extra_trees(), "ExtraTrees")
+
+
+SPLIT_SEED = 28
+_, _u = random_trees.drawn(SPLIT_SEED, 0, 1, 0)
+FIRST_SPLIT = """
+sides AS (SELECT y, {x} > t AS side FROM pixels, cut),
+p AS (SELECT s.y, {mean} AS prediction FROM sides s JOIN (SELECT side, avg(y) AS m, count(*) AS n, sum(y - (SELECT avg(y) FROM pixels)) AS g FROM sides GROUP BY side) v
+      USING (side), (SELECT avg(y) AS base FROM pixels) AS a)"""
 
 
-@query("f5_boosted_trees", "preset", METRICS)
+@query("f4_first_random_split", "", METRICS, f"""
+WITH {PIXELS}, cut AS (SELECT min(f2) + {_u!r} * (max(f2) - min(f2)) AS t FROM pixels),
+{FIRST_SPLIT.format(x='f2', mean='m')} {METRICS_SQL} p""")
+def f4_first(t):
+    d = pixels(t)
+    return validate.error_metrics(models.extra_trees(1, 1, SPLIT_SEED)(d, ["f2"], "y").transform(d))
+
+
+@query("f5_boosted_trees", SOUND, sql=sound_sql(*models.BOOST_PRESETS))
 def f5(t):
-    d = pixels(t).select("id", *FEATURES, "y").persist()
-    out = None
-    for name in models.BOOST_PRESETS:
-        m = models.boosted(name, rounds=8, depth=4)(d, FEATURES, "y")
-        one = validate.error_metrics(m.transform(d)).withColumn("preset", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    parts = [sound(t, models.boosted(name), name) for name in models.BOOST_PRESETS]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+# the first split of one feature: among the edges of 255 bins, the one of greatest gain with 20 rows on either side
+@query("f5_first_split", "", METRICS, f"""
+WITH {PIXELS},
+edges AS (SELECT DISTINCT unnest(quantile_cont(f2, [{', '.join(f'{i / 255!r}' for i in range(1, 255))}])) AS t FROM pixels),
+tried AS (SELECT t, sum(CASE WHEN f2 <= t THEN d END) AS g, count(CASE WHEN f2 <= t THEN 1 END) AS n, count(*) AS whole
+          FROM (SELECT f2, avg(y) OVER () - y AS d FROM pixels) AS c, edges GROUP BY t),
+cut AS (SELECT t FROM tried WHERE n >= 20 AND whole - n >= 20 ORDER BY g * g / (n + 1.0) + g * g / (whole - n + 1.0) DESC, t LIMIT 1),
+{FIRST_SPLIT.format(x='f2', mean='base + 0.05 * g / (n + 1.0)')} {METRICS_SQL} p""")
+def f5_first(t):
+    d = pixels(t)
+    one = boosting.Settings(1, 0.05, leaves=2, min_leaf=20, l2=1.0)
+    return validate.error_metrics(boosting.fit_boosting(d, ["f2"], "y", one).transform(d))
 
 
-@query("f6_stacking", "", METRICS)
+@query("f6_stacking", SOUND, sql=sound_sql("Stacked"))
 def f6(t):
-    bases = {"LightGBM": models.boosted("LightGBM", rounds=4, depth=3), "RandomForest": models.random_forest(6, 5)}
-    return _quality(t, models.stacked(bases, "id"))
+    bases = {n: models.boosted(n, mode="fast") if n in models.BOOST_PRESETS else models.random_forest(30, 10) for n in models.STACK_BASES}
+    return sound(t, models.stacked(bases, "id"), "Stacked")
 
 
 @query("f7_error_metrics", "zone", METRICS, f"""
@@ -147,12 +211,14 @@ def f8(t):
     return validate.benchmark(folded(t), "id", PAIR, "y", {"OLS": linear.fit_ols}, "Pixels")[0]
 
 
-@query("f8_model_zoo", "Zone Model", "R2 RMSE MAE Bias R2_fold_std R2_fold_min MaxAbsErr")
+@query("f8_model_zoo", "Zone Model n finite", sql=" UNION ALL ".join(
+    f"""SELECT 'Pixels' AS "Zone", '{m}' AS "Model", count(*) AS n, true AS finite FROM embeddings""" for m in models.ZOO))
 def f8_zoo(t):
-    d = folded(t).persist()
-    zoo = {"OLS": linear.fit_ols, "Ridge": linear.fit_ridge, "RandomForest": models.random_forest(8, 6),
-           "LightGBM": models.boosted("LightGBM", rounds=4, depth=4)}
-    return validate.benchmark(d, "id", FEATURES, "y", zoo, "Pixels")[0]
+    """All eight models on the spatial folds, with 30 trees and rounds each, ten levels deep: pooled scores of all rows that are finite."""
+    zoo = models.model_zoo("id", "fast", 30, 30, 10)
+    table, oof = validate.benchmark(folded(t).persist(), "id", FEATURES, "y", zoo, "Pixels")
+    rows = oof.groupBy(F.col("model").alias("of")).agg(F.count("prediction").alias("n"))
+    return table.join(rows, table["Model"] == rows["of"]).select("Zone", "Model", "n", F.col("R2").between(-10.0, 1.0).alias("finite"))
 
 
 AUDIT_SQL = f"""
@@ -246,8 +312,9 @@ def h1_sampled(t):
     return out.withColumn("base", F.lit(base))
 
 
-@query("h1_sampled_shap_trees", "", "worst_gap")
+@query("h1_sampled_shap_trees", "", "worst_gap", "SELECT 0.0 AS worst_gap FROM region LIMIT 1")
 def h1_trees(t):
+    """Sampled attributions of a forest add up to its predictions."""
     d = pixels(t).persist()
     m = models.random_forest(6, 5)(d, PAIR, "y")
     out, base = explain.sampled_shap(d, "id", m, PAIR, explain.explain_sample(d, "id", 5, seed=1), 5)
@@ -255,6 +322,26 @@ def h1_trees(t):
     return m.transform(out).agg(F.max(F.abs(gap)).alias("worst_gap"))
 
 
+@query("h1_tree_shap", "id", "gap", "SELECT vec_id AS id, 0.0 AS gap FROM embeddings")
+def h1_exact(t):
+    """Exact attributions of a whole boosted ensemble add up to its predictions, row by row."""
+    d = pixels(t)
+    m = models.boosted("LightGBM")(d, FEATURES, "y")
+    out, base = trees.tree_shap(m.transform(d), m)
+    return out.select("id", (F.col("prediction") - explain.prediction_from_shap(FEATURES, base)).alias("gap"))
+
+
+# one split: the Shapley value of the only feature is the leaf's value less the mean over both leaves
+@query("h1_tree_shap_split", "id", "shap base", f"""
+WITH {PIXELS}, cut AS (SELECT min(f2) + {_u!r} * (max(f2) - min(f2)) AS t FROM pixels),
+means AS (SELECT f2 > t AS side, avg(y) AS m FROM pixels, cut GROUP BY f2 > t)
+SELECT id, m - (SELECT avg(y) FROM pixels) AS shap, (SELECT avg(y) FROM pixels) AS base FROM pixels p, cut c JOIN means ON side = (p.f2 > c.t)""")
+def h1_split(t):
+    d = pixels(t)
+    out, base = trees.tree_shap(d.select("id", "f2"), models.extra_trees(1, 1, SPLIT_SEED)(d, ["f2"], "y"))
+    return out.select("id", F.col("shap_f2").alias("shap"), F.lit(base).alias("base"))
+
+
 @query("h2_importance", "Zone Feature Direction", "MeanAbsSHAP MeanSHAP SHAP_vs_value_corr PctContribution",
        f"WITH {IMPORTANCE_SQL} SELECT * FROM imp")
 def h2(t):

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from heatscape.operators import clusters, explain, gwr, linear, models, spatial, tiles, validate
+from heatscape.operators import boosting, clusters, explain, gwr, linear, models, random_trees, spatial, tiles, validate
 from heatscape.operators.gatekeeper import Gatekeeper, spearman, validate_coverage, verdict_errors
 
 
@@ -222,3 +222,131 @@ def test_gate_under_stress(spark):
     assert worst["ACCEPT"]["n"] > 50 and worst["ACCEPT"]["mae"] > 5  # the known blind spot stays visible
     e = scored.withColumn("e", F.abs(F.col("y") - F.col("prediction")))
     assert spearman(e, "trust_score", "e", "id").first()["rho"] < -0.1
+
+
+@pytest.fixture(scope="module")
+def curved(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(2000, 3))
+    y = 3 * x[:, 0] * x[:, 1] + x[:, 2] ** 2 + rng.normal(0, 0.1, 2000)
+    df = spark.createDataFrame([(i, *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, y))], "id long, a double, `b.c` double, d double, y double")
+    return df.repartition(4), x, y
+
+
+CURVED = ["a", "b.c", "d"]
+GROWN = {
+    "leaf by leaf": boosting.Settings(10, 0.3, leaves=15, l2=1.0, columns=0.7),
+    "level by level": boosting.Settings(10, 0.3, depth=4, min_leaf=5, l2=1.0, rows=0.8),
+}
+
+
+@pytest.mark.parametrize("name", GROWN)
+def test_boosting_grows_alike_in_jobs_and_in_place(curved, name):
+    df, x, y = curved
+    s = GROWN[name]
+    here, there = (boosting.fit_boosting(df, CURVED, "y", s, small_rows=n) for n in (10_000, 0))
+    assert len(here.feature) == len(there.feature) and here.roots.tolist() == there.roots.tolist()
+    np.testing.assert_allclose(there.predict(x), here.predict(x), atol=1e-9)
+    got = here.transform(df).orderBy("id").select("prediction").toPandas()["prediction"]
+    np.testing.assert_allclose(got, here.predict(x))
+    assert 1 - ((y - here.predict(x)) ** 2).sum() / ((y - y.mean()) ** 2).sum() > 0.5 and sum(here.importances()) == pytest.approx(1)
+
+
+def test_boosting_takes_the_best_leaf_first(curved):
+    """Against a plain search that splits one leaf at a time, the one of greatest gain."""
+    df, x, y = curved
+    s = boosting.Settings(1, 1.0, leaves=12, min_leaf=20, l2=1.0)
+    m = boosting.fit_boosting(df, CURVED, "y", s)
+    edges = [np.unique(np.quantile(x[:, j], [i / boosting.BINS for i in range(1, boosting.BINS)])) for j in range(3)]
+    g = y.mean() - y
+
+    def best(rows):
+        out = (0.0, None)
+        for j in range(3):
+            for t in edges[j]:
+                left = rows[x[rows, j] <= t]
+                n, r = len(left), len(rows) - len(left)
+                if min(n, r) >= 20:
+                    a, b = g[left].sum(), g[rows].sum() - g[left].sum()
+                    gain = a * a / (n + 1) + b * b / (r + 1) - g[rows].sum() ** 2 / (len(rows) + 1)
+                    if gain > out[0] + 1e-9:
+                        out = (gain, (j, t))
+        return out
+
+    leaves = [np.arange(len(y))]
+    found = [best(leaves[0])]
+    while len(leaves) < 12:
+        k = max(range(len(leaves)), key=lambda i: found[i][0])
+        j, t = found[k][1]
+        rows = leaves.pop(k)
+        found.pop(k)
+        for part in (rows[x[rows, j] <= t], rows[x[rows, j] > t]):
+            leaves.append(part)
+            found.append(best(part))
+    want = np.zeros(len(y))
+    for rows in leaves:
+        want[rows] = y.mean() - g[rows].sum() / (len(rows) + 1)
+    np.testing.assert_allclose(m.predict(x), want, atol=1e-9)
+
+
+def test_boosting_of_nothing_and_of_constants(spark):
+    none = spark.createDataFrame([], "a double, y double")
+    s = boosting.Settings(3, 0.1, leaves=4)
+    assert len(boosting.fit_boosting(none, ["a"], "y", s).roots) == 0
+    same = spark.createDataFrame([(1.0, 5.0)] * 60 + [(None, 1.0), (2.0, None)], "a double, y double")
+    m = boosting.fit_boosting(same, ["a"], "y", s)
+    assert m.predict(np.array([[1.0], [9.0]])).tolist() == [5.0, 5.0]
+    t = random_trees.fit_random_trees(same, ["a"], "y", 3)
+    assert t.predict(np.array([[1.0]])).tolist() == pytest.approx([5.0])
+
+
+def test_random_trees_grow_alike_in_jobs_and_in_place(curved):
+    df, x, y = curved
+    here, there = (random_trees.fit_random_trees(df, CURVED, "y", 5, 6, small_rows=n) for n in (10_000, 0))
+    np.testing.assert_allclose(there.predict(x), here.predict(x), atol=1e-9)
+    whole = random_trees.fit_random_trees(df, CURVED, "y", 60)
+    fresh = np.random.default_rng(5).normal(size=(500, 3))
+    want = 3 * fresh[:, 0] * fresh[:, 1] + fresh[:, 2] ** 2
+    assert 1 - ((want - whole.predict(fresh)) ** 2).sum() / ((want - want.mean()) ** 2).sum() > 0.5
+    # thresholds lie inside the node's range, whole trees end at two rows, no two trees are alike
+    inner = whole.feature >= 0
+    assert whole.cover[~inner].min() >= 2 and len(set(whole.threshold[whole.roots].tolist())) > 50
+
+
+def expected(trees, node, row, known):
+    """Value of a subtree if only some features are known."""
+    f = trees.feature[node]
+    if f < 0:
+        return trees.value[node]
+    left, right = trees.left[node], trees.right[node]
+    if f in known:
+        return expected(trees, left if row[f] <= trees.threshold[node] else right, row, known)
+    return (trees.cover[left] * expected(trees, left, row, known) + trees.cover[right] * expected(trees, right, row, known)) / trees.cover[node]
+
+
+def test_tree_attributions_equal_all_subsets(spark, curved):
+    import itertools
+    import math
+
+    from heatscape.operators import trees
+
+    df, x, _ = curved
+    forest = models.random_forest(5, 6)(df.withColumnRenamed("b.c", "b"), ["a", "b", "d"], "y")
+    stack = models.stacked({"one": models.boosted("HistGBM", 4), "two": models.random_forest(4, 4)}, "id")(df.withColumnRenamed("b.c", "b"), ["a", "b", "d"], "y")
+    for m in (boosting.fit_boosting(df, CURVED, "y", GROWN["leaf by leaf"]), forest.as_trees(), stack.as_trees()):
+        rows = x[:8]
+        got, base = trees.shap_values(m, rows)
+        np.testing.assert_allclose(got.sum(axis=1) + base, m.predict(rows), atol=1e-9)
+        for i, row in enumerate(rows):
+            def whole(known):
+                return sum(expected(m, r, row, known) for r in m.roots)
+            for j in range(3):
+                others = [k for k in range(3) if k != j]
+                want = sum(math.factorial(n) * math.factorial(2 - n) / 6 * (whole({*s, j}) - whole(set(s)))
+                           for n in range(3) for s in itertools.combinations(others, n))
+                assert got[i, j] == pytest.approx(want, abs=1e-9)
+    small = df.withColumnRenamed("b.c", "b").limit(40)
+    for m in (forest, stack):
+        out, base = trees.tree_shap(m.transform(small), m.as_trees())
+        for r in out.collect():
+            assert r["shap_a"] + r["shap_b"] + r["shap_d"] + base == pytest.approx(r["prediction"], abs=1e-8)
