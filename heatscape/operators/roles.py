@@ -80,7 +80,10 @@ def assign_roles(profile: DataFrame, specific_first: bool = False) -> DataFrame:
     Roles: lst, lat, lon, year, zone, index, extra (other numeric), dropped.
     """
     d = classify(profile, "column", "__c", specific_first)
-    d = d.select(*profile.columns, F.col("__c.role").alias("named"), F.col("__c.canonical").alias("canonical"))
+    # dates, times, bytes and nested values hold no number: they are no target, coordinate or index whatever their name
+    empty = ~F.col("numeric") & (F.col("n") > 0) & (F.col("n_valid") == 0) & F.col("__c.role").isin("lst", "lat", "lon", "index")
+    d = d.select(*profile.columns, F.when(empty, "other").otherwise(F.col("__c.role")).alias("named"),
+                 F.when(~empty, F.col("__c.canonical")).alias("canonical"))
     first = F.row_number().over(W.partitionBy("table", "named", "canonical").orderBy("position")) == 1
     spare = F.when(F.col("numeric"), "extra").otherwise("dropped")
     role = (F.when(F.col("named") == "id", "dropped")

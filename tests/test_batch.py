@@ -101,3 +101,27 @@ def test_whole_run_and_sinks(spark, folder, tmp_path):
     assert len(done) == len(sinks.RESULT_TABLES)
     back = tables.read_csv(spark, str(tmp_path / "results" / "model_benchmark"))
     assert back.count() == len(bench) and back.columns[0] == "Zone"
+    status = out["stage_status"].collect()
+    assert {r["status"] for r in status} == {"ok"} and {r["Zone"] for r in status} >= zones
+    assert {r["stage"] for r in status} >= {"vif_screening", "model_benchmark", "gwr", "shap", "gatekeeper", "climate_zones", "change_detection"}
+
+
+def test_a_failing_model_and_stage_leave_the_rest(spark, folder, monkeypatch):
+    from heatscape.operators import linear
+    from heatscape.plans import batch
+
+    def broken(df, features, y):
+        raise ValueError("this model has no solution\nand a long story")
+
+    def no_fits(*args, **kw):
+        raise RuntimeError("singular")
+
+    monkeypatch.setattr(batch.gwr, "gwr", no_fits)
+    found = {k: v for k, v in tables.discover_inputs(spark, folder).items() if k == "pixels_south"}
+    out = run(found, Settings(cluster_counts=(3,), audit_model="OLS"), zoo={"OLS": linear.fit_ols, "Broken": broken})
+    status = {(r["stage"], r["status"]): r["message"] for r in out["stage_status"].collect()}
+    assert status["model Broken", "failed"] == "ValueError: this model has no solution"
+    assert status["gwr", "failed"] == "RuntimeError: singular"
+    assert {s for s, how in status if how == "ok"} >= {"vif_screening", "model_benchmark", "spatial_leakage_audit", "shap", "gatekeeper", "climate_zones"}
+    assert [r["Model"] for r in out["model_benchmark"].collect()] == ["OLS"] and out["gatekeeper_scores"].count() > 0
+    assert out["shap_feature_importance"].count() >= 2 and "gwr_runs" not in out

@@ -82,3 +82,9 @@ def test_vif_known_truth(spark):
     assert len(kept) == 3 and [r.action for r in hist.collect()] == ["removed", "retained", "retained", "retained"]
     kept, hist = vif_screen(d.select("a", "b", (F.col("a") + F.col("b")).alias("ab")), ["a", "b", "ab"])
     assert len(kept) == 2 and [r.action for r in hist.collect()] == ["removed"]
+
+
+def test_columns_without_numbers_take_no_role(spark):
+    d = spark.sql("SELECT id, timestamp'2020-01-01' AS ts, date'2020-01-01' AS ndvi, 20.0D + id AS lst_day, 0.1D * id AS ndbi FROM range(30)")
+    r = R.infer_roles(d, "events")
+    assert r.lst == "lst_day" and "ts" in r.dropped and "ndvi" in r.dropped and set(r.indices) == {"NDBI"}

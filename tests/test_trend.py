@@ -74,3 +74,14 @@ def test_tidy_wide_long_and_detected(spark):
     assert trend.tidy(odd.select("season", "far")).select("value").first()[0] == 1990.0
     none = spark.createDataFrame([("a", 1.0)], "name string, v double")
     assert trend.tidy(none) is None
+
+
+def test_years_from_dates(spark):
+    rows = [(f"{y}-06-30", 20.0 + (y - 1990) * 0.1 + i) for y in range(1990, 1999) for i in (0, 1)]
+    dated = spark.createDataFrame(rows, "year string, lst double").selectExpr("cast(year as date) as year", "lst")
+    stamped = dated.selectExpr("cast(year as timestamp) as taken", "lst")
+    for d in (dated, stamped):
+        long = trend.tidy(d)
+        assert {r["year"] for r in long.collect()} == set(range(1990, 1999)) and long.count() == 18
+        row = trend.trend_table(long, "z").first()
+        assert row["Trend"] == "increasing"
