@@ -33,8 +33,8 @@ SLOTS, LANGUAGE_SLOTS = 1 << 21, 1 << 12
 SCALE = 2_000_000
 #: Characters that are numbered and counted at once.
 TEXT_LIMIT = 4_000_000
-#: Score steps in which thresholds are chosen; a threshold that no score reaches.
-STEP, CLOSED = 1_000, SCALE + 1
+#: Steps of the logarithm of the score in which thresholds are chosen; a threshold that no score reaches.
+STEPS, CLOSED = 20, SCALE + 1
 #: The first threshold leaves this many times ``top`` pairs above it; each further one, so many times more.
 REACH, WIDER = 4, 8
 MULTIPLIER, SEED = np.uint64(0x9E3779B97F4A7C15), 42
@@ -164,7 +164,15 @@ class Growth:
         share = self.share * (1 - 1e-6)
         keep |= whole.wanted[front] & (most >= share * whole.lo[front])
         keep |= whole.wanted[back] & (most >= share * whole.lo[back])
-        return p[keep]
+        if m == 3:
+            return p[keep]
+        # a candidate may also be dropped by a phrase whose other end has not grown: that end's pair bounds its count
+        ends, pairs = known[-1], self.levels[1]
+        one = np.flatnonzero(((ends[:-1] >= 0) != (ends[1:] >= 0)) & (known[1][:-2] >= 0) & (known[1][2:] >= 0))
+        grown = np.maximum(ends[one], ends[one + 1])
+        pair = np.where(ends[one] >= 0, known[1][one + 2], known[1][one])
+        one = one[whole.wanted[grown] & (pairs.hi[pair] >= share * whole.lo[grown])]
+        return np.sort(np.concatenate([p[keep], one]))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[Text]:
@@ -208,23 +216,27 @@ def _part(first: int, n: int) -> Column:
 
 
 def _scored(table: DataFrame, length: int, parts: list[DataFrame], label: str) -> DataFrame:
-    """``table`` with l, r and the score of its worst cut; ``parts`` has the counts of shorter phrases, by length."""
+    """``table`` with l, r and the score of its worst cut; ``parts`` has the counts of shorter phrases, by length.
+
+    A phrase with a part that was not counted can't reach any threshold so far: its score is -1.
+    """
     known = parts[0]
     for more in parts[1:]:
         known = known.unionByName(more)
     cuts = F.array(*[F.struct(F.lit(k).alias("k"), _part(1, k).alias("left"), _part(k + 1, length - k).alias("right")) for k in range(1, length)])
     rows = table.withColumn("w", F.split("phrase", " ")).select("lang", "phrase", "f", F.inline(cuts))
     wide = "decimal(38,0)"
-    score = F.expr(f"cast(f as {wide}) * cast({SCALE} as {wide}) div (cast(l as {wide}) + cast(r as {wide}))")
-    rows = rows.join(known.select("lang", F.col("phrase").alias("left"), F.col("f").alias("l")), ["lang", "left"])
-    rows = rows.join(known.select("lang", F.col("phrase").alias("right"), F.col("f").alias("r")), ["lang", "right"])
+    score = F.expr(f"coalesce(cast(f as {wide}) * cast({SCALE} as {wide}) div (cast(l as {wide}) + cast(r as {wide})), -1L)")
+    rows = rows.join(known.select("lang", F.col("phrase").alias("left"), F.col("f").alias("l")), ["lang", "left"], "left")
+    rows = rows.join(known.select("lang", F.col("phrase").alias("right"), F.col("f").alias("r")), ["lang", "right"], "left")
     worst = rows.withColumn("score", score).groupBy("lang", "phrase", "f").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     return kept(worst.select("lang", "phrase", "f", "cut.score", "cut.l", "cut.r"), label)
 
 
 def _thresholds(pairs: DataFrame, reach: int) -> DataFrame:
-    """(lang, threshold): the highest step at or above which ``reach`` pairs score, or 0."""
-    steps = pairs.groupBy("lang", F.expr(f"score div {STEP} * {STEP}").alias("step")).count()
+    """(lang, threshold): the highest step at or above which ``reach`` phrases score, or 0.  A step is the least of a few near scores."""
+    near = F.floor(F.log1p(F.col("score")) * STEPS)
+    steps = pairs.groupBy("lang", near.alias("near")).agg(F.min("score").alias("step"), F.count(F.lit(1)).alias("count"))
     above = F.sum("count").over(Window.partitionBy("lang").orderBy(F.desc("step")))
     return steps.withColumn("above", above).groupBy("lang").agg(F.coalesce(F.max(F.when(F.col("above") >= reach, F.col("step"))), F.lit(0)).alias("threshold"))
 
@@ -323,14 +335,13 @@ WITH pieces AS (
 worded AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
 grams AS (SELECT lang, unnest([w[i : i + m - 1] for i in range(1, len(w) - m + 2)]) AS g
           FROM worded, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m),
-counted AS (SELECT lang, g, count(*) AS f FROM grams GROUP BY ALL),
+counted AS MATERIALIZED (SELECT lang, g, count(*) AS f FROM grams GROUP BY ALL),
 totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counted WHERE len(g) = 1 GROUP BY lang),
 candidates AS (SELECT * FROM counted WHERE len(g) >= 2 AND f >= {least}),
-cuts AS (SELECT c.lang, c.g, c.f AS a, k, l.f AS l, r.f AS r, CAST(CAST({SCALE} AS HUGEINT) * c.f // (l.f + r.f) AS BIGINT) AS score
-         FROM candidates c, (SELECT unnest([1, 2, 3]) AS k)
-         JOIN counted l ON l.lang = c.lang AND l.g = c.g[1 : k]
-         JOIN counted r ON r.lang = c.lang AND r.g = c.g[k + 1 :]
-         WHERE k < len(c.g)),
+parts AS (SELECT c.lang, c.g, c.f AS a, k, c.g[1 : k] AS head, c.g[k + 1 :] AS tail
+          FROM candidates c CROSS JOIN (SELECT unnest([1, 2, 3]) AS k) AS ks WHERE k < len(c.g)),
+cuts AS (SELECT p.lang, p.g, p.a, p.k, l.f AS l, r.f AS r, CAST(CAST({SCALE} AS HUGEINT) * p.a // (l.f + r.f) AS BIGINT) AS score
+         FROM parts p JOIN counted l ON l.lang = p.lang AND l.g = p.head JOIN counted r ON r.lang = p.lang AND r.g = p.tail),
 worst AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
 inside AS (SELECT lang, sub, max(f) AS most
            FROM (SELECT lang, f, unnest([g[i : i + m - 1] for i in range(1, len(g) - m + 2)]) AS sub
