@@ -191,9 +191,10 @@ def markup_label(tag: str, names: list[str], outer: int | None) -> int | None:
 
 def _numbers(b: Block, at: int, n: int) -> list[float]:
     t, size = b.text, len(b.text)
+    # lengths beyond those of the fit say no more than the longest there
     stops = sum(t.count(c) for c in ".,;:!?。、，")
-    return [np.log1p(size) / 5, min(1.0, b.linked / size), min(1.0, 10 * stops / size), float(t[-1] in ".!?。\"”"),
-            float(t[0].isupper()), min(1.0, 5 * sum(map(t.count, "0123456789")) / size), float("©" in t), at / n, float(at == 0), np.log1p(n) / 5]
+    return [np.log1p(min(size, 5000)) / 5, min(1.0, b.linked / size), min(1.0, 10 * stops / size), float(t[-1] in ".!?。\"”"),
+            float(t[0].isupper()), min(1.0, 5 * sum(map(t.count, "0123456789")) / size), float("©" in t), at / n, float(at == 0), np.log1p(min(n, FIT_BLOCKS)) / 5]
 
 
 class Batch:
@@ -442,7 +443,8 @@ def composed_page(rng: random.Random, texts: list[str], mains: list[str]) -> str
         return "".join(out)
 
     def comments() -> str:
-        return box("comments", "".join(f"<div><b>{escaped(words(2))}</b> <p>{escaped(rng.choice(mains) if rng.random() < 0.7 else words(9))}</p></div>"
+        head = f"<h{rng.randint(2, 4)}>{sentence('comments')}</h2>" if rng.random() < 0.6 else ""
+        return box("comments", head + "".join(f"<div><b>{escaped(words(2))}</b> <p>{escaped(rng.choice(mains) if rng.random() < 0.7 else words(9))}</p></div>"
                                        for _ in range(rng.randint(1, 5))))
 
     def maybe(kind: str, chance: float) -> str:
@@ -458,6 +460,8 @@ def composed_page(rng: random.Random, texts: list[str], mains: list[str]) -> str
     side = maybe("side", 0.4)
     parts = [maybe("notice", 0.2), maybe("header", 0.5), maybe("menu", 0.7), maybe("ad", 0.4), side if rng.random() < 0.5 else "", maybe("form", 0.15),
              box("article", article()), "" if rng.random() < 0.5 else side, comments() if rng.random() < 0.3 else "", maybe("ad", 0.2), maybe("footer", 0.8), maybe("notice", 0.1)]
+    if rng.random() < 0.08:  # a page of nothing else
+        parts = [box("article", article() or f"<p>{escaped(words(3))}</p>")]
     return f"<html><head><title>{escaped(words(8))}</title></head><body>{''.join(parts)}</body></html>"
 
 
