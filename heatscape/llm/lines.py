@@ -2,20 +2,29 @@
 
 Lines are compared without case, with one space for each run of spaces and control characters. A line's shingles are the five characters
 from every position, whatever words are; a shorter line is its own. Signatures of minima are into bands; lines that agree in a band are candidates, the Jaccard index of their shingle sets
-is computed exactly for all that can be alike, and links are joined to components, of which the first line stays. All of it is
-DataFrame functions.
+is computed exactly for all that can be alike, and links are joined to components, of which the first line stays. Spark shuffles, joins
+and groups lines, buckets and links; shingles are hashed and compared by numpy on Arrow batches, because their number is that of the
+characters: as rows or arrays of the engine, 36 minima of each cost more than twice the time that is allowed for all.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heatscape.llm.common import bucketed, kept
+from heatscape.llm.common import bucketed, kept, slices
 from heatscape.llm.components import components
+from heatscape.session import ship_package
 
 WIDTH = 5
-SHINGLE = rf"(?s)(?=(.{{{WIDTH}}}))."
+#: Characters of a piece of a line, and of the pieces that a task holds as numbers at once.
+PIECE = 1_000_000
+#: Odd multipliers of a shingle's characters and of the last mixing; NONE stands behind a line's end.
+TIMES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
+NONE = 0x110000
 #: Short shingles are shared by more lines than long ones, so a band has four minima.
 BANDS, ROWS = 9, 4
 SIMILAR = 0.8
@@ -31,41 +40,125 @@ def plain(line: Column) -> Column:
     return F.trim(F.lower(F.when(uneven, F.regexp_replace(line, r"[\x00-\x20]{2,}|[\x00-\x1F]", " ")).otherwise(line)))
 
 
-def shingles(line: Column) -> Column:
-    return F.when(F.length(line) < WIDTH, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1)))
-
-
-def _minima(lines: DataFrame, seeds: list[int]) -> DataFrame:
-    """(line, m0, m1, ...): the least hash of a line's shingles for each seed."""
-    each = lines.select("line", F.explode(shingles(F.col("words"))).alias("t")).select("line", F.xxhash64("t").alias("s"))
-    # an odd constant's multiples stand for the seeds, so that one 64-bit word is hashed and no pair
-    mixed = [F.col("s").bitwiseXOR(F.lit((i + 1) * 0x9E3779B97F4A7C15 % (1 << 63))) for i in seeds]
-    return each.groupBy("line").agg(*[F.min(F.xxhash64(x)).alias(f"m{k}") for k, x in enumerate(mixed)])
+def pieces(line: str) -> list[str]:
+    """Parts of a line that together hold the shingles of every position once."""
+    if len(line) <= PIECE:
+        return [line]
+    return [line[at : at + PIECE + WIDTH - 1] for at in range(0, len(line) - WIDTH + 1, PIECE)]
+
+
+def shingle_hashes(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the shingles of all parts, and where each part's begin; a part shorter than a shingle is its own."""
+    codes = np.frombuffer(("\0" * WIDTH).join([*parts, ""]).encode("utf-32-le"), "<u4").astype(np.uint64)
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    ends = np.cumsum(sizes + WIDTH) - WIDTH
+    codes[(ends[:, None] + np.arange(WIDTH)).ravel()] = NONE
+    h = np.zeros(len(codes) - WIDTH + 1, np.uint64)
+    for j, times in enumerate(TIMES):
+        h += codes[j : j + len(h)] * np.uint64(times)
+    whole = np.maximum(sizes - WIDTH + 1, 1)
+    begins = np.cumsum(whole) - whole
+    h = h[np.arange(whole.sum()) + np.repeat(ends - sizes - begins, whole)]
+    for times in MIX:
+        h ^= h >> np.uint64(33)
+        h *= np.uint64(times)
+    return h ^ (h >> np.uint64(33)), begins
+
+
+def minima(lines: list[str], n: int) -> np.ndarray:
+    """``n`` minima of each line's shingles, one row for each line.
+
+    A shingle is hashed once, to 64 bits, of which one half steps along the other: h0 + k * h1 modulo
+    2^32 stands for the k-th hash, which is uniform for each k and independent for any two of them.
+    """
+    parts = [pieces(x) for x in lines]
+    flat = [x for some in parts for x in some]
+    out = np.empty((n, len(flat)), np.uint32)
+    for a, b in slices(flat, PIECE):
+        h, begins = shingle_hashes(flat[a:b])
+        # an odd step meets every number once
+        value, step = h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        for k in range(n):
+            out[k, a:b] = np.minimum.reduceat(value, begins)
+            value += step
+    first = np.cumsum([0, *map(len, parts[:-1])]) if parts else []
+    return np.minimum.reduceat(out, first, axis=1).T if flat else out.T
+
+
+def shingle_sets(lines: list[str]) -> list[np.ndarray]:
+    """Distinct hashes of each line's shingles, sorted."""
+    out = []
+    for a, b in slices(lines, PIECE):
+        if len(lines[a]) > PIECE:
+            out.append(np.unique(np.concatenate([np.unique(shingle_hashes([x])[0]) for x in pieces(lines[a])])))
+            continue
+        h, begins = shingle_hashes(lines[a:b])
+        bounds = [*begins.tolist(), len(h)]
+        for i, j in zip(bounds, bounds[1:]):
+            h[i:j].sort()
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        new[begins] = True
+        ends = np.cumsum(new)[np.array(bounds[1:]) - 1].tolist()
+        h = h[new]
+        out += [h[i:j] for i, j in zip([0, *ends[:-1]], ends)]
+    return out
+
+
+def shared(p: np.ndarray, q: np.ndarray) -> int:
+    """Numbers that two sorted sets have in common."""
+    both = np.concatenate([p, q])
+    both.sort()
+    return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
 def band_keys(lines: DataFrame) -> DataFrame:
-    """(line, keys): a key for each band of the signature of each distinct line.
+    """(line, keys): a key for each band of the signature of each distinct line (line, words)."""
+    ship_package(lines.sparkSession)
 
-    ``lines`` has (line, words), partitioned by line; its shingles stay in the task that has it.
-    """
-    minima = _minima(lines, list(range(BANDS * ROWS)))
-    keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
-    return minima.select("line", keys.alias("keys"))
+    def run(batches):
+        for batch in batches:
+            words = batch.column(1).to_pylist()
+            for a, b in slices(words):
+                found = minima(words[a:b], BANDS * ROWS).astype(np.uint64).reshape(b - a, BANDS, ROWS)
+                keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (b - a, BANDS)).copy()
+                for r in range(ROWS):
+                    keys = (keys ^ found[:, :, r]) * np.uint64(TIMES[r])
+                    keys ^= keys >> np.uint64(29)
+                ends = pa.array(np.arange(0, (b - a + 1) * BANDS, BANDS, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(ends, pa.array(keys.ravel().view(np.int64)))],
+                                                 names=["line", "keys"])
+
+    return lines.select("line", "words").mapInArrow(run, "line bigint, keys array<bigint>")
 
 
 def similar_pairs(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(a, b, index, same) of pairs (a, b): the exact Jaccard index of their shingles, which 64-bit hashes stand for.
+    """(a, b, index, same) of pairs (a, b): the exact Jaccard index of their shingle sets, which 64-bit hashes stand for.
 
-    The set of a line is made once, however many pairs it is in.
+    Lines travel to their pairs as texts, which are an eighth of their sets; pairs come in order of
+    ``a``, so that the set of a line that meets many is made once a batch of them.
     """
-    ends = pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line"))).distinct()
-    hashes = F.array_distinct(F.transform(shingles(F.col("words")), lambda x: F.xxhash64(x)))
-    sets = bucketed(lines.join(ends, "line").select("line", hashes.alias("hashes")), "line", "compared")
-    both = (pairs.join(sets.select(F.col("line").alias("a"), F.col("hashes").alias("p")), "a")
-            .join(sets.select(F.col("line").alias("b"), F.col("hashes").alias("q")), "b"))
-    shared = F.size(F.array_intersect("p", "q"))
-    both = both.select("a", "b", shared.alias("shared"), (F.size("p") + F.size("q") - shared).alias("all"))
-    return both.select("a", "b", (F.col("shared") / F.greatest(F.col("all"), F.lit(1))).alias("index"), (F.col("shared") >= SIMILAR * F.col("all")).alias("same"))
+    ship_package(lines.sparkSession)
+    both = (pairs.join(lines.select(F.col("line").alias("b"), F.col("words").alias("q")), "b")
+            .join(lines.select(F.col("line").alias("a"), F.col("words").alias("p")), "a"))
+
+    def run(batches):
+        for batch in batches:
+            ends, others = batch.column(0).to_pylist(), batch.column(3).to_pylist()
+            last, known = None, None
+            for s, e in slices(others, PIECE):
+                index, same = [], []
+                for k, q in zip(range(s, e), shingle_sets(others[s:e]), strict=True):
+                    if known is None or ends[k] != last:
+                        last, known = ends[k], shingle_sets([batch.column(2)[k].as_py()])[0]
+                    both = shared(known, q)
+                    either = len(known) + len(q) - both
+                    index.append(both / either)
+                    same.append(both >= SIMILAR * either)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), batch.column(1).slice(s, e - s), pa.array(index, pa.float64()),
+                                                  pa.array(same, pa.bool_())], names=["a", "b", "index", "same"])
+
+    return both.select("a", "b", "p", "q").mapInArrow(run, "a bigint, b bigint, index double, same boolean")
 
 
 def links(distinct: DataFrame, keys: DataFrame) -> DataFrame:
@@ -77,10 +170,12 @@ def links(distinct: DataFrame, keys: DataFrame) -> DataFrame:
     differ by no more than one less the threshold. That is exact; rows grow with the number of a
     bucket's lines times that of those unlike its head.
     """
-    order = F.xxhash64("line", "key")
-    ordered = keys.select("line", F.explode("keys").alias("key")).withColumn("o", order)
-    heads = ordered.groupBy("key").agg(F.min_by("line", "o").alias("head"), F.count("*").alias("n")).where("n > 1")
-    members = ordered.join(heads.select("key", "head"), "key").where(F.col("line") != F.col("head"))
+    ordered = keys.select("line", F.explode("keys").alias("key"))
+    # the head is the least name, the same line in many of a group's buckets, so that few pairs differ;
+    # heads are written, which leaves a plain shuffle on both sides of the join, and hot buckets can be split
+    heads = ordered.groupBy("key").agg(F.min("line").alias("head"), F.max("line").alias("last"))
+    heads = kept(heads.where("head != last").select("key", "head"), "heads")
+    members = ordered.join(heads, "key").where(F.col("line") != F.col("head"))
     members = kept(members.select("key", "line", F.least("line", "head").alias("a"), F.greatest("line", "head").alias("b")), "pairs")
     judged = kept(similar_pairs(members.select("a", "b").distinct(), distinct), "judged")
     found = judged.where("same").select("a", "b")
