@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from heatscape.operators import boosting, clusters, explain, gwr, linear, models, random_trees, spatial, tiles, validate
+from heatscape.operators import boosting, clusters, explain, gwr, linear, models, random_trees, spatial, tiles, trees, validate
 from heatscape.operators.gatekeeper import Gatekeeper, spearman, validate_coverage, verdict_errors
 
 
@@ -350,3 +350,33 @@ def test_tree_attributions_equal_all_subsets(spark, curved):
         out, base = trees.tree_shap(m.transform(small), m.as_trees())
         for r in out.collect():
             assert r["shap_a"] + r["shap_b"] + r["shap_d"] + base == pytest.approx(r["prediction"], abs=1e-8)
+
+
+def test_rows_go_on_from_the_node_they_had_come_to(curved):
+    df, x, _ = curved
+    s = boosting.Settings(1, 1.0, leaves=12, min_leaf=20, l2=1.0)
+    tree = boosting.Tree(s, [0, 1])
+    tree.nodes = [boosting.Node(0.0, 9, 0, None, (1.0, 0, 3), 1, 2), boosting.Node(0.0, 5, 1), boosting.Node(0.0, 4, 1)]
+    bins = np.random.default_rng(1).integers(0, 8, (200, 2)).astype(np.uint8)
+    before = tree.places(bins)
+    tree.nodes[2] = boosting.Node(0.0, 4, 1, None, (1.0, 1, 5), 3, 4)
+    tree.nodes += [boosting.Node(0.0, 2, 2), boosting.Node(0.0, 2, 2)]
+    assert (tree.places(bins, before) == tree.places(bins)).all() and set(tree.places(bins)) == {1, 3, 4}
+
+
+def test_boosting_is_the_same_when_workers_remember_nothing(curved, monkeypatch):
+    df, _, _ = curved
+    s = GROWN["leaf by leaf"]
+    monkeypatch.setattr(boosting, "WRITTEN", 4)
+    one, other = (boosting.fit_boosting(df.repartition(n), CURVED, "y", s, small_rows=0) for n in (1, 4))
+    assert (one.feature == other.feature).all() and np.allclose(one.threshold, other.threshold) and np.allclose(one.value, other.value)
+
+
+def test_looked_up_attributions_equal_those_made_one_by_one(curved):
+    df, x, _ = curved
+    m = boosting.fit_boosting(df, CURVED, "y", GROWN["leaf by leaf"])
+    for paths in trees.leaf_paths(m):
+        looked_up, made = np.zeros((50, len(CURVED))), np.zeros((50, len(CURVED)))
+        trees._shapley(paths, x[:50], looked_up)
+        trees._shapley(paths, x[:50], made, most=0)
+        assert np.allclose(looked_up, made, atol=1e-12)
