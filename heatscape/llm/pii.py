@@ -35,8 +35,6 @@ KINDS = [*BASE, *MORE]
 CONTEXT = 24
 #: Words before a span that speak of personal data.
 CUES = r"(?i)tel|phone|mobile|call|fax|mail|contact|card|visa|account|iban|ssn|social|address|passport"
-#: Candidates the trees are fitted and calibrated on at most, by hash order; a bound on the model's data, not on the search.
-FIT_ROWS = 20_000
 TREES, DEPTH = 12, 4
 PRECISION = 0.9
 FEATURES = ["length", "digits", "letters", "marks", "groups", "plus", "at", "dots", "longest", "cue", "before", "behind", "caps", "checked"]
@@ -102,16 +100,15 @@ def _context(text: Column, spans: Column) -> Column:
 
 
 def _model(examples: DataFrame):
-    """(trees, threshold) fitted on candidates with a label; None where one of the classes is missing."""
-    sample = kept(examples.orderBy(F.xxhash64("found", "left", "right"), "kind").limit(FIT_ROWS)
-                  .withColumn("part", F.pmod(F.xxhash64("found", "left"), F.lit(4))), "examples")
-    have = {tuple(r) for r in sample.select(F.col("part") == 0, "label").distinct().collect()}
+    """(trees, threshold) fitted on all candidates with a label, a quarter left out for the threshold; None where one of the classes is missing."""
+    known = kept(examples.withColumn("part", F.pmod(F.xxhash64("found", "left"), F.lit(4))), "examples")
+    have = {tuple(r) for r in known.select(F.col("part") == 0, "label").distinct().collect()}
     if len(have) < 4:
         return None
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    fit = assembler.transform(sample.where("part <> 0"))
+    fit = assembler.transform(known.where("part <> 0"))
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, featuresCol="features", labelCol="label", cacheNodeIds=False).fit(fit)
-    held = trees.transform(assembler.transform(sample.where("part = 0"))).select(
+    held = trees.transform(assembler.transform(known.where("part = 0"))).select(
         "label", F.round(vector_to_array("probability")[1], 3).alias("p"))
     at = held.groupBy("p").agg(F.sum("label").alias("good"), F.count("*").alias("n")).orderBy(F.desc("p")).collect()  # 1001 rows at most
     best, good, n = None, 0, 0
