@@ -8,6 +8,8 @@ selects. All of it is DataFrame functions and Spark's own trees.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -36,6 +38,8 @@ CONTEXT = 24
 #: Words before a span that speak of personal data.
 CUES = r"(?i)tel|phone|mobile|call|fax|mail|contact|card|visa|account|iban|ssn|social|address|passport"
 TREES, DEPTH = 12, 4
+#: Bins of a feature of the trees; more where there are more different examples than their square.
+LEAST_BINS = 32
 PRECISION = 0.9
 FEATURES = ["length", "digits", "letters", "marks", "groups", "plus", "at", "dots", "longest", "cue", "before", "behind", "caps", "checked"]
 
@@ -106,8 +110,11 @@ def _model(examples: DataFrame):
     if len(have) < 4:
         return None
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    fit = assembler.transform(known.where("part <> 0"))
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, featuresCol="features", labelCol="label", cacheNodeIds=False).fit(fit)
+    # equal examples are one with their number as its weight; Spark takes the edges of bins from all rows if there are no more than bins times bins
+    fit = kept(known.where("part <> 0").groupBy(*FEATURES, "label").agg(F.count("*").cast("double").alias("weight")), "weighted")
+    bins = max(LEAST_BINS, math.isqrt(fit.count()) + 1)
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=bins, seed=7, featuresCol="features", labelCol="label", weightCol="weight",
+                          cacheNodeIds=False).fit(assembler.transform(fit))
     held = trees.transform(assembler.transform(known.where("part = 0"))).select(
         "label", F.round(vector_to_array("probability")[1], 3).alias("p"))
     at = held.groupBy("p").agg(F.sum("label").alias("good"), F.count("*").alias("n")).orderBy(F.desc("p")).collect()  # 1001 rows at most

@@ -247,6 +247,28 @@ def test_lines_of_one_bucket_all_meet(spark):
     assert all(root.get(2 * k) == 2 * k == root.get(2 * k + 1) for k in range(300))
 
 
+def test_sketches_turn_down_no_alike_lines(spark):
+    """Lines of one bucket in many blocks: the pairs that travel hold all alike ones that are not joined, and few others."""
+    from heatscape.llm import lines
+
+    rng = random.Random(12)
+    some = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    base = [some(rng.choice([7, 40, 90, 300, 700])) for _ in range(60)]
+    words = sorted({t[: rng.randrange(len(t) // 2, len(t) + 1)] + some(rng.choice([0, 1, 5])) for t in base for _ in range(6)})
+    sets = [{t[i : i + 5] for i in range(max(1, len(t) - 4))} for t in words]
+    alike = {(i, j) for i in range(len(words)) for j in range(i + 1, len(words)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    near = {(i, j) for i in range(len(words)) for j in range(i + 1, len(words)) if len(sets[i] & sets[j]) >= 0.5 * len(sets[i] | sets[j])}
+    distinct = spark.createDataFrame(list(enumerate(words)), "line long, words string")
+    marks = lines.sketched(distinct)
+    told = distinct.select(F.lit(1).cast("bigint").alias("key"), "line", F.col("line").alias("root"), F.col("line").alias("place"),
+                           F.lit(len(words)).cast("bigint").alias("n_lines"))
+    for block in (50, 4096):
+        met = {(r["a"], r["b"]) for r in lines.open_pairs(told, marks, block).collect()}
+        assert alike <= met and len(met - near) < len(words) // 4
+        joined = lines.open_pairs(told.withColumn("root", F.col("line") % 2), marks, block)
+        assert {(i, j) for i, j in alike if (i - j) % 2} <= {(r["a"], r["b"]) for r in joined.collect()} <= {(i, j) for i, j in met if (i - j) % 2}
+
+
 def test_vectors(spark):
     from heatscape.llm import vectors
 
@@ -312,6 +334,22 @@ def luhn(text):
     return sum(d if k % 2 == 0 else 2 * d - 9 * (d > 4) for k, d in enumerate(digits)) % 10 == 0
 
 
+def test_personal_data_trees_see_every_example(spark):
+    """Four formats that one of 30,000 examples each has: a sample of 10,000 for the edges of bins would lose some."""
+    from heatscape.llm import pii
+
+    names = spark.range(60).selectExpr("cast(id AS string) AS f", "pmod(xxhash64(cast(id AS string), ''), 4) AS part").collect()
+    fitted, left = [r["f"] for r in names if r["part"]], [r["f"] for r in names if not r["part"]]
+    rare = ["digits", "groups", "dots", "caps"]
+    given = [*[(fitted[k], rare[k], 1) for k in range(4)], (left[0], rare[0], 1), (left[1], "", 0)]
+    some = spark.createDataFrame(given, "found string, rare string, label int").unionByName(
+        spark.range(30_000).select(F.lit(fitted[5]).alias("found"), F.lit("").alias("rare"), F.lit(0).alias("label")))
+    examples = some.select("found", F.lit("").alias("left"), "label", *[(F.col("rare") == c).cast("double").alias(c) for c in pii.FEATURES])
+    assembler, trees, _ = pii._model(examples)
+    told = trees.transform(assembler.transform(examples.where("label = 1").select(*pii.FEATURES).distinct()))
+    assert [r["prediction"] for r in told.collect()] == [1.0] * 4
+
+
 def test_personal_data_equals_a_plain_search(rows, docs, empty):
     from heatscape.llm import pii
 
