@@ -94,3 +94,15 @@ def test_tiles_touched_do_not_grow_with_the_table(spark):
         assert r["queries"] == n and r["tiles"] == n // 64
         means.append(r["mean_tiles"])
     assert means[1] < 1.25 * means[0] + 0.1
+
+
+def test_tiles_are_cut_where_rows_are_far_apart(spark):
+    """Which of six columns is the widest makes no difference to the tiles that a query goes to."""
+    x = np.random.default_rng(3).uniform(size=(6000, 6))
+    seen = []
+    for wide in (0, 5):
+        y = x.copy()
+        y[:, wide] *= 20
+        df, cols = frame(spark, y, np.arange(len(y)))
+        seen.append(tiles_touched(df, cols, 4, "id", tile_rows=64).first()["mean_tiles"])
+    assert seen[1] < 1.3 * seen[0]
