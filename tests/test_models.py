@@ -380,3 +380,25 @@ def test_looked_up_attributions_equal_those_made_one_by_one(curved):
         trees._shapley(paths, x[:50], looked_up)
         trees._shapley(paths, x[:50], made, most=0)
         assert np.allclose(looked_up, made, atol=1e-12)
+
+
+def test_border_of_small_groups_is_narrow(monkeypatch):
+    rng = np.random.default_rng(5)
+    n, bandwidth = 20_000, 8_000
+    xy = rng.random((n, 2))
+    quantities = gwr._quantities(rng.normal(size=(n, 1, 2)))
+    block = np.flatnonzero((np.abs(xy - 0.5) < 0.1).all(axis=1))
+    met, plain = [], gwr._sums
+
+    def counted(own, near, *rest):
+        met.append(len(own) * len(near))
+        return plain(own, near, *rest)
+
+    monkeypatch.setattr(gwr, "_sums", counted)
+    none = gwr.Nodes(np.zeros(0, int), np.zeros((0, 2)), np.zeros((0, gwr.POWERS, quantities.shape[1])))
+    out = np.zeros((len(block), quantities.shape[1]))
+    for at, sums in gwr._fine_sums(xy[block], xy, quantities, bandwidth, none, gwr.FINE_ROWS):
+        out[at] = sums
+    assert np.allclose(out, gwr.weights(xy[block], xy, bandwidth) @ quantities, rtol=1e-9, atol=1e-7)
+    # groups of 64 rows and boxes of as many met about half of all pairs
+    assert sum(met) < 0.3 * len(block) * n
