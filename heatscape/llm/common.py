@@ -89,5 +89,23 @@ def unwrapped(df: DataFrame) -> DataFrame:
     return df.select("row.*")
 
 
+_held: dict = {}
+
+
+def held(key: tuple, make: Callable):
+    """What a Python worker keeps for its later tasks under ``key``; it lets go of what it kept for another operator.
+
+    Workers go on from one operator to the next, so their remembered words would add up.
+    """
+    if key not in _held:
+        release()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    _held.clear()
+
+
 def doc_column(name: str = "doc_id") -> Column:
     return F.col(f"row.`{name}`").alias(name)

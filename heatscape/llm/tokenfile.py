@@ -8,6 +8,8 @@ footer. A reader takes the footer, the table and the directory, and then only th
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
 
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heatscape.llm.common import kept, slices, text_or_empty
+from heatscape.llm.common import held, kept, slices, text_or_empty
 from heatscape.session import scratch_folder, ship_package
 
 #: Fixed values of the seekable format.
@@ -24,6 +26,18 @@ SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 LEVEL = 3
 #: Parts of texts whose ids a worker remembers, twice: the latest, and those before them.
 CACHED = 500_000
+#: Parts that are encoded together, and in one text if they are plain.
+TOGETHER = 20_000
+JOINED = 1_000
+#: Steps of a tokenizer before its model that change a plain part only to lower case, and their split in lower case.
+STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 NO_ID = -(1 << 63)
 
 
@@ -105,52 +119,78 @@ class Encoder:
 
     The tokenizer drops white space and looks at nothing across it, so the parts of a text between
     spaces and line feeds are encoded each for itself, and a part met before is not encoded again.
+    New plain parts (printable ASCII and Latin letters, nothing like an added token) are put into lower
+    case and split at words here; words that are new go through the model many in a text, and a token
+    that ends a word tells where the next one starts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.parts, self.older = Tokenizer.from_file(path), {}, {}
-
-    def _learn(self, new: list[str]) -> None:
-        older, unknown = self.older.get, []
-        for x in new:
+        self.tokenizer, self.parts, self.older, self.model = Tokenizer.from_file(path), {}, {}, None
+        with open(path, encoding="utf-8") as f:
+            given = json.load(f)
+        suffix = given["model"].get("end_of_word_suffix")
+        added = [a["content"] for a in given["added_tokens"]]
+        if suffix and all(given[k] == v for k, v in STEPS.items()) and all(a.startswith("<|") for a in added):
+            split = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, STEPS["pre_tokenizer"]["pretokenizers"][1]]}
+            self.model = Tokenizer.from_str(json.dumps({**given, "normalizer": None, "pre_tokenizer": split}))
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+
+    def _each(self, some: list[str]) -> list[bytes]:
+        """Ids of each part, encoded for itself."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        ends = np.cumsum([len(x) for x in ids]) * 4
+        flat = np.array([i for x in ids for i in x], "<u4").tobytes()
+        return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+    def _joined(self, words: list[str]) -> list[bytes]:
+        """Ids of each word of plain parts, encoded in one text."""
+        ids = np.array(self.model.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends, flat = (np.flatnonzero(self.ends[ids]) + 1) * 4, ids.tobytes()
+        if len(ends) != len(words):
+            return self._each(words)
+        return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+    def _taken(self, some) -> list[str]:
+        """Those of ``some`` that are not among the older parts; the others are taken over."""
+        older, out = self.older.get, []
+        for x in some:
             ids = older(x)
             if ids is None:
-                unknown.append(x)
+                out.append(x)
             else:
                 self.parts[x] = ids
-        for k in range(0, len(unknown), 20_000):
-            some = unknown[k : k + 20_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            ends = np.cumsum([len(x) for x in ids]) * 4
-            flat = np.array([i for x in ids for i in x], "<u4").tobytes()
-            self.parts.update((x, flat[a:b]) for x, a, b in zip(some, [0, *ends[:-1].tolist()], ends.tolist(), strict=True))
+        return out
+
+    def _add(self, some: list[str], size: int, ids_of) -> None:
+        for k in range(0, len(some), size):
+            self.parts.update(zip(some[k : k + size], ids_of(some[k : k + size]), strict=True))
+
+    def _learn(self, new) -> None:
+        unknown = self._taken(new)
+        plain = [] if self.model is None else [x for x in unknown if PLAIN.fullmatch(x) and "<|" not in x]
+        self._add(unknown if not plain else list(set(unknown).difference(plain)), TOGETHER, self._each)
+        # parts with signs and capitals have most of their words in common
+        words = [[x] if x.isalpha() else WORD.findall(x) for x in map(str.lower, plain)]
+        self._add(self._taken(set().union(*words).difference(self.parts)), JOINED, self._joined)
+        known = self.parts.__getitem__
+        self.parts.update((x, b"".join(map(known, w))) for x, w in zip(plain, words, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.parts) > CACHED:  # parts that are met again are taken over from the older half
             self.parts, self.older = {}, self.parts
-        get, found, missing = self.parts.get, [], set()
-        for t in texts:
-            parts = t.replace("\n", " ").split(" ")
-            ids = list(map(get, parts))
-            if None in ids:
-                missing.update([x for x, y in zip(parts, ids, strict=True) if y is None])
-                found.append((False, parts))
-            else:
-                found.append((True, ids))
-        self._learn(list(missing))
+        found = [t.replace("\n", " ").split(" ") for t in texts]
+        self._learn(set().union(*found).difference(self.parts))
         known = self.parts.__getitem__
-        return [b"".join(x if whole else map(known, x)) for whole, x in found]
-
-
-_encoders: dict[str, Encoder] = {}
+        return [b"".join(map(known, parts)) for parts in found]
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """The worker's encoder of a tokenizer file; later tasks of the worker use it again."""
+    return held(("tokens", path), lambda: Encoder(path))
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
