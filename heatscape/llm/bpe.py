@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heatscape.llm.common import with_columns
+from heatscape.llm.common import held, with_columns
 
 #: Words of at most so many bytes contract one pair a step, longer ones all pairs that can't affect each other.
 SHORT = 48
@@ -208,7 +208,6 @@ def _parts(text: str) -> list[str] | None:
 
 
 DOUBLE = re.compile(r"\s\s")
-_codecs: dict[str, Codec] = {}
 
 
 def compiled_pattern(pattern: str):
@@ -220,9 +219,7 @@ def compiled_pattern(pattern: str):
 
 def codec(path: str) -> Codec:
     """The worker's codec of a rank file; later tasks of the worker use it again."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    return held(("bpe", path), lambda: Codec(path))
 
 
 def _lists(parts: list[bytes]) -> pa.Array:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heatscape.llm.common import kept, slices, text_or_empty, with_columns
+from heatscape.llm.common import kept, release, slices, text_or_empty, with_columns
 from heatscape.session import ship_package
 
 # What a character may stand for besides itself, and the log-probability of each change.
@@ -53,6 +53,7 @@ def language_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     ship_package(docs.sparkSession)
 
     def run(batches):
+        release()
         total = np.zeros(SYMBOLS**3, np.int64)
         for batch in batches:
             texts = batch.column(0).to_pylist()
@@ -115,6 +116,7 @@ class Restorer:
     """Words of tokens under a language model; remembers the latest tokens, and those before them."""
 
     def __init__(self, language: np.ndarray, kept_tokens: int = 300_000):
+        release()  # words that the worker remembers for an operator before
         self.model, self.limit, self.known, self.older = language.tolist(), kept_tokens, {}, {}
 
     def word(self, token: str) -> str:

@@ -450,3 +450,53 @@ def test_pipeline_keeps_rows_apart(spark):
         docs = out.cache()
     assert 0 < docs.count() <= given.count()
     assert corpus_pipeline.run(spark, FOLDER).count() == docs.count()
+
+
+def test_plain_parts_are_encoded_together():
+    import itertools
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from heatscape.llm import tokenfile
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    alone, encoder = Tokenizer.from_file(path), tokenfile.Encoder(path)
+    bits = ["", "Ab", "çÉß", "ÿØ", "'s", "'LL", "İ", "é", "7", "1a", "</w>", "<|endoftext|>", "<|", "|>", "...", "$_", "\t", "µ×", "ǅ", "漢"]
+    parts = sorted({"".join(x) for k in (1, 2, 3) for x in itertools.product(bits, repeat=k)})
+    batches, plain = [], encoder.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, some, **more):
+            batches.append(len(some))
+            return plain.encode_batch_fast(some, **more)
+
+    encoder.tokenizer = Counted()
+    want = [np.array(e.ids, "<u4").tobytes() for e in alone.encode_batch_fast(parts, add_special_tokens=False)]
+    assert encoder.encode(parts) == want
+    # parts of plain letters, digits and signs are no longer passed one by one
+    assert sum(batches) < len(parts)
+    words = [f"Wort{k}." for k in range(5000)]
+    batches.clear()
+    assert encoder.encode([" ".join(words)]) == [np.array(alone.encode(" ".join(words), add_special_tokens=False).ids, "<u4").tobytes()]
+    assert not batches
+
+
+def test_a_worker_lets_go_of_the_words_of_another_operator():
+    import gc
+    import weakref
+
+    import public_tokenizers
+
+    from heatscape.llm import bpe, tokenfile, toxicity
+
+    ranks, words = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
+    codec = weakref.ref(bpe.codec(ranks))
+    assert bpe.codec(ranks) is codec()
+    encoder = weakref.ref(tokenfile.encoder(words))
+    assert tokenfile.encoder(words) is encoder()
+    gc.collect()
+    assert codec() is None
+    toxicity.Restorer(np.zeros((toxicity.SYMBOLS,) * 3))
+    gc.collect()
+    assert encoder() is None
