@@ -39,8 +39,12 @@ from heatscape.session import materialise
 
 SMALL_REFERENCE = 4096
 MAX_TASKS = 20_000
-BLOCKS_PER_TASK = 4
-MATRIX_CELLS = 2_000_000
+#: Blocks of a task, in few dimensions, where blocks are light beside what a task costs by itself, and in many.
+LIGHT_BLOCKS, BLOCKS_PER_TASK = 16, 4
+#: Cells of distances that fit a core's cache.
+MATRIX_CELLS = 131_072
+#: Queries of a group that meets only the rows near it, in at most so many dimensions.
+GROUP_ROWS, GROUP_DIMS = 32, 3
 #: From this many dimensions on, tiles keep distances from pivots.
 PIVOT_DIMS = 4
 PIVOTS = 8
@@ -55,29 +59,63 @@ def squared_distances(q: np.ndarray, r: np.ndarray) -> np.ndarray:
     return d
 
 
+def meetings(q: np.ndarray, r: np.ndarray, need: int, limit=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query rows, reference rows) that together hold the ``need`` nearest rows of every query.
+
+    In few dimensions queries are halved into small groups.  The distance of the ``need``-th nearest row changes from the
+    middle of a group to any of its queries by at most the group's reach, so farther rows are left out on the way.
+    """
+    every = np.arange(len(r))
+    if q.shape[1] > GROUP_DIMS or len(r) <= GROUP_ROWS:
+        step = max(1, MATRIX_CELLS // max(1, len(r)))
+        for s in range(0, len(q), step):
+            yield np.arange(s, min(s + step, len(q))), every
+        return
+    todo = [(np.arange(len(q)), every)]
+    while todo:
+        rows, cols = todo.pop()
+        own = q[rows]
+        low, high = own.min(axis=0), own.max(axis=0)
+        at, reach = (low + high) / 2, float(np.sqrt(((high - low) ** 2).sum())) / 2
+        if np.isfinite(reach):
+            d = np.sqrt(squared_distances(at[None, :], r[cols])[0])
+            bound = np.partition(d, need - 1)[need - 1] + 2 * reach if len(cols) >= need else np.inf
+            if limit is not None:
+                bound = min(bound, float(np.sqrt(limit[rows].max())) + reach)
+            cols = cols[d <= bound * SLACK]
+        if len(rows) > GROUP_ROWS:
+            order = rows[np.argpartition(own[:, int(np.argmax(high - low))], len(rows) // 2)]
+            todo += [(order[: len(rows) // 2], cols), (order[len(rows) // 2 :], cols)]
+        elif len(cols):
+            yield rows, cols
+
+
 def nearest(q, qid, r, rid, k, exclude_self, limit=None):
     """(query row, reference row, squared distance) of the k nearest by (distance, id)."""
     out = ([], [], [])
-    step = max(1, MATRIX_CELLS // max(1, len(r)))
-    kk = min(k, len(r))
-    for s in range(0, len(q) if kk else 0, step):
-        d = squared_distances(q[s:s + step], r)
+    # a query may leave out as many rows as have its id
+    need = k + (int(np.unique(rid, return_counts=True)[1].max(initial=0)) if exclude_self else 0)
+    for at, among in meetings(q, r, need, limit) if min(k, len(r)) and len(q) else ():
+        d = squared_distances(q[at], r[among])
+        kk = min(k, len(among))
         if exclude_self:
-            d[qid[s:s + step][:, None] == rid[None, :]] = np.inf
+            d[qid[at][:, None] == rid[among][None, :]] = np.inf
         if limit is not None:
-            d[d > limit[s:s + step][:, None]] = np.inf
+            d[d > limit[at][:, None]] = np.inf
         edge = np.partition(d, kk - 1, axis=1)[:, kk - 1]
         rows, cols = np.nonzero((d <= edge[:, None]) & np.isfinite(d))
-        dist = d[rows, cols]
+        dist, cols = d[rows, cols], among[cols]
         o = np.lexsort((rid[cols], dist, rows))
         rows, cols, dist = rows[o], cols[o], dist[o]
         place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
         keep = place < k
-        for acc, a in zip(out, (rows[keep] + s, cols[keep], dist[keep])):
+        for acc, a in zip(out, (at[rows[keep]], cols[keep], dist[keep])):
             acc.append(a)
     if not out[0]:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-    return tuple(np.concatenate(a) for a in out)
+    rows, cols, dist = (np.concatenate(a) for a in out)
+    o = np.argsort(rows, kind="stable")
+    return rows[o], cols[o], dist[o]
 
 
 def columns(table: pa.Table, names: list[str]) -> np.ndarray:
@@ -186,7 +224,7 @@ def _tiled_lists(q: DataFrame, r: DataFrame, n_ref: int, xs, k, exclude_self, ti
         seeds = first_tiles(boxes(blocks, "block", xs).drop("n"), levels, xs, k + int(exclude_self))
     seeds = materialise(seeds)
     # small in bytes but heavy to compute, so the number of tasks is set here
-    width = max(shuffle_width(q), min(seeds.count() // BLOCKS_PER_TASK, MAX_TASKS))
+    width = max(shuffle_width(q), min(seeds.count() // (LIGHT_BLOCKS if len(xs) < PIVOT_DIMS else BLOCKS_PER_TASK), MAX_TASKS))
 
     def meeting(queries: DataFrame, meets: DataFrame):
         """Query rows and tile rows of each (block, tile) that meet, brought together."""

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from heatscape.operators import neighbours
 from heatscape.operators.neighbours import knn, knn_mean, tiles_touched
 
 
@@ -106,3 +107,36 @@ def test_tiles_are_cut_where_rows_are_far_apart(spark):
         df, cols = frame(spark, y, np.arange(len(y)))
         seen.append(tiles_touched(df, cols, 4, "id", tile_rows=64).first()["mean_tiles"])
     assert seen[1] < 1.3 * seen[0]
+
+
+def test_groups_of_queries_meet_only_near_rows(monkeypatch):
+    rng = np.random.default_rng(3)
+    cells, plain = [], neighbours.squared_distances
+
+    def counted(q, r):
+        cells.append(len(q) * len(r))
+        return plain(q, r)
+
+    for dims, ties, exclude, limited in [(2, False, True, False), (2, True, True, True), (3, True, False, False), (1, True, True, False), (6, False, True, True)]:
+        r = rng.random((1024, dims)).round(1 if ties else 9)
+        rid = rng.permutation(1024) // (2 if ties else 1)  # ids that repeat leave out both rows
+        q, qid = r[rng.permutation(1024)[:700]], rng.integers(0, 1024, 700)
+        limit = rng.random(700) / 100 if limited else None
+        if dims == 2 and ties:
+            q[5], r[7] = np.inf, np.inf
+        d = plain(q, r)
+        if exclude:
+            d[qid[:, None] == rid[None, :]] = np.inf
+        if limited:
+            d[d > limit[:, None]] = np.inf
+        want = []
+        for i in range(len(q)):
+            best = sorted((x, int(rid[j])) for j, x in enumerate(d[i]) if np.isfinite(x))[:8]
+            want += [(i, *b) for b in best]
+        cells.clear()
+        monkeypatch.setattr(neighbours, "squared_distances", counted)
+        rows, cols, dist = neighbours.nearest(q, qid, r, rid, 8, exclude, limit)
+        monkeypatch.setattr(neighbours, "squared_distances", plain)
+        assert [(int(a), float(c), int(rid[b])) for a, b, c in zip(rows, cols, dist)] == want
+        if dims == 2 and not ties:
+            assert sum(cells) < 0.5 * len(q) * len(r)
