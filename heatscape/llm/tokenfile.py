@@ -15,6 +15,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -154,38 +155,48 @@ class Encoder:
             return self._each(words)
         return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
-    def _taken(self, some) -> list[str]:
+    def _taken(self, some: list[str]) -> list[str]:
         """Those of ``some`` that are not among the older parts; the others are taken over."""
-        older, out = self.older.get, []
-        for x in some:
-            ids = older(x)
-            if ids is None:
-                out.append(x)
-            else:
-                self.parts[x] = ids
-        return out
+        if not self.older:
+            return some
+        ids = list(map(self.older.get, some))
+        self.parts.update((x, y) for x, y in zip(some, ids, strict=True) if y is not None)
+        return [x for x, y in zip(some, ids, strict=True) if y is None]
 
     def _add(self, some: list[str], size: int, ids_of) -> None:
         for k in range(0, len(some), size):
             self.parts.update(zip(some[k : k + size], ids_of(some[k : k + size]), strict=True))
 
-    def _learn(self, new) -> None:
-        unknown = self._taken(new)
-        plain = [] if self.model is None else [x for x in unknown if PLAIN.fullmatch(x) and "<|" not in x]
-        self._add(unknown if not plain else list(set(unknown).difference(plain)), TOGETHER, self._each)
+    def _learn(self, new: list[str]) -> None:
+        unknown, single, mixed = self._taken(new), [], []
+        if self.model is not None:
+            single = [x for x in unknown if x.isalpha() and (x.isascii() or PLAIN.fullmatch(x))]
+            mixed = [x for x in set(unknown).difference(single) if PLAIN.fullmatch(x) and "<|" not in x]
+        self._add(list(set(unknown).difference(single, mixed)), TOGETHER, self._each)
         # parts with signs and capitals have most of their words in common
-        words = [[x] if x.isalpha() else WORD.findall(x) for x in map(str.lower, plain)]
-        self._add(self._taken(set().union(*words).difference(self.parts)), JOINED, self._joined)
+        lower, words = list(map(str.lower, single)), [WORD.findall(x.lower()) for x in mixed]
+        self._add(self._taken(list(set(lower).union(*words).difference(self.parts))), JOINED, self._joined)
         known = self.parts.__getitem__
-        self.parts.update((x, b"".join(map(known, w))) for x, w in zip(plain, words, strict=True))
+        self.parts.update(zip(single, map(known, lower), strict=True))
+        self.parts.update((x, b"".join(map(known, w))) for x, w in zip(mixed, words, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; its parts are numbered, so that each distinct one is looked up once for all texts."""
         if len(self.parts) > CACHED:  # parts that are met again are taken over from the older half
             self.parts, self.older = {}, self.parts
-        found = [t.replace("\n", " ").split(" ") for t in texts]
-        self._learn(set().union(*found).difference(self.parts))
-        known = self.parts.__getitem__
-        return [b"".join(map(known, parts)) for parts in found]
+        found = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        numbered = found.flatten().dictionary_encode()
+        distinct, at = numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), numbered.indices.to_numpy()
+        ids = list(map(self.parts.get, distinct))
+        if None in ids:
+            self._learn([x for x, y in zip(distinct, ids, strict=True) if y is None])
+            ids = list(map(self.parts.__getitem__, distinct))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, begins, n = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes, sizes[at]
+        ends = np.cumsum(n)
+        whole = flat[np.repeat(begins[at] - (ends - n), n) + np.arange(n.sum())].tobytes()
+        bounds = (np.concatenate([[0], ends])[found.offsets.to_numpy()] * 4).tolist()
+        return [whole[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def encoder(path: str) -> Encoder:

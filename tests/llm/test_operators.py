@@ -500,3 +500,29 @@ def test_a_worker_lets_go_of_the_words_of_another_operator():
     toxicity.Restorer(np.zeros((toxicity.SYMBOLS,) * 3))
     gc.collect()
     assert encoder() is None
+
+
+def test_each_distinct_part_is_looked_up_once():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from heatscape.llm import tokenfile
+
+    class Counted(dict):
+        looks = 0
+
+        def get(self, *x):
+            self.looks += 1
+            return dict.get(self, *x)
+
+        def __getitem__(self, x):
+            self.looks += 1
+            return dict.__getitem__(self, x)
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, alone = tokenfile.Encoder(path), Tokenizer.from_file(path)
+    encoder.parts = Counted()
+    texts = ["so it is", "", "It is\nso, so  it's 42 <|endoftext|>", " ", "日本 ǅ é x"] * 300
+    assert encoder.encode(texts) == [np.array(alone.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encoder.parts.looks < 100
+    assert encoder.encode([]) == []
