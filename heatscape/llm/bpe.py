@@ -22,7 +22,9 @@ from heatscape.llm.common import held, with_columns
 SHORT = 48
 #: Position rows of one recursive query, token rows of one decoding query.
 ROWS = 200_000
-TOKEN_ROWS = 2_000_000
+TOKEN_ROWS = 300_000
+#: Characters of the texts that a task has in parts, ids and bytes at once.
+TEXT_CHARS = 2_000_000
 #: Words, and parts of texts, whose ids a worker remembers; beyond that it starts anew.
 CACHED_WORDS, CACHED_PIECES = 400_000, 200_000
 
@@ -236,11 +238,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
         compiled, own = compiled_pattern(pattern), codec(ranks_path)
         return lambda texts: [_lists(own.encode(texts, compiled))]
 
-    return with_columns(docs, text_col, "ids array<int>", make)
+    return with_columns(docs, text_col, "ids array<int>", make, TEXT_CHARS)
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """(row, ids, decoded): also the bytes that the ids decode to.
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """(row, ids, decoded): also the bytes that the ids decode to; ``row`` has all columns, or those of ``columns``.
 
     Null and empty texts give no ids and no bytes; repeated rows are encoded each for itself.
     """
@@ -256,7 +258,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str
             return [_lists(ids), pa.array(decoded, pa.binary())]
         return columns
 
-    return with_columns(docs, text_col, "ids array<int>, decoded binary", make)
+    return with_columns(docs, text_col, "ids array<int>, decoded binary", make, TEXT_CHARS, columns)
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,29 +45,34 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().translate(WORD_BYTES).split() if text else []
 
 
-def slices(texts: list, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
-    """Bounds of consecutive texts with about ``limit`` characters together, one text at least."""
+def cuts(sizes: list[int], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+    """Bounds of consecutive items that together have about ``limit``, one item at least."""
     start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
+    for i, n in enumerate(sizes):
+        if size and size + n > limit:
             yield start, i
             start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+        size += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def slices(texts: list, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+    """Bounds of consecutive texts with about ``limit`` characters together, one text at least."""
+    return cuts(list(map(len, texts)), limit)
 
 
 def with_columns(df: DataFrame, text_col: str, fields: str, make: Callable[[], Callable[[list], list]],
-                 limit: int = SLICE_CHARS) -> DataFrame:
+                 limit: int = SLICE_CHARS, columns: list[str] | None = None) -> DataFrame:
     """Rows of ``df`` as struct ``row`` and columns made from the text.
 
     ``make()`` runs once a task and returns a function from a list of texts (null: empty)
-    to one Arrow array or list for each of ``fields``, a DDL schema. The input's columns
-    are kept in the struct, so that their names can't clash with the new ones.
+    to one Arrow array or list for each of ``fields``, a DDL schema. The input's columns, or
+    those named by ``columns``, are kept in the struct, so that their names can't clash with the new ones.
     """
     ship_package(df.sparkSession)
     own = T.StructType.fromDDL(fields)
-    wide = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), text_or_empty(text_col).alias("text"))
+    wide = df.select(F.struct(*[F.col(f"`{c}`") for c in columns or df.columns]).alias("row"), text_or_empty(text_col).alias("text"))
     out = T.StructType([wide.schema["row"], *own.fields])
     from pyspark.sql.pandas.types import to_arrow_schema
     kinds = [f.type for f in to_arrow_schema(own)]
@@ -75,9 +81,9 @@ def with_columns(df: DataFrame, text_col: str, fields: str, make: Callable[[], C
     def run(batches):
         columns_of = make()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts, limit):
-                cols = columns_of(texts[a:b])
+            texts = batch.column(1)
+            for a, b in cuts(pc.utf8_length(texts).to_pylist(), limit):
+                cols = columns_of(texts.slice(a, b - a).to_pylist())
                 arrays = [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *arrays], names=names)
 

@@ -20,7 +20,7 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def bpe_digest(docs: DataFrame) -> DataFrame:
-    coded = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, columns=["doc_id"])
     return coded.select(doc_column(), F.size("ids").cast("bigint").alias("n_tokens"),
                         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -526,3 +526,18 @@ def test_each_distinct_part_is_looked_up_once():
     assert encoder.encode(texts) == [np.array(alone.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert encoder.parts.looks < 100
     assert encoder.encode([]) == []
+
+
+def test_byte_bpe_carries_only_the_columns_asked_for(docs, monkeypatch):
+    import public_tokenizers as P
+
+    from heatscape.llm import bpe
+
+    got = bpe.encode_decode(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, columns=["doc_id"])
+    assert got.schema["row"].dataType.names == ["doc_id"]
+    limits = []
+    monkeypatch.setattr(bpe, "with_columns", lambda df, text_col, fields, make, limit=None, columns=None: limits.append(limit))
+    bpe.encode_decode(docs, "", "")
+    bpe.encode(docs, "", "")
+    # parts, ids and bytes of eight million characters took half a gigabyte of each worker
+    assert all(n and n <= 2_000_000 for n in limits)
