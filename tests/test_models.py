@@ -402,3 +402,17 @@ def test_border_of_small_groups_is_narrow(monkeypatch):
     assert np.allclose(out, gwr.weights(xy[block], xy, bandwidth) @ quantities, rtol=1e-9, atol=1e-7)
     # groups of 64 rows and boxes of as many met about half of all pairs
     assert sum(met) < 0.3 * len(block) * n
+
+
+def test_boosting_of_few_combinations_of_bins_needs_no_job_a_pass(curved, monkeypatch):
+    """Rows of equal bins are one row with a count and a sum, which gives the same trees."""
+    df, x, _ = curved
+    s = boosting.Settings(12, 0.3, leaves=15, l2=1.0, columns=0.6)
+    twice = df.unionByName(df.where("id < 700"))
+    with monkeypatch.context() as m:
+        m.setattr(boosting, "_binned", lambda *_: pytest.fail("rows went to passes"))
+        few = boosting.fit_boosting(twice, ["a", "b.c"], "y", s, small_rows=0)
+    monkeypatch.setattr(boosting, "MOST_CELLS", 0)
+    plain = boosting.fit_boosting(twice, ["a", "b.c"], "y", s)
+    assert few.feature.tolist() == plain.feature.tolist() and few.cover.tolist() == plain.cover.tolist()
+    np.testing.assert_allclose(few.predict(x[:, :2]), plain.predict(x[:, :2]), atol=1e-9)
