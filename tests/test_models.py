@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from heatscape.operators import boosting, clusters, explain, gwr, linear, models, random_trees, spatial, tiles, trees, validate
+from heatscape.operators import boosting, clusters, explain, forests, gwr, linear, models, random_trees, spatial, tiles, trees, validate
 from heatscape.operators.gatekeeper import Gatekeeper, spearman, validate_coverage, verdict_errors
 
 
@@ -416,3 +416,42 @@ def test_boosting_of_few_combinations_of_bins_needs_no_job_a_pass(curved, monkey
     plain = boosting.fit_boosting(twice, ["a", "b.c"], "y", s)
     assert few.feature.tolist() == plain.feature.tolist() and few.cover.tolist() == plain.cover.tolist()
     np.testing.assert_allclose(few.predict(x[:, :2]), plain.predict(x[:, :2]), atol=1e-9)
+
+
+@pytest.mark.parametrize("kind", ["random thresholds", "best edges"])
+def test_forests_grow_alike_in_place_in_tasks_and_below_upper_nodes(curved, kind):
+    """A model in a table predicts as the same one held by the driver."""
+    df, x, y = curved
+    rows = df.unionByName(df.where("id < 300")).repartition(5, "id").persist()
+    rule = forests.Rule(2, 2, None, 7, None if kind == "random thresholds" else forests.quantile_edges(rows, CURVED))
+    whole = forests.fit_forest(rows, CURVED, "y", 12, rule, small_rows=10_000)
+    assert isinstance(whole, trees.Trees) and whole.cover[whole.feature < 0].min() >= 2
+    asked = rows.withColumn("n", F.lit(1)).select("id", "n", *[f"`{c}`" for c in CURVED], "y")
+    for limits in ({}, {"subtree_rows": 400}):
+        table = forests.fit_forest(rows, CURVED, "y", 12, rule, small_rows=0, small_nodes=0, **limits)
+        assert isinstance(table, forests.Forest) and table.nodes == len(whole.feature)
+        np.testing.assert_allclose(table.as_trees().predict(x), whole.predict(x), atol=1e-9)
+        np.testing.assert_allclose(table.importances(), whole.importances(), atol=1e-9)
+        out = table.transform(asked)
+        assert out.columns == [*asked.columns, "prediction"]
+        got = out.orderBy("id").toPandas()
+        assert len(got) == 2300
+        np.testing.assert_allclose(got["prediction"], whole.predict(got[CURVED].to_numpy()), atol=1e-9)
+
+
+def test_forest_takes_the_best_edge(curved):
+    df, x, y = curved
+    rule = forests.Rule(3, 200, 1, 3, forests.quantile_edges(df, CURVED))
+    w = rule.weights(5, np.arange(2000, dtype=np.uint64))
+    assert abs(w.mean() - 1) < 0.1 and abs((w == 0).mean() - np.exp(-1)) < 0.05
+    bins = np.column_stack([np.searchsorted(e, v, side="left") for e, v in zip(rule.edges, x.T)]).astype(np.uint8)
+    got = forests.grown(rule, 5, bins, y, w)
+    best = (0.0,)
+    for j in range(3):
+        for t in rule.edges[j]:
+            left = x[:, j] <= t
+            n, m = w[left].sum(), w[~left].sum()
+            if min(n, m) >= 200:
+                a, b = (w * y)[left].sum(), (w * y)[~left].sum()
+                best = max(best, (a * a / n + b * b / m - (a + b) ** 2 / (n + m), j, t, n, a / n))
+    assert (got["feature"][0], got["number"][0], got["cover"][1]) == best[1:4] and got["number"][1] == pytest.approx(best[4])
