@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from heatscape.functions import ranking
 from heatscape.functions.ranking import global_rank, quantiles
 
 LEVELS = [0.0, 0.002, 0.25, 0.5, 0.9, 1.0]
@@ -57,3 +58,11 @@ def test_infinities_are_values_and_nan_is_missing(spark, kw):
         q = got[g]["q"]
         assert q[0] == float("-inf") and q[3] == float("inf")
         assert s[low] <= q[1] <= s[low + 1] and s[high] <= q[2] <= s[high + 1]
+
+
+def test_many_quantiles_fetch_the_wanted_values_only(rows, monkeypatch):
+    monkeypatch.setattr(ranking, "values_at", lambda *_: pytest.fail("bins were fetched"))
+    levels = [i / 90 for i in range(91)]
+    got = {r["g"]: r["q"] for r in quantiles(rows, "v", levels, ["g"], small_rows=0).collect()}
+    for g, d in rows.toPandas().groupby("g"):
+        assert got[g] == pytest.approx(list(np.quantile(d["v"], levels)), rel=1e-12)
