@@ -140,3 +140,14 @@ def test_groups_of_queries_meet_only_near_rows(monkeypatch):
         assert [(int(a), float(c), int(rid[b])) for a, b, c in zip(rows, cols, dist)] == want
         if dims == 2 and not ties:
             assert sum(cells) < 0.5 * len(q) * len(r)
+
+
+def test_search_of_line_items_asks_for_every_row(spark, tmp_path):
+    from heatscape.plans import catalogue
+
+    rows = spark.range(130).selectExpr("id AS l_orderkey", "cast(id % 7 AS int) AS l_linenumber", "id AS l_partkey", "id % 10 AS l_suppkey",
+                                       "cast(id % 50 AS double) AS l_quantity", "id * 100e0 AS l_extendedprice", "id % 11 / 100e0 AS l_discount",
+                                       "id % 9 / 100e0 AS l_tax", "date_add(DATE'2020-01-01', cast(id AS int)) AS l_shipdate")
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = catalogue.QUERIES["e8_knn_lineitem"](spark, str(tmp_path)).groupBy("query_id").count().collect()
+    assert sorted(r["query_id"] for r in found) == list(range(130)) and {r["count"] for r in found} == {8}
